@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, store, substring_dedup, token_files, tokens
+from . import decontam, language_id, line_dedup, minhash, packing, quality, secrets, store, substring_dedup, token_files, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,59 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json"), kind="word", end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def fold(name: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(name).cast("string")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    models = language_id.fit(docs.filter("not held_out").select("text", "lang"))
+    found = language_id.predict(docs, models)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantise(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Network:
+    """Learns only from labels whose crc32(doc_id as text) mod 3 is not 1."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1).select("doc_id", "quality")
+    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality_network(spark, docs, sf_dir))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate, with the forest's score; the value itself is left out, only its digest is given."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    return found.select("doc_id", F.col("position").cast("long").alias("position"), "kind", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_token_files, op5_line_dedup)}
+    found = (op1_packing, op2_substring_dedup, op3_token_files, op4_language_id, op5_line_dedup, op6_top_k, op7_quality, op8_near_dedup, op9_secrets, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 #: DuckDB SQL of the queries that it can express on whole tables.

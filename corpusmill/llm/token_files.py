@@ -96,7 +96,7 @@ def read(spark: SparkSession, out: str, doc_ids: Iterable[int] | None = None, be
         rows = rows.filter(F.col("doc_id").isin(list(doc_ids)))
     if between is not None:
         rows = rows.filter(F.col("doc_id").between(*between))
-    return rows.join(part_offsets(spark, out), "part").select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(part_offsets(spark, out)), "part").select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def digests(table: DataFrame) -> DataFrame:
