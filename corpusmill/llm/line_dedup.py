@@ -135,9 +135,11 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_lines, n_dropped, kept_text) for every row of ``docs``."""
-    joined = with_text_hash(docs).join(bitmaps.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) for every row of ``docs``; with ``carry``, also
+    the text as it was and the columns named."""
+    extra = ("text", *carry) if carry is not None else ()
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *(carry or ())).join(bitmaps.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").drop("text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +155,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 stay = [x for x, k in zip(lines, keep, strict=False) if k] + lines[len(keep) :]
                 n_dropped.append(len(lines) - len(stay))
                 kept.append("\n".join(stay))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "text_hash", "n_lines", "n_dropped", "kept_text"])
+            columns = [batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string()), *(batch.column(c) for c in extra)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept_text", *extra])
 
-    return joined.mapInArrow(run, "doc_id bigint, text_hash bigint, n_lines bigint, n_dropped bigint, kept_text string")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return joined.mapInArrow(run, ", ".join(["doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string", *(f"`{c}` {types[c]}" for c in extra)]))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) for every row of ``docs``."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).drop("text_hash")
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
