@@ -77,13 +77,24 @@ def _unpack(table: pa.Table, key_type: np.dtype) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (ids, hashes, owner, place, keys))
 
 
-def _found(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, hit: np.ndarray) -> pa.Table:
+def _found(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, hit: np.ndarray, parts: int) -> pa.Table:
+    """What a part has found, packed for the parts that the documents are dealt to."""
     owner, place = owner[hit], place[hit]
-    order = np.argsort(owner, kind="stable")
-    owner, place = owner[order], place[order].astype(np.uint32)
-    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(heads, len(owner)))
-    return pa.table({"doc_id": ids[owner[heads]], "text_hash": hashes[owner[heads]], "places": textops.binaries(place, counts)})
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    to = textops.mix(ids.view(np.uint64) ^ textops.mix(hashes.view(np.uint64)))
+    return pa.Table.from_batches([_pack(to[owner], np.zeros(len(owner), np.uint8), owner, place, ids, hashes, parts)])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document, from all parts that have found something in it."""
+    ids, hashes, owner, place, _ = _unpack(table, np.dtype(np.uint8))
+    pairs = np.stack([ids, hashes])
+    distinct, number = np.unique(pairs, axis=1, return_inverse=True)
+    owner = number.reshape(-1)[owner]
+    order = np.lexsort((place, owner))
+    counts = np.bincount(owner, minlength=distinct.shape[1])
+    return pa.table({"doc_id": distinct[0], "text_hash": distinct[1], "places": textops.binaries(place[order].astype(np.uint32), counts)})
 
 
 def _sort_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +148,14 @@ def find_anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         indexed = np.logical_or.reduceat((keys & 1).astype(bool)[order], heads)
         document = ids[owner][order]
         hit = indexed & (np.minimum.reduceat(document, heads) != np.maximum.reduceat(document, heads))
-        return _found(ids, hashes, owner, place, order[np.repeat(hit, np.diff(np.append(heads, len(order))))])
-
-    return docs.mapInArrow(probe, _PACKED).groupBy("part").applyInArrow(match, _FOUND)
-
+        return _found(ids, hashes, owner, place, order[np.repeat(hit, np.diff(np.append(heads, len(order))))], parts)
 
-def _by_document(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias(name)).hint("shuffle_hash")
+    return docs.mapInArrow(probe, _PACKED).groupBy("part").applyInArrow(match, _PACKED).groupBy("part").applyInArrow(_gather, _FOUND)
 
 
 def find_repeats(docs: DataFrame, anchors: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     """(doc_id, text_hash, places): starts of windows that a document with a smaller id has, too."""
-    near = docs.join(_by_document(anchors, "anchors"), ["doc_id", "text_hash"])
+    near = docs.join(anchors.withColumnRenamed("places", "anchors").hint("shuffle_hash"), ["doc_id", "text_hash"])
 
     def entries(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -157,8 +164,8 @@ def find_repeats(docs: DataFrame, anchors: DataFrame, window: int, block: int, p
                 starts, ends, first = textops.find_words(raw, at)
                 h = textops.word_hashes(raw, starts, ends)
                 marks = np.zeros(len(h) + 1, np.int64)
-                for i, blobs in enumerate(piece.column("anchors").to_pylist()):
-                    marks[first[i] + np.frombuffer(b"".join(blobs), np.uint32) + 1] = 1
+                for i, blob in enumerate(piece.column("anchors").to_pylist()):
+                    marks[first[i] + np.frombuffer(blob, np.uint32) + 1] = 1
                 marks = np.cumsum(marks)
                 wide, other = textops.rolling(h, window), textops.rolling(h, window, 0xA24BAED4963EE407)
                 owner = textops.owners(first)
@@ -183,9 +190,9 @@ def find_repeats(docs: DataFrame, anchors: DataFrame, window: int, block: int, p
         heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         document = ids[owner][order]
         least = np.repeat(np.minimum.reduceat(document, heads), np.diff(np.append(heads, len(order))))
-        return _found(ids, hashes, owner, place, order[document > least])
+        return _found(ids, hashes, owner, place, order[document > least], parts)
 
-    return near.mapInArrow(windows, _PACKED).groupBy("part").applyInArrow(smallest, _FOUND)
+    return near.mapInArrow(windows, _PACKED).groupBy("part").applyInArrow(smallest, _PACKED).groupBy("part").applyInArrow(_gather, _FOUND)
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
@@ -194,12 +201,12 @@ def remove_repeats(docs: DataFrame, repeats: DataFrame, window: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, spans, kept = [], [], [], []
-            for text, blobs in zip(batch.column("text"), batch.column("repeats"), strict=True):
+            for text, blob in zip(batch.column("text"), batch.column("repeats"), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 n_words.append(len(words))
                 gone: list[dict[str, int]] = []
-                if (blobs := blobs.as_py()) is not None:
-                    at = np.unique(np.frombuffer(b"".join(blobs), np.uint32)).astype(np.int64)
+                if (blob := blob.as_py()) is not None:
+                    at = np.frombuffer(blob, np.uint32).astype(np.int64)
                     apart = np.flatnonzero(np.diff(at) > window)
                     begins, ends = at[np.append(0, apart + 1)], at[np.append(apart, len(at) - 1)] + window
                     gone = [{"begin": a, "end": b} for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
@@ -211,7 +218,7 @@ def remove_repeats(docs: DataFrame, repeats: DataFrame, window: int) -> DataFram
             ids = pa.array([None if x == NO_ID else x for x in batch.column("doc_id").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    joined = docs.join(_by_document(repeats, "repeats"), ["doc_id", "text_hash"], "left")
+    joined = docs.join(repeats.withColumnRenamed("places", "repeats").hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<begin: bigint, end: bigint>>, kept_text string")
 
 
