@@ -18,6 +18,21 @@ MARGIN_PATCHES = 4
 POOL = 2
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, height, width, data) of image files: RGB, decoded by Spark; files that can't be decoded have no row."""
+    rows = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*").filter("nChannels in (1, 3)")
+
+    def to_rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for channels, raw in zip(batch.column("nChannels").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                pixels = np.frombuffer(raw, np.uint8).reshape(-1, channels)
+                data.append(np.repeat(pixels, 3, axis=1).tobytes() if channels == 1 else pixels[:, ::-1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), batch.column("height"), batch.column("width"), pa.array(data, pa.binary())], names=["image_id", "height", "width", "data"])
+
+    return rows.mapInArrow(to_rgb, "image_id string, height int, width int, data binary")
+
+
 def tilings(spark: SparkSession, most: int) -> DataFrame:
     """(rows, cols) with at most ``most`` tiles, a dimension of a few dozen rows."""
     pairs = [(i, j) for i in range(1, most + 1) for j in range(1, most // i + 1)]

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 START_ID = 50256
 
 
+def with_ids(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
 def byte_tokenise(docs: DataFrame, start: bool = True) -> DataFrame:
     """The offline tokenizer: adds ``ids``, a document's start id (with ``start``) and its UTF-8 bytes.
 
@@ -31,7 +35,7 @@ def byte_tokenise(docs: DataFrame, start: bool = True) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32()))
             yield batch.append_column("ids", lists)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, with_ids(docs.schema))
 
 
 def byte_token_count(text: Column | str) -> Column:
@@ -50,7 +54,7 @@ def tokenise(docs: DataFrame, encode, bound: int = 65536) -> DataFrame:
                 raise ValueError(f"a token id is not below {bound}")
             yield batch.append_column("ids", pa.array(lists, pa.list_(pa.int32())))
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, with_ids(docs.schema))
 
 
 def encode_marked(docs: DataFrame, markers: dict[str, int], span_open: str, span_close: str, alphabet: dict[str, int], encode) -> DataFrame:
@@ -81,7 +85,7 @@ def encode_marked(docs: DataFrame, markers: dict[str, int], span_open: str, span
         for batch in batches:
             yield batch.append_column("ids", pa.array([one(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int32())))
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, with_ids(docs.schema))
 
 
 # -- pools ---------------------------------------------------------------------------------------
@@ -200,7 +204,7 @@ def split_validation(docs: DataFrame, n: str, key: str, seed: int, share: float)
 
 
 # Weights of the three sources of the speech and text mixture, and the share of plain text.
-SPEECH_WEIGHTS = {"yodel": 131, "emilia": 73, "tts": 37}
+SPEECH_WEIGHTS = (131, 73, 37)
 TEXT_SHARE = 0.05
 
 

@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusmill.operators.corpus import with_ids
 
 
 def prepare_spans(docs: DataFrame, encode: Callable[[list[str]], list[list[int]]], decode_bytes: Callable[[list[int]], int], max_len: int) -> DataFrame:
@@ -28,7 +31,7 @@ def prepare_spans(docs: DataFrame, encode: Callable[[list[str]], list[list[int]]
                 out[1].append(max(0, start - cut))
             yield batch.append_column("ids", pa.array(out[0], pa.list_(pa.int32()))).append_column("cont_start", pa.array(out[1], pa.int32())).append_column("n_bytes", pa.array(out[2], pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>").add("cont_start", "int").add("n_bytes", "bigint"))
+    return docs.mapInArrow(run, T.StructType([*with_ids(docs.schema).fields, T.StructField("cont_start", T.IntegerType()), T.StructField("n_bytes", T.LongType())]))
 
 
 def bits_per_byte(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

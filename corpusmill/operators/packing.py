@@ -19,7 +19,7 @@ MAX_DOCS = {16384: 64, 32768: 96, 49152: 128}
 
 
 def max_docs(n_tokens: int) -> int:
-    return MAX_DOCS.get(n_tokens, math.ceil(n_tokens // 300 / 128) * 128)
+    return MAX_DOCS.get(n_tokens, max(1, math.ceil(n_tokens // 300 / 128)) * 128)
 
 
 # -- contiguous windows ----------------------------------------------------------------------------

@@ -263,7 +263,7 @@ def speech_text_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = counted(spark, sf_dir).withColumn("max_id", F.lit(255))
     speech = rows.filter(F.col("source").isin("src1", "src2", "src3"))
     plain = rows.filter(F.col("source") == "src4").select("doc_id", "n_tokens", "max_id")
-    return corpus.speech_mixture(speech.select("doc_id", "source", "n_tokens", "max_id"), plain, 60_000, {"src1": 131, "src2": 73, "src3": 37}, 0.05, 9)
+    return corpus.speech_mixture(speech.select("doc_id", "source", "n_tokens", "max_id"), plain, 60_000, dict(zip(("src1", "src2", "src3"), corpus.SPEECH_WEIGHTS, strict=True)), 0.05, 9)
 
 
 @query()
