@@ -10,19 +10,21 @@ linked when 100 * intersection >= 100 * threshold * union.
 2. Documents that share a band's samples are candidates.  Within such a bucket, pairs are judged by
    their sketches: from the population count of the XOR follows an estimate of the similarity,
    precise for high similarities.  The bucket proposes only a spanning forest of plausible pairs
-   (estimate >= threshold - ``MARGIN``) over the components known so far.  Buckets of more
+   (estimate >= threshold - ``MARGIN``, and sizes that allow the threshold).  Buckets of more
    than ``BLOCK`` members are dealt as pairs of blocks, so that no task holds a whole hot bucket.
 3. Proposed pairs are confirmed on the full sets of 64-bit shingle hashes.  Confirmed pairs
-   join components; refuted ones are remembered, and the buckets that still hold several
-   components propose again, until no bucket has a plausible pair left.  So every plausible pair
+   join components; refuted ones are remembered.  In buckets that still hold several components
+   the members outside the largest propose their most similar partners of other components, more
+   of them in each round, until no plausible pair is left.  So every plausible pair
    that shares a bucket is either confirmed, refuted, or inside one component.
 
 At a similarity of 0.75, no common band has a probability of (1 - 0.75**4)**32 < 6e-6, and the margin
-is over four standard deviations of the sketch's estimate.
+is about four standard deviations of the sketch's estimate.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with a null
-``doc_id`` are linked with nothing; their component is null, and they stay.  Rows that
-share a ``doc_id`` are one vertex.  An empty table gives no rows.
+``doc_id`` are linked with nothing; their component is null, and they stay.  A vertex is named
+by the smallest ``doc_id`` of its set, so rows that share a ``doc_id`` but not a set each follow
+their own set (two sets with the same name are one vertex).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from . import graph, store, textops
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-MARGIN = 0.2
+MARGIN = 0.16
+#: Bridges that a document may propose in the second round; each further round allows eight times as many.
+BRIDGES = 8
 BLOCK = 8192
 
 _rng = np.random.default_rng(86028121)
@@ -122,70 +126,84 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _forest(nodes: np.ndarray, labels: np.ndarray, sketches: np.ndarray, refuted: set[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """Plausible pairs that join the components of one bucket, and no more of them than needed."""
-    n = len(nodes)
-    _, comp = np.unique(labels, return_inverse=True)
-    outside = np.ones(n, bool)
-    edges: list[tuple[int, int]] = []
-    for pivot in range(n):
+def _forest(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the plausible pairs of one bucket."""
+    outside, edges = np.ones(len(nodes), bool), []
+    for pivot in range(len(nodes)):
         if not outside[pivot]:
             continue
-        own = np.flatnonzero(outside & (comp == comp[pivot]))
-        outside[own] = False
-        queue = own.tolist()
+        outside[pivot] = False
+        queue = [pivot]
         while queue and outside.any():
             i = queue.pop()
             others = np.flatnonzero(outside)
-            near = others[_POP[sketches[others] ^ sketches[i]].sum(1) <= most]
-            for j in near.tolist():
-                if not outside[j]:
-                    continue
-                pair = (int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j])))
-                if pair in refuted or pair[0] == pair[1]:
-                    continue
-                edges.append(pair)
-                joined = np.flatnonzero(outside & (comp == comp[j]))
-                outside[joined] = False
-                queue.extend(joined.tolist())
+            near = others[_plausible(i, others, sizes, sketches, most, percent)[0]]
+            outside[near] = False
+            queue.extend(near.tolist())
+            edges += [(max(x, y), min(x, y)) for x, y in ((int(nodes[i]), int(nodes[j])) for j in near) if x != y]
     return edges
 
 
-def propose(members: DataFrame, most: int) -> DataFrame:
-    """(u, v), u > v: pairs to confirm, from rows (bucket, block_a, block_b, node, label, sketch, refuted)."""
+def _plausible(i: int, others: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the others may be linked with i (by the sets' sizes, exactly, and by the sketches), and the XORs' population counts."""
+    small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+    flips = _POP[sketches[others] ^ sketches[i]].sum(1)
+    return (100 * small >= percent * large) & (flips <= most), flips
+
+
+def _bridges(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, refuted: list, most: int, percent: int, each: int) -> set[tuple[int, int]]:
+    """For every member outside the bucket's largest component, its ``each`` most similar plausible partners of other components
+    that aren't refuted yet."""
+    names, number, count = np.unique(labels, return_inverse=True, return_counts=True)
+    edges = set()
+    for i in np.flatnonzero(number != count.argmax()):
+        others = np.flatnonzero(number != number[i])
+        fits, flips = _plausible(i, others, sizes, sketches, most, percent)
+        known = set(refuted[i] or ())
+        others, flips = others[fits], flips[fits]
+        left = each
+        for j in others[np.argsort(flips, kind="stable")].tolist():
+            x, y = int(nodes[i]), int(nodes[j])
+            if x != y and y not in known:
+                edges.add((max(x, y), min(x, y)))
+                left -= 1
+                if not left:
+                    break
+    return edges
+
+
+def propose(members: DataFrame, most: int, percent: int, each: int | None) -> DataFrame:
+    """(u, v), u > v: pairs to confirm, from rows (bucket, block_a, block_b, node, label, n, sketch, refuted).
+
+    Without ``each``: a spanning forest of each bucket; with it: bridges between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         table = pa.Table.from_batches(rows)  # the buckets of one partition; each is bounded by its blocks
-        bucket, a, b, nodes, labels = (table.column(x).to_numpy() for x in ("bucket", "block_a", "block_b", "node", "label"))
+        bucket, a, b, nodes, labels, sizes = (table.column(x).to_numpy() for x in ("bucket", "block_a", "block_b", "node", "label", "n"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
-        refuted_of = table.column("refuted").to_pylist()
+        refuted = table.column("refuted").to_pylist()
         order = np.lexsort((nodes, b, a, bucket))
         cuts = np.flatnonzero(np.append(True, (np.diff(bucket[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
-        size = np.diff(np.append(cuts, len(order)))
         pairs: set[tuple[int, int]] = set()
-        two = cuts[size == 2]
-        i, j = order[two], order[two + 1]
-        near = (labels[i] != labels[j]) & (nodes[i] != nodes[j]) & (_POP[sketches[i] ^ sketches[j]].sum(1) <= most)
-        for x, y, r in zip(nodes[i[near]].tolist(), nodes[j[near]].tolist(), (refuted_of[k] for k in i[near].tolist()), strict=True):
-            if not r or y not in r:
-                pairs.add((max(x, y), min(x, y)))
-        for c, s in zip(cuts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = order[c : c + s]
-            if len(np.unique(labels[own])) > 1:
-                refuted = {(max(x, y), min(x, y)) for k, x in zip(own.tolist(), nodes[own].tolist(), strict=True) for y in refuted_of[k] or ()}
-                pairs.update(_forest(nodes[own], labels[own], sketches[own], refuted, most))
+        for c, d in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
+            own = order[c:d]
+            if len(own) < 2:
+                continue
+            if each is None:
+                pairs.update(_forest(nodes[own], sizes[own], sketches[own], most, percent))
+            else:
+                pairs |= _bridges(nodes[own], labels[own], sizes[own], sketches[own], [refuted[k] for k in own], most, percent, each)
         u, v = zip(*sorted(pairs), strict=True) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return members.repartition("bucket", "block_a", "block_b").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v, linked) from the full sets."""
-    percent = round(100 * threshold)
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +231,17 @@ def shingle_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return own.select("doc_id", "text").mapInArrow(run, "node bigint, shingles binary")
 
 
+def _still_read(path: str, *tables: DataFrame | None) -> bool:
+    return any(path.rpartition("/")[2] in f for t in tables if t is not None for f in t.inputFiles())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    most = most_flips(threshold - MARGIN)
+    most, percent = most_flips(threshold - MARGIN), round(100 * threshold)
     found, _ = store.materialise(signatures(docs, shingle), "signatures")
-    vertices = found.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    vertices = found.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     vertices, _ = store.materialise(vertices, "vertices")
     keys = vertices.select("node", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -228,8 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     nodes = buckets.select("node").distinct()
     sets, sets_path = store.materialise(shingle_table(docs, nodes, shingle), "shingle-sets")
     store.release(spark)
-    sketches = vertices.select("node", "sketch")
-    refuted, linked, edges_path, paths = None, None, None, []
+    sketches = vertices.select("node", "n", "sketch")
+    refuted, linked, old, each = None, None, [], None
     while True:
         rows = buckets.join(sketches, "node")
         if linked is None:
@@ -246,20 +268,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
             rows = rows.join(both.groupBy("node").agg(F.collect_set("other").alias("refuted")), "node", "left")
         own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("own", "other_block").alias("block_a"), F.greatest("own", "other_block").alias("block_b"), "node", "label", "sketch", "refuted")
-        judged, path = store.materialise(confirm(propose(rows, most), sets, threshold), "judged")
-        paths.append(path)
-        if judged.isEmpty():
+        rows = rows.select("bucket", F.least("own", "other_block").alias("block_a"), F.greatest("own", "other_block").alias("block_b"), "node", "label", "n", "sketch", "refuted")
+        judged, path = store.materialise(confirm(propose(rows, most, percent, each), sets, percent), "judged")
+        good, bad = (judged.filter(x).select("u", "v") for x in ("linked", "not linked"))
+        n_good, n_bad = judged.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
+        gone, old = [path, *old], []
+        if n_good:
+            linked, kept = graph.components(good if linked is None else good.unionByName(linked))
+            old.append(kept)
+        if n_bad:
+            refuted, kept = store.materialise(bad if refuted is None else bad.unionByName(refuted), "refuted")
+            old.append(kept)
+        del judged, good, bad, rows
+        if not n_good + n_bad:
             break
-        bad = judged.filter("not linked").select("u", "v")
-        refuted = bad if refuted is None else refuted.unionByName(bad)
-        good = judged.filter("linked").select("u", "v")
-        if not good.isEmpty():
-            linked, next_path = graph.components(good if linked is None else good.unionByName(linked))
-            if edges_path:
-                store.release(spark, edges_path)
-            edges_path = next_path
-    store.release(spark, sets_path, buckets_path, *paths)
+        store.release(spark, *(x for x in gone if not _still_read(x, linked, refuted)))
+        old += [x for x in gone if _still_read(x, linked, refuted)]
+        each = BRIDGES if each is None else 8 * each
+    store.release(spark, sets_path, buckets_path)
     to = vertices.select("digest", "node")
     if linked is not None:
         to = to.join(linked.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left").select("digest", F.coalesce("to", "node").alias("component"))
