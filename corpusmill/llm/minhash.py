@@ -42,14 +42,13 @@ SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 MARGIN = 0.16
-#: Bridges that a document may propose in the second round; each further round allows eight times as many.
-BRIDGES = 8
+#: Bridges that a document may propose in the second round; each further round allows sixteen times as many.
+BRIDGES = 64
 BLOCK = 8192
 
 _rng = np.random.default_rng(86028121)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_POP = np.array([bin(i).count("1") for i in range(65536)], np.uint16)
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -147,7 +146,7 @@ def _forest(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: in
 def _plausible(i: int, others: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the others may be linked with i (by the sets' sizes, exactly, and by the sketches), and the XORs' population counts."""
     small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-    flips = _POP[sketches[others] ^ sketches[i]].sum(1)
+    flips = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
     return (100 * small >= percent * large) & (flips <= most), flips
 
 
@@ -183,7 +182,7 @@ def propose(members: DataFrame, most: int, percent: int, each: int | None) -> Da
             return
         table = pa.Table.from_batches(rows)  # the buckets of one partition; each is bounded by its blocks
         bucket, a, b, nodes, labels, sizes = (table.column(x).to_numpy() for x in ("bucket", "block_a", "block_b", "node", "label", "n"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
         refuted = table.column("refuted").to_pylist()
         order = np.lexsort((nodes, b, a, bucket))
         cuts = np.flatnonzero(np.append(True, (np.diff(bucket[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
@@ -284,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
             break
         store.release(spark, *(x for x in gone if not _still_read(x, linked, refuted)))
         old += [x for x in gone if _still_read(x, linked, refuted)]
-        each = BRIDGES if each is None else 8 * each
+        each = BRIDGES if each is None else 16 * each
     store.release(spark, sets_path, buckets_path)
     to = vertices.select("digest", "node")
     if linked is not None:
