@@ -7,7 +7,7 @@ number of chunks enter a small hidden layer and a logistic unit, which give the
 probability of the better label.
 
 It is trained on the driver from a bounded sample of the labelled rows: of each label the
-``max_train`` / 2 texts with the smallest hash.  In training (only) a long document is seen
+``max_train`` / 2 whose ids have the smallest hash.  In training (only) a long document is seen
 through ``TRAIN_CHUNKS`` chunks, evenly spread over its first ``MAX_CHARS`` characters.
 Scoring reads every byte.
 
@@ -144,11 +144,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Network
     return net
 
 
-def fit(labelled: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Network:
-    """Train from a sample of ``labelled`` (text and 0/1 label): ``max_train`` texts at most, half of
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Network:
+    """Train from a sample of the documents that ``labels`` (doc_id and 0/1 label) names: ``max_train`` at most, half of
     them of each label; the bias is then set for the labels' shares in all rows."""
-    rows = labelled.select("text", F.least(F.greatest(F.col(label).cast("int"), F.lit(0)), F.lit(1)).alias("y"))
-    sample = sampling.labelled_texts(rows, "y", max_train // 2, MAX_CHARS)
+    rows = labels.select("doc_id", F.least(F.greatest(F.col(label).cast("int"), F.lit(0)), F.lit(1)).alias("y"))
+    sample = sampling.texts_of_labels(docs, rows, "y", max_train // 2, MAX_CHARS)
     net = train([r.text for r in sample], [r.label for r in sample])
     total, taken = {r.label: r.n_rows for r in sample}, Counter(r.label for r in sample)
     if net.constant is None:

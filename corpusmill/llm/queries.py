@@ -58,7 +58,7 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Network:
     """Learns only from labels whose crc32(doc_id as text) mod 3 is not 1."""
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1).select("doc_id", "quality")
-    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return quality.fit(docs, labels)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
