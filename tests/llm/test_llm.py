@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on hard cases and on the small tables."""
 
+import math
 import random
 import zlib
 
@@ -139,6 +140,18 @@ def test_odd_sketches_estimate():
         assert abs(estimate - j) < 0.03
 
 
+def test_sketches_lose_no_more_links_than_bands():
+    k, bits, j = minhash.BANDS * minhash.ROWS, minhash.SKETCH_BITS, minhash.THRESHOLD
+    most = minhash.most_flips(j - minhash.MARGIN)
+    count, held, lost = np.arange(bits + 1), np.zeros(bits + 1), 0.0
+    held[0] = 1  # distribution of the XOR's population count; each differing sample flips two bits
+    for differing in range(k + 1):
+        lost += math.comb(k, differing) * (1 - j) ** differing * j ** (k - differing) * held[most + 1 :].sum()
+        for _ in range(2):
+            held = np.append(0, (held * (1 - count / bits))[:-1]) + np.append((held * count / bits)[1:], 0)
+    assert lost <= (1 - j**minhash.ROWS) ** minhash.BANDS
+
+
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination(spark, hard, nothing, limit):
     rows, docs = hard
