@@ -7,9 +7,8 @@ number of chunks enter a small hidden layer and a logistic unit, which give the
 probability of the better label.
 
 It is trained on the driver from a bounded sample of the labelled rows: of each label the
-``max_train`` / 2 whose ids have the smallest hash.  In training (only) a long document is seen
-through ``TRAIN_CHUNKS`` chunks, evenly spread over its first ``MAX_CHARS`` characters.
-Scoring reads every byte.
+``max_train`` / 2 whose ids have the smallest hash.  Training and scoring read every byte
+of a document, with the same chunks and the same pooling.
 
 Null and empty texts are scored as a document of padding bytes.  Repeated rows get the
 same score each.  Without any labelled row, or with one label only, the score is the
@@ -30,8 +29,12 @@ from pyspark.sql import functions as F
 from . import sampling, textops
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 8, 32, 16
-#: Documents in training, at most, and chunks of each.
-MAX_TRAIN, TRAIN_CHUNKS, MAX_CHARS = 3000, 400, 50_000
+#: Documents in training, at most.
+MAX_TRAIN = 3000
+#: Chunks that are held as windows at a time.
+BLOCK = 1 << 17
+#: A document is good from this score on.
+DECISION = 0.5
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.004, 1e-4
 
 
@@ -58,8 +61,8 @@ class Network:
         best = np.full((len(size), FILTERS), 0, np.float32)
         total = np.zeros((len(size), FILTERS), np.float32)
         owner = np.repeat(np.arange(len(size)), chunks)
-        for a in range(0, len(first), 1 << 17):  # bounds memory whatever a text's length
-            rows = first[a : a + (1 << 17)]
+        for a in range(0, len(first), BLOCK):  # bounds memory whatever a text's length
+            rows = first[a : a + BLOCK]
             windows = self.embedding[codes[rows[:, None] + np.arange(WIDTH)]].reshape(len(rows), -1)
             out = np.maximum(windows @ self.filters + self.offset, 0)
             own = owner[a : a + len(rows)]
@@ -80,14 +83,28 @@ def _features(best: np.ndarray, mean: np.ndarray, chunks: np.ndarray) -> np.ndar
 
 
 def _codes(text: str | None) -> np.ndarray:
+    """A text's bytes, padded to whole chunks."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     n = max(1, -(-(len(raw) - (WIDTH - STRIDE)) // STRIDE))
-    padded = np.full((n - 1) * STRIDE + WIDTH, 256, np.int64)
+    padded = np.full((n - 1) * STRIDE + WIDTH, 256, np.uint16)
     padded[: len(raw)] = raw
-    chunks = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STRIDE]
-    if n > TRAIN_CHUNKS:
-        chunks = chunks[np.linspace(0, n - 1, TRAIN_CHUNKS).astype(np.int64)]
-    return chunks
+    return padded
+
+
+def _blocks(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, their documents' numbers) of all chunks of some documents, ``BLOCK`` at most at a time."""
+    held, owner, room = [], [], BLOCK
+    for i, doc in enumerate(docs):
+        chunks = np.lib.stride_tricks.sliding_window_view(doc, WIDTH)[::STRIDE]
+        while len(chunks):
+            held.append(chunks[:room])
+            owner.append(np.full(len(held[-1]), i))
+            chunks, room = chunks[len(held[-1]) :], room - len(held[-1])
+            if not room:
+                yield np.concatenate(held), np.concatenate(owner)
+                held, owner, room = [], [], BLOCK
+    if held:
+        yield np.concatenate(held), np.concatenate(owner)
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Network:
@@ -108,30 +125,38 @@ def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Network
     for _ in range(EPOCHS):
         for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
             step += 1
-            x = np.concatenate([docs[i] for i in some])
-            size = np.array([len(docs[i]) for i in some])
-            heads = np.cumsum(size) - size
-            windows = net.embedding[x].reshape(len(x), -1)
-            out = np.maximum(windows @ net.filters + net.offset, 0)
-            best = np.maximum.reduceat(out, heads)
-            mean = np.add.reduceat(out, heads) / size[:, None]
+            own_docs = [docs[i] for i in some]
+            size = np.array([(len(x) - WIDTH) // STRIDE + 1 for x in own_docs])
+            best, total, ties = np.zeros((len(some), FILTERS), np.float32), np.zeros((len(some), FILTERS)), np.zeros((len(some), FILTERS))
+            for x, own in _blocks(own_docs):
+                out = np.maximum(net.embedding[x].reshape(len(x), -1) @ net.filters + net.offset, 0)
+                cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                most = np.maximum.reduceat(out, cuts)
+                equal = np.add.reduceat((out == most[np.cumsum(np.append(False, own[1:] != own[:-1]))]).astype(np.float64), cuts)
+                d = own[cuts]
+                ties[d] = np.where(most > best[d], equal, ties[d] + np.where(most == best[d], equal, 0))
+                best[d] = np.maximum(best[d], most)
+                total[d] += np.add.reduceat(out, cuts)
+            mean = total / size[:, None]
             features = _features(best, mean, size)
             hidden = np.tanh(features @ net.inner + net.inner_offset)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.weight + net.bias, -40, 40)))
             d = (p - y[some]) / len(some)
             d_hidden = d[:, None] * net.weight * (1 - hidden * hidden)
             grad = {"weight": hidden.T @ d + DECAY * net.weight, "inner": features.T @ d_hidden + DECAY * net.inner, "inner_offset": d_hidden.sum(0)}
-            own = np.repeat(np.arange(len(some)), size)
             d_features = d_hidden @ net.inner.T
-            d_out = (d_features[:, FILTERS : 2 * FILTERS] / size[:, None])[own].astype(np.float32)
-            top = out == best[own]
-            d_out += np.where(top, (d_features[:, :FILTERS] / np.maximum(1, np.add.reduceat(top.astype(np.float64), heads)))[own], 0).astype(np.float32)
-            d_out *= out > 0
-            grad["filters"] = windows.T @ d_out + DECAY * net.filters
-            grad["offset"] = d_out.sum(0)
-            back = (d_out @ net.filters.T).reshape(-1, EMBED)
-            codes = x.reshape(-1)
-            grad["embedding"] = np.stack([np.bincount(codes, back[:, k], 257) for k in range(EMBED)], axis=1)
+            d_mean = (d_features[:, FILTERS : 2 * FILTERS] / size[:, None]).astype(np.float32)
+            d_best = (d_features[:, :FILTERS] / np.maximum(1, ties)).astype(np.float32)
+            grad |= {"filters": DECAY * net.filters, "offset": np.zeros_like(net.offset), "embedding": np.zeros_like(net.embedding)}
+            for x, own in _blocks(own_docs):
+                windows = net.embedding[x].reshape(len(x), -1)
+                out = np.maximum(windows @ net.filters + net.offset, 0)
+                d_out = (d_mean[own] + np.where(out == best[own], d_best[own], 0)) * (out > 0)
+                grad["filters"] += windows.T @ d_out
+                grad["offset"] += d_out.sum(0)
+                back = (d_out @ net.filters.T).reshape(-1, EMBED)
+                codes = x.reshape(-1)
+                grad["embedding"] += np.stack([np.bincount(codes, back[:, k], 257) for k in range(EMBED)], axis=1).astype(np.float32)
             for n in names:
                 g = grad[n]
                 first[n] = 0.9 * first[n] + 0.1 * g
@@ -148,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     """Train from a sample of the documents that ``labels`` (doc_id and 0/1 label) names: ``max_train`` at most, half of
     them of each label; the bias is then set for the labels' shares in all rows."""
     rows = labels.select("doc_id", F.least(F.greatest(F.col(label).cast("int"), F.lit(0)), F.lit(1)).alias("y"))
-    sample = sampling.texts_of_labels(docs, rows, "y", max_train // 2, MAX_CHARS)
+    sample = sampling.texts_of_labels(docs, rows, "y", max_train // 2)
     net = train([r.text for r in sample], [r.label for r in sample])
     total, taken = {r.label: r.n_rows for r in sample}, Counter(r.label for r in sample)
     if net.constant is None:

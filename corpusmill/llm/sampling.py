@@ -33,11 +33,11 @@ def labelled_texts(rows: DataFrame, label: str, per_label: int, max_chars: int)
     return [Row(label=r[label], text=r.text, n_rows=totals[r[label]]) for r in sorted(texts, key=lambda r: (r[label], r.n))]
 
 
-def texts_of_labels(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:
-    """``labelled_texts`` for labels in a table of their own (doc_id, label): ids are chosen by their hash from the labels alone,
+def texts_of_labels(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[Row]:
+    """``labelled_texts``, uncut, for labels in a table of their own (doc_id, label): ids are chosen by their hash from the labels alone,
     and ``n_rows`` counts labels.  Only the chosen ids meet the documents, so no other text is moved."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
     chosen, totals = _ranked(rows, label, "doc_id", per_label)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # per_label rows a label
-    texts = picked.groupBy(label, "n").agg(F.min(F.substring("text", 1, max_chars)).alias("text")).collect()
+    texts = picked.groupBy(label, "n").agg(F.min("text").alias("text")).collect()
     return [Row(label=r[label], text=r.text, n_rows=totals[r[label]]) for r in sorted(texts, key=lambda r: (r[label], r.n))]

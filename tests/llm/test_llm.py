@@ -221,6 +221,15 @@ def test_quality(spark, sf, hard, nothing):
     assert quality.fit(nothing, nothing.select("doc_id", "label"), "label").constant == 0.5
 
 
+def test_training_sees_every_byte(monkeypatch):
+    texts = lambda mark: ["good text " * 6000 + 4 * mark + " more" * 100] * 3 + ["other words " * 40] * 3
+    one, two = (quality.train(texts(mark), [0] * 3 + [1] * 3) for mark in "$#")
+    assert not np.array_equal(one.embedding[ord("$")], two.embedding[ord("$")])
+    monkeypatch.setattr(quality, "BLOCK", 1000)
+    small = quality.train(texts("$"), [0] * 3 + [1] * 3)
+    assert np.allclose(one.inner, small.inner, atol=1e-2) and np.allclose(one.filters, small.filters, atol=1e-2)
+
+
 def test_scores_do_not_depend_on_batches():
     net = quality.train(["good text here"] * 8 + ["!!!! $$$$ !!!!"] * 8, [1] * 8 + [0] * 8)
     import pyarrow as pa
