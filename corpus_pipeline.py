@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import decontam, line_dedup, minhash, packing, quality, queries, store, tokens
 
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-#: A document goes when its probability of being good is below this: clean documents are kept in doubt.
-QUALITY_FLOOR = 0.2
+#: A document goes when the classifier calls it bad, as in op7_quality.
+QUALITY_FLOOR = quality.DECISION
 
 
 def _documents(docs: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def keep_good(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, net: Network, threshold: float = DECISION) -> DataFrame:
     """The rows of ``docs`` (all columns) whose score reaches ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -64,7 +64,7 @@ def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> qualit
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality_network(spark, docs, sf_dir))
-    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.DECISION).cast("int").alias("predicted"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

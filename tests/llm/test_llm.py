@@ -323,6 +323,16 @@ def test_pipeline(spark, sf):
     brute.check_packing(pieces, rows(fourth), lambda t: library.encode(t, add_special_tokens=False).ids)
 
 
+def test_pipeline_drops_what_the_classifier_rejects(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    net = quality.train([], [])
+    docs = spark.createDataFrame([(1, "a", None, None, 1)], SCHEMA.partition(", text_hash")[0])
+    monkeypatch.setattr(queries, "quality_network", lambda *_: net)
+    for net.constant, kept in ((0.3, 0), (0.49, 0), (0.5, 1)):
+        assert p.quality_filter(spark, docs, "").count() == kept
+
+
 def test_pipeline_takes_any_documents(spark, sf, hard, nothing):
     import corpus_pipeline as p
 
