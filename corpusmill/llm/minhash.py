@@ -6,34 +6,41 @@ linked when 100 * intersection >= 100 * threshold * union.
 
 1. Each set gives ``BANDS`` * ``ROWS`` MinHash samples.  The samples are also folded into an odd
    sketch, a bitmap in which each (sample number, value) flips one bit.  Equal sets are one
-   vertex from here on.
-2. Documents that share a band's samples are candidates.  Within such a bucket, pairs are judged by
+   vertex from here on, named by 64 bits of their digest.
+2. Vertices that share a band's samples are candidates.  Within such a bucket, pairs are judged by
    their sketches: from the population count of the XOR follows an estimate of the similarity,
-   precise for high similarities.  The bucket proposes only a spanning forest of plausible pairs
-   (estimate >= threshold - ``MARGIN``, and sizes that allow the threshold).  Buckets of more
-   than ``BLOCK`` members are dealt as pairs of blocks, so that no task holds a whole hot bucket.
-3. Proposed pairs are confirmed on the full sets of 64-bit shingle hashes.  Confirmed pairs
-   join components; refuted ones are remembered.  In buckets that still hold several components
-   the members outside the largest propose their most similar partners of other components, more
-   of them in each round, until no plausible pair is left.  So every plausible pair
-   that shares a bucket is either confirmed, refuted, or inside one component.
+   precise for high similarities.  A pair is plausible with an estimate >= threshold - ``MARGIN`` and
+   sizes that allow the threshold.  The bucket gives a spanning forest of its plausible
+   pairs, fewer edges than members; the components of all forests are the clusters.
+3. Every link found by the bands lies inside one cluster.  A cluster's full sets of 64-bit shingle
+   hashes meet in a task, which compares pairs of different components exactly and again gives a
+   spanning forest only.  What is refuted is never written, so the output is linear.
+
+Groups (buckets, clusters) above a limit are dealt to several tasks, in two rounds.  First each
+part is judged by itself, together with a small sample of the group that all parts hold, so
+that the parts' large components meet.  Then the members outside the group's
+largest component (a few, usually) meet every part of it and each other, and nothing else
+is compared twice.  While these members fit one part, a group of k members is dealt as k + o(k) rows.
 
 At a similarity of 0.75, no common band has a probability of (1 - 0.75**4)**32 = 5.2e-6, and the margin
 loses 2.0e-6 (exact distribution of the XOR's population count): the sketch loses less than the bands.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with a null
-``doc_id`` are linked with nothing; their component is null, and they stay.  A vertex is named
-by the smallest ``doc_id`` of its set, so rows that share a ``doc_id`` but not a set each follow
-their own set (two sets with the same name are one vertex).  An empty table gives no rows.
+``doc_id`` are linked with nothing; their component is null, and they stay.  Rows that share a ``doc_id``
+but not a set are separate documents and each follow their own set; ``text_hash`` tells them apart.
+Repeated rows get the same result each.  A very long text is one set like any other: groups are
+dealt by the number of shingles.  Only ``doc_id`` and ``text`` are read, so other columns can have any
+name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, store, textops
@@ -42,9 +49,12 @@ SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 MARGIN = 0.23
-#: Bridges that a document may propose in the second round; each further round allows sixteen times as many.
-BRIDGES = 64
-BLOCK = 8192
+#: Members of a bucket, and shingles of a cluster, that one task judges.
+BLOCK, BLOCK_SHINGLES = 8192, 1 << 20
+#: A group's sample that all its parts hold is about this share of a part.
+PIVOTS = 16
+#: Up to so many sets are compared one by one, more by an index of their shingles.
+FEW = 8
 
 _rng = np.random.default_rng(86028121)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,8 +109,16 @@ def most_flips(least: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * k * (1 - least) / SKETCH_BITS)))
 
 
+def _vertex(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch); an empty set has null digest, bands and sketch."""
+    """(doc_id, text_hash, n_shingles, node, bands, sketch); an empty set has null node, bands and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,186 +129,244 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 found = np.stack([samples(sets[i]) for i in full]) if len(full) else np.zeros((0, BANDS * ROWS), np.uint64)
                 keys, sketches = bands(found), odd_sketches(found) if len(full) else np.zeros((0, SKETCH_BITS // 8), np.uint8)
                 place = {int(i): n for n, i in enumerate(full)}
-                digest = [_digest(sets[i]) if i in place else None for i in range(len(sets))]
+                node = [_vertex(sets[i]) if i in place else None for i in range(len(sets))]
                 key_lists = [keys[place[i]].view(np.int64) if i in place else None for i in range(len(sets))]
                 sketch = [sketches[place[i]].tobytes() if i in place else None for i in range(len(sets))]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(digest, pa.binary()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
-
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("text_hash"), pa.array(size), pa.array(node, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch binary")
+
+
+def connect(labels: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join what ``near`` links and ``labels`` doesn't join yet: a spanning forest.
+
+    ``near(x, others)`` gives a mask of the others that are linked with x.  Each pair that ends in different
+    components has been asked for."""
+    label = np.unique(labels, return_inverse=True)[1]
+    done, edges, main = np.zeros(len(label), bool), [], -1
+
+    def ask(x: int) -> np.ndarray:
+        done[x] = True
+        others = np.flatnonzero(label != label[x])
+        found = others[near(x, others)] if len(others) else others
+        if len(found):
+            joined, first = np.unique(label[found], return_index=True)
+            edges.extend((x, int(found[f])) for f in first)
+            joined = np.append(joined, label[x])
+            label[np.isin(label, joined)] = main if main in joined else label[x]
+        return found
+
+    count = np.bincount(label)
+    seen = label == count.argmax() if count.max() > 1 else np.zeros(len(label), bool)
+    for x in range(len(label)):  # stars; in a group of near copies the first one reaches nearly all
+        if not seen[x]:
+            seen[x] = True
+            seen[ask(x)] = True
+    main = int(np.bincount(label).argmax())
+    for x in np.flatnonzero(label != main).tolist():
+        if not done[x] and label[x] != main:
+            ask(x)
+    return edges
 
-def _digest(own: np.ndarray) -> bytes:
-    import hashlib
 
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+def by_sketch(values: np.ndarray, at: np.ndarray, size: np.ndarray, most: int, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Plausible pairs: by the sets' sizes, exactly, and by the XORs' population counts."""
+    sketches = values.reshape(len(size), -1)
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        fits = 100 * np.minimum(size[x], size[others]) >= percent * np.maximum(size[x], size[others])
+        fits[fits] = np.bitwise_count(sketches[others[fits]] ^ sketches[x]).sum(1, dtype=np.int64) <= most
+        return fits
+
+    return near
+
+
+def by_set(values: np.ndarray, at: np.ndarray, size: np.ndarray, _: int, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links, from the full sets.
+
+    A partner of x holds ``percent`` of x's shingles at least, so it holds one of any 100 - ``percent`` of them and one more.  If
+    that many stand in x alone, nothing is linked with it."""
+    least = size - -(-percent * size // 100) + 1  # so many shingles of a set hold one of each partner
+    if len(size) > FEW:
+        code, frequency = np.unique(values, return_inverse=True, return_counts=True)[1:]
+        order = np.argsort(code, kind="stable")
+        owner = np.repeat(np.arange(len(size)), size)[order]
+        posting = np.cumsum(frequency) - frequency
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        linked = 100 * np.minimum(size[x], size[others]) >= percent * np.maximum(size[x], size[others])
+        if not linked.any():
+            return linked
+        fit = others[linked]
+        if len(size) > FEW:
+            own = code[at[x] : at[x + 1]]
+            if np.partition(frequency[own], least[x] - 1)[least[x] - 1] == 1:
+                return np.zeros(len(others), bool)
+            own = own[frequency[own] > 1]
+            common = np.bincount(owner[textops.spread(posting[own], frequency[own])], minlength=len(size))[fit]
+        else:
+            common = np.array([len(np.intersect1d(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], assume_unique=True)) for y in fit.tolist()])
+        linked[linked] = 100 * common >= percent * (size[x] + size[fit] - common)
+        return linked
 
+    return near
 
-def _forest(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the plausible pairs of one bucket."""
-    outside, edges = np.ones(len(nodes), bool), []
-    for pivot in range(len(nodes)):
-        if not outside[pivot]:
-            continue
-        outside[pivot] = False
-        queue = [pivot]
-        while queue and outside.any():
-            i = queue.pop()
-            others = np.flatnonzero(outside)
-            near = others[_plausible(i, others, sizes, sketches, most, percent)[0]]
-            outside[near] = False
-            queue.extend(near.tolist())
-            edges += [(max(x, y), min(x, y)) for x, y in ((int(nodes[i]), int(nodes[j])) for j in near) if x != y]
-    return edges
 
+_DEALT = ("grp", "a", "b", "node", "label", "n", "held")
 
-def _plausible(i: int, others: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the others may be linked with i (by the sets' sizes, exactly, and by the sketches), and the XORs' population counts."""
-    small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-    flips = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
-    return (100 * small >= percent * large) & (flips <= most), flips
-
-
-def _bridges(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, refuted: list, most: int, percent: int, each: int) -> set[tuple[int, int]]:
-    """For every member outside the bucket's largest component, its ``each`` most similar plausible partners of other components
-    that aren't refuted yet."""
-    names, number, count = np.unique(labels, return_inverse=True, return_counts=True)
-    edges = set()
-    for i in np.flatnonzero(number != count.argmax()):
-        others = np.flatnonzero(number != number[i])
-        fits, flips = _plausible(i, others, sizes, sketches, most, percent)
-        known = set(refuted[i] or ())
-        others, flips = others[fits], flips[fits]
-        left = each
-        for j in others[np.argsort(flips, kind="stable")].tolist():
-            x, y = int(nodes[i]), int(nodes[j])
-            if x != y and y not in known:
-                edges.add((max(x, y), min(x, y)))
-                left -= 1
-                if not left:
-                    break
-    return edges
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(node, label, size, values, at) of each group of two members or more, from sorted rows; one group is held at a time."""
+    held: tuple[np.ndarray, ...] | None = None
 
-def propose(members: DataFrame, most: int, percent: int, each: int | None) -> DataFrame:
-    """(u, v), u > v: pairs to confirm, from rows (bucket, block_a, block_b, node, label, n, sketch, refuted).
+    def cut(x: tuple[np.ndarray, ...], a: int, b: int) -> tuple[np.ndarray, ...]:
+        keys, node, label, size, values, at = x
+        return keys[a:b], node[a:b], label[a:b], size[a:b], values[at[a] : at[b]], at[a : b + 1] - at[a]
 
-    Without ``each``: a spanning forest of each bucket; with it: bridges between components."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _DEALT[:3]], axis=1)
+        own = (keys, *(batch.column(c).to_numpy() for c in _DEALT[3:6]), *textops.numbers(batch.column("held"), np.uint64))
+        if held is not None:
+            own = (*(np.concatenate(x) for x in zip(held[:5], own[:5], strict=True)), np.append(held[5], held[5][-1] + own[5][1:]))
+        cuts = [0, *(np.flatnonzero((own[0][1:] != own[0][:-1]).any(1)) + 1).tolist(), len(own[0])]
+        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+            if b - a > 1:
+                yield cut(own, a, b)[1:]
+        held = cut(own, *cuts[-2:])
+    if held is not None and len(held[0]) > 1:
+        yield held[1:]
+
+
+def judge(dealt: DataFrame, by: Callable, most: int, percent: int) -> DataFrame:
+    """(u, v), u > v: spanning forests of the groups in rows of ``_DEALT``, joining different labels; ``held`` is what ``by`` reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)  # the buckets of one partition; each is bounded by its blocks
-        bucket, a, b, nodes, labels, sizes = (table.column(x).to_numpy() for x in ("bucket", "block_a", "block_b", "node", "label", "n"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
-        refuted = table.column("refuted").to_pylist()
-        order = np.lexsort((nodes, b, a, bucket))
-        cuts = np.flatnonzero(np.append(True, (np.diff(bucket[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
         pairs: set[tuple[int, int]] = set()
-        for c, d in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
-            own = order[c:d]
-            if len(own) < 2:
-                continue
-            if each is None:
-                pairs.update(_forest(nodes[own], sizes[own], sketches[own], most, percent))
+        for node, label, size, values, at in _groups(batches):
+            near = by(values, at, size, most, percent)
+            if len(node) == 2:
+                edges = [(0, 1)] if label[0] != label[1] and near(0, np.array([1]))[0] else []
             else:
-                pairs |= _bridges(nodes[own], labels[own], sizes[own], sketches[own], [refuted[k] for k in own], most, percent, each)
-        u, v = zip(*sorted(pairs), strict=True) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return members.repartition("bucket", "block_a", "block_b").mapInArrow(run, "u bigint, v bigint").distinct()
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) from the full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out, pa.bool_())], names=["u", "v", "linked"])
-
-    return both.mapInArrow(run, "u bigint, v bigint, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
-
-
-def shingle_table(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the documents in ``nodes``."""
-    own = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+                edges = connect(label, near)
+            for x, y in ((int(node[x]), int(node[y])) for x, y in edges):
+                if x != y:
+                    pairs.add((max(x, y), min(x, y)))
+            if len(pairs) >= 1 << 16:
+                yield _edges(pairs)
+                pairs = set()
+        if pairs:
+            yield _edges(pairs)
+
+    keys = ("grp", "a", "b")
+    return dealt.select(*_DEALT).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint")
+
+
+def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*sorted(pairs), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _part(parts: Column | str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), parts if isinstance(parts, Column) else F.col(parts)).cast("int")
+
+
+def first_round(rows: DataFrame) -> DataFrame:
+    """Deals (grp, parts, node, n, held): each member to its part, the group's sample to all parts."""
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    pivot = (F.col("parts") > 1) & (_part(F.col("parts") * PIVOTS, 4) == 0)
+    return rows.withColumn("a", F.explode(F.when(pivot, every).otherwise(F.array(_part("parts", 3))))).withColumns({"b": F.lit(0), "label": F.col("node")})
+
+
+def second_round(rows: DataFrame, linked: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """Deals the groups that the first round judged in parts: members outside the largest component meet all
+    parts of that component, and each other."""
+    labels = linked.select(F.col("u").alias("node"), F.col("v").alias("to"))
+    rows = rows.filter("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
+    sums = rows.groupBy("grp", "label").agg(F.sum(weight).alias("w"))
+    sums = sums.groupBy("grp").agg(F.max(F.struct("w", "label")).alias("core"), F.sum("w").alias("all"))
+    parts = lambda w: F.ceil(w / F.lit(limit)).cast("int")
+    sums = sums.filter(F.col("all") > F.col("core.w")).select("grp", F.col("core.label").alias("core"), parts(F.col("core.w")).alias("cores"), parts(F.col("all") - F.col("core.w")).alias("rests"))
+    rows = rows.join(sums, "grp")
+    at = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    core, rest = _part("cores", 5), _part("rests", 6)
+    to_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: at(core, j))
+    to_cores = F.transform(F.sequence(F.lit(0), F.col("cores") - 1), lambda i: at(i, rest))
+    among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: at(F.col("cores") + F.least(rest, j), F.greatest(rest, j)))
+    places = F.when(F.col("label") == F.col("core"), to_rests).otherwise(F.when(F.col("rests") > 1, F.concat(to_cores, among)).otherwise(to_cores))
+    return rows.withColumn("place", F.explode(places)).withColumns({"a": F.col("place.a"), "b": F.col("place.b")})
+
+
+def joined(rows: DataFrame, weight: Column, limit: int, large: bool, by: Callable, most: int, percent: int) -> tuple[DataFrame, str]:
+    """The components of all groups' spanning forests, as from ``graph.components``.
+
+    ``rows``: (grp, total, node, n, held); ``total`` is the sum of the group's weights, and ``large`` tells
+    whether any is above the limit."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(limit))).cast("int"))
+    edges, edges_path = store.materialise(judge(first_round(rows), by, most, percent), "forest")
+    linked, path = graph.components(edges)
+    store.release(spark, edges_path)
+    if not large:
+        return linked, path
+    more, more_path = store.materialise(judge(second_round(rows, linked, weight, limit), by, most, percent), "forest")
+    if more.isEmpty():
+        store.release(spark, more_path)
+        return linked, path
+    whole, whole_path = graph.components(linked.unionByName(more))
+    store.release(spark, path, more_path)
+    return whole, whole_path
+
+
+def shingle_table(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """(node, grp, total, n, held) of the documents in ``chosen`` (doc_id, text_hash, node, grp, total, n); ``held`` are the sets."""
+    own = with_text_hash(docs).join(chosen.hint("shuffle_hash"), ["doc_id", "text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in textops.slices(batch):
                 sets = shingle_sets(*textops.text_buffers(piece.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
-
-    return own.select("doc_id", "text").mapInArrow(run, "node bigint, shingles binary")
-
+                size = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("node", "grp", "total", "n")), textops.binaries(np.concatenate(sets) if sets else np.zeros(0, np.uint64), size)], names=["node", "grp", "total", "n", "held"])
 
-def _still_read(path: str, *tables: DataFrame | None) -> bool:
-    return any(path.rpartition("/")[2] in f for t in tables if t is not None for f in t.inputFiles())
+    return own.select("node", "grp", "total", "n", "text").mapInArrow(run, "node bigint, grp bigint, total bigint, n bigint, held binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     most, percent = most_flips(threshold - MARGIN), round(100 * threshold)
-    found, _ = store.materialise(signatures(docs, shingle), "signatures")
-    vertices = found.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    found, _ = store.materialise(signatures(with_text_hash(docs), shingle), "signatures")
+    vertices = found.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     vertices, _ = store.materialise(vertices, "vertices")
-    keys = vertices.select("node", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = shared.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    buckets, buckets_path = store.materialise(keys.join(shared, "bucket"), "buckets")
-    nodes = buckets.select("node").distinct()
-    sets, sets_path = store.materialise(shingle_table(docs, nodes, shingle), "shingle-sets")
+    keys = vertices.select("node", F.explode("bands").alias("grp"))
+    shared = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
+    buckets, buckets_path = store.materialise(keys.join(shared, "grp"), "buckets")
     store.release(spark)
-    sketches = vertices.select("node", "n", "sketch")
-    refuted, linked, old, each = None, None, [], None
-    while True:
-        rows = buckets.join(sketches, "node")
-        if linked is None:
-            rows = rows.withColumn("label", F.col("node"))
-        else:
-            labels = linked.select(F.col("u").alias("node"), F.col("v").alias("to"))
-            rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
-            several = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
-            rows = rows.join(several, "bucket", "left_semi")
-        if refuted is None:
-            rows = rows.withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        else:
-            both = refuted.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(refuted.select(F.col("v").alias("node"), F.col("u").alias("other")))
-            rows = rows.join(both.groupBy("node").agg(F.collect_set("other").alias("refuted")), "node", "left")
-        own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("own", "other_block").alias("block_a"), F.greatest("own", "other_block").alias("block_b"), "node", "label", "n", "sketch", "refuted")
-        judged, path = store.materialise(confirm(propose(rows, most, percent, each), sets, percent), "judged")
-        good, bad = (judged.filter(x).select("u", "v") for x in ("linked", "not linked"))
-        n_good, n_bad = judged.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
-        gone, old = [path, *old], []
-        if n_good:
-            linked, kept = graph.components(good if linked is None else good.unionByName(linked))
-            old.append(kept)
-        if n_bad:
-            refuted, kept = store.materialise(bad if refuted is None else bad.unionByName(refuted), "refuted")
-            old.append(kept)
-        del judged, good, bad, rows
-        if not n_good + n_bad:
-            break
-        store.release(spark, *(x for x in gone if not _still_read(x, linked, refuted)))
-        old += [x for x in gone if _still_read(x, linked, refuted)]
-        each = BRIDGES if each is None else 16 * each
-    store.release(spark, sets_path, buckets_path)
-    to = vertices.select("digest", "node")
-    if linked is not None:
-        to = to.join(linked.select(F.col("u").alias("node"), F.col("v").alias("to")), "node", "left").select("digest", F.coalesce("to", "node").alias("component"))
-    else:
-        to = to.select("digest", F.col("node").alias("component"))
-    out = found.select("doc_id", "n_shingles", "digest").join(to, "digest", "left")
+    rows = buckets.join(vertices.select("node", "n", F.col("sketch").alias("held")), "node")
+    large = not buckets.filter(F.col("total") > block).isEmpty()
+    clusters, clusters_path = joined(rows, F.lit(1), block, large, by_sketch, most, percent)
+    del rows, buckets
+    store.release(spark, buckets_path)
+
+    heads = clusters.select(F.col("v").alias("node"), F.col("v").alias("grp")).distinct()
+    members = clusters.select(F.col("u").alias("node"), F.col("v").alias("grp")).unionByName(heads)
+    members, members_path = store.materialise(members.join(vertices.select("node", "n", "row.doc_id", "row.text_hash"), "node"), "members")
+    totals = members.groupBy("grp").agg(F.sum("n").alias("total"))
+    large = not totals.filter(F.col("total") > block_shingles).isEmpty()
+    sets, sets_path = store.materialise(shingle_table(docs, members.join(totals, "grp"), shingle), "shingle-sets")
+    del members, totals
+    store.release(spark, members_path, clusters_path)
+    linked, _ = joined(sets, F.col("n"), block_shingles, large, by_set, most, percent)
+    del sets
+    store.release(spark, sets_path)
+
+    to = linked.select(F.col("u").alias("node"), F.col("v").alias("to"))
+    named = vertices.select("node", "row.doc_id").join(to, "node", "left").select("node", F.coalesce("to", "node").alias("to"), "doc_id")
+    names = named.groupBy("to").agg(F.min("doc_id").alias("component"))
+    out = found.select("doc_id", "text_hash", "n_shingles", "node").join(named.join(names, "to").select("node", "component"), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -134,6 +134,16 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
+def numbers(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """What ``binaries`` has packed: all values, and where each row's begin (one entry more at the end)."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(raw.tobytes(), dtype), (at - at[0]) // width
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[i], starts[i]+1, ... (counts[i] of them), one range after another."""
     total = int(counts.sum())

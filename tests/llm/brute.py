@@ -60,13 +60,13 @@ def shingles(text, n=5):
 
 
 def components(rows):
-    """Component of each row; a set's name is the smallest doc_id that has it."""
+    """Component of each row: the smallest doc_id of all sets reachable from its own."""
     name = {}
     for i, t in rows:
         own = shingles(t)
         if i is not None and own:
             name[own] = min(i, name.get(own, i))
-    up = {i: i for i in name.values()}
+    up = {x: x for x in name}
 
     def find(x):
         while up[x] != x:
@@ -77,9 +77,11 @@ def components(rows):
     for k, a in enumerate(sets):
         for b in sets[:k]:
             if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
-                x, y = find(name[a]), find(name[b])
-                up[max(x, y)] = min(x, y)
-    return [None if i is None else find(name[shingles(t)]) if shingles(t) else i for i, t in rows]
+                x, y = find(a), find(b)
+                if name[x] > name[y]:
+                    x, y = y, x
+                up[y] = x
+    return [None if i is None else name[find(shingles(t))] if shingles(t) else i for i, t in rows]
 
 
 def phrase_words(text):

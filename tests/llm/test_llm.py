@@ -117,15 +117,53 @@ def test_token_files(spark, hard, nothing, tmp_path):
     assert token_files.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
-@pytest.mark.parametrize("block", [8192, 3])
-def test_near_duplicates(hard, nothing, block):
+@pytest.mark.parametrize(("block", "shingles"), [(8192, 1 << 20), (3, 200), (3, 40)])
+def test_near_duplicates(hard, nothing, block, shingles):
     rows, docs = hard
-    got = minhash.near_duplicates(docs, block=block).collect()
+    got = minhash.near_duplicates(docs, block=block, block_shingles=shingles).drop("text_hash").collect()
     want = [(i, len(brute.shingles(t)), c, i is None or i == c) for (i, t), c in zip(rows, brute.components(rows))]
     assert order(tuple(x) for x in got) == order(want)
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def _family(r, base, changes):
+    w = base.split()
+    for _ in range(changes):
+        w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(8192, 1 << 20), (16, 1500)])
+def test_near_duplicates_of_a_large_family_about_the_threshold(spark, block, shingles):
+    """Many members below the threshold with most others: nothing but spanning forests is written."""
+    r = random.Random(2)
+    base = " ".join(f"v{i}" for i in range(100))
+    rows = [(i, _family(r, base, r.choice([1, 2, 3, 4, 5]))) for i in range(160)] + [(200 + i, f"u{i} " * 3) for i in range(20)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block, block_shingles=shingles)
+    want = brute.components(rows)
+    assert len(set(want)) > 30 and max(want.count(c) for c in set(want)) > 60
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == sorted((i, c) for (i, _), c in zip(rows, want, strict=True))
+
+
+def test_near_duplicates_with_shared_ids(spark):
+    r = random.Random(3)
+    a, b = (" ".join(f"{c}{r.randrange(10**6)}" for _ in range(60)) for c in "ab")
+    rows = [(10, b), (90, a), (90, b), (90, b), (7, a + " x")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [(7, 7, True), (10, 10, True), (90, 7, False), (90, 10, False), (90, 10, False)]
+
+
+@pytest.mark.parametrize("k", [3, 12])
+def test_a_group_gives_a_spanning_forest(k):
+    r = np.random.default_rng(k)
+    sets = [np.unique(np.append(np.arange(40), r.integers(0, 10**9, 8)).astype(np.uint64)) for _ in range(k)]
+    size = np.array([len(x) for x in sets])
+    near = minhash.by_set(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), size, 0, 70)
+    edges = minhash.connect(np.arange(k), near)
+    assert len(edges) == k - 1
+    assert minhash.connect(np.zeros(k, np.int64), near) == []
+
+
 def test_odd_sketches_estimate():
     r = np.random.default_rng(0)
     for j in (0.6, 0.75, 0.9):
