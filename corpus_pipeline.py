@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontam, line_dedup, minhash, packing, quality, queries, store, tokens
@@ -41,10 +41,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    docs = _documents(docs)
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows are told apart by id and text, so a document goes only for its own text.  Of rows with the
+    same id and text one stays; rows with a null id all stay."""
+    docs = _documents(docs).withColumn("_hash", F.xxhash64("text"))
+    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_gone")), "left_anti")
+    again = Window.partitionBy("doc_id", "_hash").orderBy("n_chars")
+    return left.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).filter("_n = 1").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
