@@ -1,16 +1,21 @@
 """Packing of documents into fixed windows with lexically related neighbours.
 
 Documents are tokenised once and dealt to shards of about ``SHARD_TOKENS`` tokens by a lexical
-signature (the smallest hash of their token pairs), so that similar texts meet; a
-signature with more tokens than a shard holds is split by a hash of the document.  Each
+signature (the smallest hash of their token pairs), so that similar texts meet.  A
+signature with more tokens than a shard holds is cut by a second signature, and what has equal
+signatures and still is more than two shards (copies, usually) by a hash of the document.  Each
 shard has its own BM25 inverted index.  The first unused document seeds a window; the
 index is asked with its strongest terms, and the unused neighbours, best first, fill the window.
 A document that doesn't fit is cut at the window's end, and its rest seeds the next window.
 So only a shard's last window is not full.
 
+A seed is asked about its own shard only, with its ``QUERY_TERMS`` strongest terms, and takes ``ANSWER`` neighbours at a
+time (it is asked again when they are used up); these parameters choose neighbours and never lose an id.
+
 A document's ids are those of its whole text (null: empty), then ``end_id``; every id lies in
-exactly one piece.  Rows that share a ``doc_id`` are separate documents; a null ``doc_id`` is
-kept.  An empty table gives no rows.  Other columns are left alone.
+exactly one piece.  A very long text is cut like any other, into as many windows as it needs.  Rows that share a
+``doc_id`` are separate documents; a null ``doc_id`` is kept.  An empty table gives no rows.  Only ``doc_id`` and
+``text`` are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -30,28 +35,33 @@ BUCKET_BITS = 16
 #: Terms of a seed that the index is asked for, and neighbours taken from an answer.
 QUERY_TERMS, ANSWER = 24, 32
 K1, B = 1.2, 0.75
-_NO_ID = -(2**63)
+#: Rows of the table of oversized shards up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+#: Bits of a sequence's number within its part, and of a part's within its shard.
+SEQUENCE_BITS, PIECE_BITS = 16, 22
 
 
 def tokenise(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
-    """(doc_id, n, bucket, ids): ids as little-endian unsigned 32-bit numbers, the end included."""
+    """(doc_id, n, bucket, second, ids): ids as little-endian unsigned 32-bit numbers, the end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, kind).encode
         for batch in batches:
-            for piece in textops.slices(batch):
+            for piece in textops.slices(batch, limit=tokens.ENCODE_BYTES):
                 ids, size = encode([x or "" for x in piece.column("text").to_pylist()])
                 ids = np.insert(ids, np.cumsum(size), end_id)
                 size = size + 1
                 heads = np.cumsum(size) - size
-                pairs = textops.mix(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)) if len(ids) > 1 else np.zeros(0, np.uint64)
-                pairs = np.append(pairs, np.uint64(2**64 - 1))
-                pairs[heads[1:] - 1] = 2**64 - 1  # a pair across two documents
-                least = np.minimum.reduceat(pairs, heads)
-                bucket = (textops.mix(least) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(bucket), textops.binaries(ids.astype("<u4"), size)], names=["doc_id", "n", "bucket", "ids"])
+                pairs = ids.astype(np.uint64)
+                pairs[:-1] = textops.mix(pairs[:-1] << np.uint64(32) | pairs[1:])
+                pairs[heads[1:] - 1] = pairs[-1] = 2**64 - 1  # no pair, or one across two documents
+                bucket = (textops.mix(np.minimum.reduceat(pairs, heads)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+                # The second signature: the smallest of the hashes with their halves exchanged.
+                other = np.minimum.reduceat(pairs << np.uint64(32) | pairs >> np.uint64(32), heads)
+                second = (textops.mix(other) >> np.uint64(32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(bucket), pa.array(second), textops.binaries(ids.astype("<u4"), size)], names=["doc_id", "n", "bucket", "second", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, bucket int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, bucket int, second bigint, ids binary")
 
 
 def shard_plan(table: DataFrame, shard_tokens: int) -> DataFrame:
@@ -69,21 +79,32 @@ def shard_plan(table: DataFrame, shard_tokens: int) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "bucket int, first bigint, shards bigint")
 
 
+def deal(table: DataFrame, shard_tokens: int) -> DataFrame:
+    """Adds (shard, part): of a shard above twice ``shard_tokens`` the documents are dealt to parts by their hash."""
+    plan = F.broadcast(shard_plan(table, shard_tokens))  # 2**BUCKET_BITS rows at most
+    placed = lambda t: t.join(plan, "bucket").withColumn("shard", F.col("first") + F.floor(F.col("second") * F.col("shards") / F.lit(1 << 32)))
+    large = placed(table.select("bucket", "second", "n")).groupBy("shard").agg(F.sum("n").alias("w")).filter(F.col("w") > 2 * shard_tokens)
+    large, _ = store.materialise(large.select("shard", F.ceil(F.col("w") / shard_tokens).alias("parts")), "packing-large")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts"))).otherwise(0)
+    return placed(table).join(large, "shard", "left").withColumn("part", part)
+
+
 class Index:
     """BM25 inverted index of one shard."""
 
     def __init__(self, ids: np.ndarray, size: np.ndarray):
         n = len(size)
-        doc = np.repeat(np.arange(n), size)
-        key, tf = np.unique(doc.astype(np.int64) << 32 | ids.astype(np.int64), return_counts=True)
+        key, tf = np.unique(np.repeat(np.arange(n), size) << 32 | ids, return_counts=True)
         doc, term = key >> 32, key & 0xFFFFFFFF
         self.terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / size.mean())[doc]))).astype(np.float32)
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_terms, self.doc_weights, self.df = term, weight, df
+        self.doc_terms, self.doc_weights, self.df = term.astype(np.int32), weight, df
         order = np.argsort(term, kind="stable")
-        self.postings, self.weights = doc[order], weight[order]
+        self.postings, self.weights = doc[order].astype(np.int32), weight[order]
         self.term_at = np.concatenate([[0], np.cumsum(df)])
         self.n = n
 
@@ -146,20 +167,25 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, w
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every piece; ids as
     little-endian unsigned 32-bit numbers."""
     table, _ = store.materialise(tokenise(docs, tokenizer, kind, end_id), "packing-tokens")
-    plan = F.broadcast(shard_plan(table, shard_tokens))  # 2**BUCKET_BITS rows at most
-    dealt = table.join(plan, "bucket").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("shards")))
 
     def run(shard: pa.Table) -> pa.Table:
-        doc_ids = textops.longs(shard.column("doc_id"), _NO_ID)
-        size = shard.column("n").to_numpy()
-        blobs = shard.column("ids").to_pylist()
-        order = np.array(sorted(range(len(size)), key=lambda i: (doc_ids[i], blobs[i])), np.int64)
-        doc_ids, size = doc_ids[order], size[order]
-        ids = np.frombuffer(b"".join(blobs[i] for i in order), "<u4")
+        tokens.drop_encoders()
+        null = shard.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        doc_ids, size = textops.longs(shard.column("doc_id"), 0), shard.column("n").to_numpy()
+        ids, at = textops.numbers(shard.column("ids").combine_chunks(), "<u4")
+        order = np.lexsort((doc_ids, null))
+        same = (doc_ids[order[1:]] == doc_ids[order[:-1]]) & (null[order[1:]] == null[order[:-1]])
+        if same.any():  # rows that share an id: by their ids, so that a task that runs again does the same
+            order = np.array(sorted(range(len(size)), key=lambda i: (null[i], doc_ids[i], ids[at[i] : at[i + 1]].tobytes())), np.int64)
+        ids = ids[textops.spread(at[:-1][order], size[order])]
+        doc_ids, null, size = doc_ids[order], null[order], size[order]
         doc, start, length, sequence, offset = np.array(pack_shard(ids, size, window), np.int64).T
+        if sequence[-1] >> SEQUENCE_BITS:
+            raise ValueError("a shard has too many sequences; use smaller shards")
         at = textops.spread((np.cumsum(size) - size)[doc] + start, length)
-        names = pa.array(doc_ids[doc], mask=doc_ids[doc] == _NO_ID)
-        number = (int(shard.column("shard")[0].as_py()) << 32) + sequence
-        return pa.table([names, pa.array(start), pa.array(length), pa.array(size[doc]), pa.array(number), pa.array(offset), textops.binaries(ids[at], length)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        names = pa.array(doc_ids[doc], mask=null[doc])
+        number = (shard.column("shard")[0].as_py() << PIECE_BITS | shard.column("part")[0].as_py()) << SEQUENCE_BITS
+        return pa.table([names, pa.array(start), pa.array(length), pa.array(size[doc]), pa.array(number + sequence), pa.array(offset), textops.binaries(ids[at], length)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return dealt.select("shard", "doc_id", "n", "ids").groupBy("shard").applyInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    dealt = deal(table, shard_tokens).select("shard", "part", "doc_id", "n", "ids")
+    return dealt.groupBy("shard", "part").applyInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

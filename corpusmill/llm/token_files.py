@@ -57,7 +57,7 @@ def tokenise(docs: DataFrame, path: str, kind: str, end_id: int | None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = tokens.encoder(path, kind).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in textops.slices(batch):
+            for piece in textops.slices(batch, limit=tokens.ENCODE_BYTES):
                 ids, size = encode([x or "" for x in piece.column("text").to_pylist()])
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(size), end_id)

@@ -15,8 +15,10 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Pretokens kept by a worker (about 200 bytes each); beyond it the cache starts afresh.
-CACHE_ENTRIES = 900_000
+#: Pretokens kept by a worker (about 200 bytes each); beyond it the half that was used least goes.
+CACHE_ENTRIES = 300000
+#: Bytes of text encoded at a time: the strings of their pretokens take some 15 times as much.
+ENCODE_BYTES = 1 << 20
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -28,6 +30,13 @@ _SPLIT = {
 }
 
 
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers at[i], at[i]+1, ... (size[i] of them), one range after another."""
+    shift = np.repeat(at - (np.cumsum(size, dtype=np.int64) - size), size)
+    shift += np.arange(len(shift))
+    return shift
+
+
 class Encoder:
     """``kind`` "byte": byte_bpe_50k.json; "word": word_bpe_49k.json."""
 
@@ -41,7 +50,18 @@ class Encoder:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.at, self.size, self.pool, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.at, self.size, self.used, self.pool, self.filled = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+
+    def _forget(self) -> None:
+        """Keep the half that was used most, and let its counts fade."""
+        n = len(self.known)
+        kept = np.sort(np.argpartition(-self.used[:n], self.limit // 2)[: self.limit // 2])
+        names = list(self.known)
+        at, size, used, pool = self.at[kept], self.size[kept], self.used[kept], self.pool
+        self._reset()
+        self.known = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.pool = pool[_ranges(at, size)]
+        self.at, self.size, self.used, self.filled = np.cumsum(size, dtype=np.int32) - size, size, used // 2, len(self.pool)
 
     def _learn(self, new: list[str]) -> None:
         found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
@@ -49,9 +69,9 @@ class Encoder:
         size = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(new)) if len(ids) else np.zeros(len(new), np.int64)
         n, m = len(self.known), len(self.known) + len(new)
         if m > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros(max(m, len(x)), np.int64)]) for x in (self.at, self.size))
+            self.at, self.size, self.used = (np.concatenate([x, np.zeros(max(m - n, len(x) // 2), np.int32)]) for x in (self.at, self.size, self.used))
         if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.size[n:m] = size
         self.at[n:m] = self.filled + np.cumsum(size) - size
@@ -61,7 +81,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each text."""
         if len(self.known) > self.limit:
-            self._reset()
+            self._forget()
         parts: list[list[str]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
@@ -77,13 +97,13 @@ class Encoder:
             every = list(chain.from_iterable(parts))
             self._learn(list(dict.fromkeys(every[i] for i in missing.tolist())))
             codes[missing] = np.fromiter((self.known[every[i]] for i in missing.tolist()), np.int64, len(missing))
+        count = np.bincount(codes, minlength=len(self.known))
+        self.used[: len(count)] = np.minimum(self.used[: len(count)] + count, 1 << 30)
         size = self.size[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         bound = np.concatenate([[0], np.cumsum(counts)])
         lengths = ends[bound[1:]] - ends[bound[:-1]]
-        shift = np.repeat(self.at[codes] - ends[:-1], size)
-        shift += np.arange(len(shift))
-        ids = self.pool[shift]
+        ids = self.pool[_ranges(self.at[codes], size)]
         if whole:
             pieces = np.split(ids, np.cumsum(lengths)[:-1])
             for i, found in zip(whole, self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
@@ -102,6 +122,20 @@ def encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
+def drop_encoders() -> None:
+    """Give a worker's caches back to the system, for a stage that encodes nothing."""
+    import ctypes
+    import gc
+
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def public_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

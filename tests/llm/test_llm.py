@@ -215,11 +215,21 @@ def test_packing(spark, hard, nothing):
     pieces = packing.pack(docs, tokens.public_path("word_bpe_49k.json"), shard_tokens=5000, window=256)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).collect()
     padding = brute.check_packing(pieces, rows, lambda t: library.encode(t, add_special_tokens=False).ids, 256)
-    shards = len({p.sequence_id >> 32 for p in pieces})
+    shards = len({p.sequence_id >> packing.SEQUENCE_BITS for p in pieces})
     assert shards > 1 and padding < 256 * shards
     assert packing.pack(nothing, tokens.public_path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_deals_copies_to_parts(spark):
+    rows = [(i, "the same words again and again " * 20) for i in range(300)] + [(1000 + i, f"word{i} other{i} thing{i} " * 9) for i in range(40)] + [(-(2**63), "x"), (2**63 - 1, "y"), (None, "z")]
+    table = packing.tokenise(spark.createDataFrame(rows, "doc_id bigint, text string"), tokens.public_path("word_bpe_49k.json"), "word", 1)
+    parts = packing.deal(table, 4000).groupBy("shard", "part").agg(F.sum("n").alias("w"), F.count("*").alias("k")).collect()
+    assert sum(p.k for p in parts) == len(rows) and max(p.w for p in parts) < 12000 and len({p.part for p in parts}) > 5
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), tokens.public_path("word_bpe_49k.json"), shard_tokens=4000).withColumn("ids_crc32", F.crc32("ids")).collect()
+    library = tokens.Encoder(tokens.public_path("word_bpe_49k.json"), "word").library
+    brute.check_packing(pieces, rows, lambda t: library.encode(t, add_special_tokens=False).ids)
+
+
 def test_packing_prefers_neighbours():
     r = np.random.default_rng(1)
     topic = [r.integers(100 * k, 100 * k + 30, 60) for k in (1, 2, 3) for _ in range(4)]
