@@ -9,9 +9,14 @@ traversed for all vectors; the rest are probed only for vectors that can still c
 terms at a time, largest bound first.  A vector goes only when its bound is strictly
 below the threshold, so ties are kept.  Shards' winners are merged.
 
+Queries are dealt to blocks and candidates to shards of a bounded number of bytes, and every block meets every shard
+in a task of its own.
+
 Vectors that are null, hold a null or non-finite component, or have a null id take no
 part.  Components beyond a shorter vector's end count as 0.  Repeated ids are separate
-candidates (the query's own id is left out altogether).  An empty table gives no rows.
+candidates (the query's own id is left out altogether).  Very long vectors make shards of fewer rows.  Components so
+large that a score could leave 64 bits are an error.  Only the id and the vector are read, so other columns can have any name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 2048
+#: Bytes of vectors, as 64-bit numbers, in a shard and in a block of queries.
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
 _PROBE = 8
 
 
@@ -80,14 +86,21 @@ def max_score(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.nd
     return alive[best], partial[best]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates but itself; ties to the smaller id.
 
     Both inputs are results of ``quantise``.  The queries are a stated set; every one meets every shard."""
-    n, queries = candidates.count(), queries.distinct()
-    shards = max(1, math.ceil(n / shard_rows))
-    dealt = candidates.select(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "v")
+    queries = queries.distinct()
+    sizes = (F.count(F.lit(1)), F.max(F.size("v")), F.max(F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))))
+    (n, wide, large), (asked_n, asked_wide, asked_large) = candidates.agg(*sizes).first(), queries.agg(*sizes).first()
+    if (wide or 0) * (large or 0.0) * (asked_large or 0.0) >= 2.0**61:
+        raise ValueError("scores of these vectors can leave 64 bits")
+    shards = max(1, math.ceil(n * 8 * (wide or 1) / shard_bytes))
+    blocks = max(1, math.ceil(asked_n * 8 * (asked_wide or 1) / block_bytes))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(m)).cast("int")
+    dealt = candidates.select(own(shards).alias("shard"), every(blocks).alias("block"), "vec_id", "v")
+    asked = queries.select(every(shards).alias("shard"), own(blocks).alias("block"), "vec_id", "v")
 
     def search(query: pa.Table, own: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [])
@@ -102,6 +115,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard_rows: int
         columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    found = asked.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    keys = ("shard", "block")
+    found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
