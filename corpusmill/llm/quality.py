@@ -12,7 +12,8 @@ of a document, with the same chunks and the same pooling.
 
 Null and empty texts are scored as a document of padding bytes.  Repeated rows get the
 same score each.  Without any labelled row, or with one label only, the score is the
-label's share (0.5 without labels).  Only ``doc_id`` and ``text`` are read.
+label's share (0.5 without labels).  A very long text is scored whole, block by block.  Only ``doc_id`` and
+``text`` are read, so other columns can have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 #: Documents in training, at most.
 MAX_TRAIN = 3000
 #: Chunks that are held as windows at a time.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 #: A document is good from this score on.
 DECISION = 0.5
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.004, 1e-4
@@ -55,17 +56,18 @@ class Network:
         chunks = np.maximum(1, -(-(size - (WIDTH - STRIDE)) // STRIDE))
         padded = (chunks - 1) * STRIDE + WIDTH
         begin = np.cumsum(padded) - padded
-        codes = np.full(int(padded.sum()), 256, np.int64)
-        codes[textops.spread(begin, size)] = raw
-        first = textops.spread(np.zeros(len(size), np.int64), chunks) * STRIDE + np.repeat(begin, chunks)
+        codes = np.full(int(padded.sum()), 256, np.uint16)
+        for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+            codes[a : a + n] = raw[at[i] : at[i + 1]]
+        ends = np.cumsum(chunks)
         best = np.full((len(size), FILTERS), 0, np.float32)
-        total = np.zeros((len(size), FILTERS), np.float32)
-        owner = np.repeat(np.arange(len(size)), chunks)
-        for a in range(0, len(first), BLOCK):  # bounds memory whatever a text's length
-            rows = first[a : a + BLOCK]
+        total = np.zeros((len(size), FILTERS), np.float64)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):  # besides 2 bytes a byte of text, memory is a block's
+            number = np.arange(a, min(a + BLOCK, int(ends[-1])))
+            own = np.searchsorted(ends, number, side="right")
+            rows = begin[own] + (number - (ends - chunks)[own]) * STRIDE
             windows = self.embedding[codes[rows[:, None] + np.arange(WIDTH)]].reshape(len(rows), -1)
             out = np.maximum(windows @ self.filters + self.offset, 0)
-            own = owner[a : a + len(rows)]
             cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             best[own[cuts]] = np.maximum(best[own[cuts]], np.maximum.reduceat(out, cuts))
             total[own[cuts]] += np.add.reduceat(out, cuts)
