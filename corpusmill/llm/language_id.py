@@ -8,7 +8,8 @@ languages lie in one sorted array of 64-bit hashes per order, with a column for
 language: log probabilities for seen n-grams, and for contexts the weight that goes to the
 shorter one.  A text's language is the one with the lowest cross-entropy a character.
 
-Training takes a bounded sample: of each language the ``max_train`` texts with the smallest hash.
+A letter is what Unicode calls one (categories L*); signs such as \u00b2, \u00bd, \u2460 or \u2167 are not.
+Training takes a bounded sample: of each language the ``max_train`` whole texts with the smallest hash.
 Scoring reads whole texts; each distinct word of a batch is scored once.
 
 Rejection is calibrated on texts of the sample that the model has not counted: ``rejected`` is
@@ -16,7 +17,8 @@ true where the cross-entropy is above what all but ``REJECT`` of those texts hav
 The label is given all the same; it is ``und`` only for a text that is null or has no letter.
 
 Repeated rows get the same result each.  With no language to learn from all is ``und``,
-with score 0.  Only ``doc_id``, ``text`` and, in training, ``lang`` are read.
+with score 0.  A very long text is scored like any other, all of it.  Only ``doc_id``, ``text`` and, in
+training, ``lang`` are read, so other columns can have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame
 from . import sampling, textops
 
 ORDER = 4
-#: Texts of each language in training, at most, and characters of each.
-MAX_TRAIN, MAX_CHARS = 300, 20_000
+#: Texts of each language in training, at most.
+MAX_TRAIN = 300
 REJECT = 0.001
 #: Letters that any model reserves room for (the uniform distribution's size).
 ALPHABET = 256
@@ -46,7 +49,11 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else ("".join(run) for letters, run in groupby(w, str.isalpha) if letters))]
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -189,7 +196,7 @@ def train(texts: dict[str, list[str]]) -> Models:
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Models:
     """Train from ``labelled`` (text and non-null lang)."""
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in sampling.labelled_texts(labelled, "lang", max_train, MAX_CHARS):
+    for r in sampling.labelled_texts(labelled, "lang", max_train):
         texts[r.label].append(r.text)
     return train(dict(texts))
 

@@ -6,35 +6,40 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
-#: Rows kept for each one wanted before they are ranked; the hash decides, so what is ranked is bounded by the sample, not by the table.
+#: Keys kept for each one wanted before they are ranked; the hash decides, so what is ranked is bounded by the sample, not by the table.
 SPARE = 4
+#: More labels than this are taken for a mistake: each has its own sample on the driver.
+MAX_LABELS = 1000
 
 
 def _ranked(rows: DataFrame, label: str, key: str, per_label: int) -> tuple[DataFrame, dict]:
     """(label, key, n) of the ``per_label`` distinct keys of each label with the smallest hash, and the labels' counts of rows."""
-    totals = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row for each label
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)), F.approx_count_distinct(key)).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     share = F.lit(0.0)
-    for value, total in totals.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, SPARE * per_label / total))).otherwise(share)
+    for value, _, distinct in counts:
+        share = F.when(F.col(label) == value, F.lit(min(1.0, SPARE * per_label / distinct))).otherwise(share)
     near = rows.filter(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
     first = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return near.select(label, key).distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label), totals
+    chosen = near.select(label, key).distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label)
+    return chosen, {value: total for value, total, _ in counts}
 
 
-def labelled_texts(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:
-    """(label, text, n_rows): for each of a few labels ``per_label`` distinct texts chosen by their
-    hash, cut after ``max_chars`` characters, and how many rows have the label in all.
+def labelled_texts(rows: DataFrame, label: str, per_label: int) -> list[Row]:
+    """(label, text, n_rows): for each of a few labels ``per_label`` distinct whole texts chosen by their
+    hash, and how many rows have the label in all.
 
     Only hashes are ranked; texts are fetched for the hashes chosen."""
     hashed = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(label, F.xxhash64("text").alias("h"), "text")
     chosen, totals = _ranked(hashed, label, "h", per_label)
     picked = hashed.join(F.broadcast(chosen), [label, "h"])  # per_label rows a label
-    texts = picked.groupBy(label, "n").agg(F.min(F.substring("text", 1, max_chars)).alias("text")).collect()
+    texts = picked.groupBy(label, "n").agg(F.min("text").alias("text")).collect()
     return [Row(label=r[label], text=r.text, n_rows=totals[r[label]]) for r in sorted(texts, key=lambda r: (r[label], r.n))]
 
 
 def texts_of_labels(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[Row]:
-    """``labelled_texts``, uncut, for labels in a table of their own (doc_id, label): ids are chosen by their hash from the labels alone,
+    """``labelled_texts`` for labels in a table of their own (doc_id, label): ids are chosen by their hash from the labels alone,
     and ``n_rows`` counts labels.  Only the chosen ids meet the documents, so no other text is moved."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
     chosen, totals = _ranked(rows, label, "doc_id", per_label)

@@ -138,3 +138,57 @@ def check_packing(pieces, rows, encode, window=2048):
             at += p.length
         assert at <= window
     return len(by_sequence) * window - sum(p.length for p in pieces)
+
+
+def cross_entropy(texts, asked, order, alphabet):
+    """Bits a character of ``asked`` under an interpolated Kneser-Ney model of ``texts``, by its recursive definition."""
+    import math
+    from collections import Counter
+
+    mark = lambda w: "\0" * (order - 1) + w + "\0"
+    words_in = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for w in map(mark, words_in(t)):
+            for i in range(order - 1, len(w)):
+                counts[order][w[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut = []
+    for c in counts:
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        cut.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        n, own = len(gram), counts[len(gram)]
+        following = {g: v for g, v in own.items() if g[:-1] == gram[:-1]}
+        if not following:
+            return p(gram[1:])
+        total = sum(following.values())
+        return max(own[gram] - cut[n], 0) / total + cut[n] * len(following) / total * p(gram[1:])
+
+    known, bits, size = {}, 0.0, 0
+    for w in map(mark, words_in(asked)):
+        for i in range(order - 1, len(w)):
+            g = w[i - order + 1 : i + 1]
+            if g not in known:
+                known[g] = -math.log2(p(g))
+            bits, size = bits + known[g], size + 1
+    return bits / size
+
+
+def network_score(net, text, width, stride):
+    raw = list(text.encode())
+    best, total, chunks, at = 0.0, 0.0, 0, 0
+    while True:
+        own = raw[at : at + width]
+        own += [256] * (width - len(own))
+        out = np.maximum(np.concatenate([net.embedding[x] for x in own]) @ net.filters + net.offset, 0)
+        best, total, chunks, at = np.maximum(best, out), total + out, chunks + 1, at + stride
+        if at + width - stride >= len(raw):
+            break
+    features = np.concatenate([best, total / chunks, [0.2 * np.log(chunks)]])
+    z = np.tanh(features @ net.inner + net.inner_offset) @ net.weight + net.bias
+    return 1 / (1 + np.exp(-z))

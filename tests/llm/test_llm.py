@@ -246,7 +246,7 @@ def test_top_k(spark):
     vectors += [(400 + i, vectors[0][1]) for i in range(30)] + [(450, None), (500, [1.0, None]), (550, [float("nan")] * 8), (600, [float("inf")] * 8), (650, [1.0, 2.0]), (None, [1.0] * 8), (700, [])]
     table = spark.createDataFrame([(i, v, 5) for i, v in vectors], "vec_id bigint, embedding array<float>, score int")
     own = topk.quantise(table)
-    got = topk.top_k(own.filter("vec_id % 50 = 0"), own, 5, shard_rows=64).collect()
+    got = topk.top_k(own.filter("vec_id % 50 = 0"), own, 5, shard_bytes=64 * 64, block_bytes=3 * 64).collect()
     usable = {i: np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 8 - len(v)))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in (i for i in usable if i % 50 == 0):
@@ -254,6 +254,9 @@ def test_top_k(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert order(tuple(x) for x in got) == order(want)
     assert topk.top_k(own.limit(0), own.limit(0)).count() == 0
+    large = topk.quantise(spark.createDataFrame([(50, [2.0**32] * 8), (51, [1.0] * 8)], "vec_id bigint, embedding array<double>"))
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(large, large)
 
 
 def test_quality(spark, sf, hard, nothing):
@@ -278,6 +281,19 @@ def test_training_sees_every_byte(monkeypatch):
     assert np.allclose(one.inner, small.inner, atol=1e-2) and np.allclose(one.filters, small.filters, atol=1e-2)
 
 
+def test_quality_against_brute_force():
+    """Scores of whole texts, chunk by chunk in plain Python, with what decides standing at the end."""
+    net = quality.train(["good text here"] * 8 + ["!!!! $$$$ !!!!"] * 8, [1] * 8 + [0] * 8)
+    texts = ["", "x", "good", "good text here", "good text " * 9000 + "!!!! $$$$ !!!!" * 30, "é!$ \U0001f600" * 7]
+    import pyarrow as pa
+
+    from corpusmill.llm.textops import text_buffers
+
+    got = net.score(*text_buffers(pa.array(texts)))
+    assert np.allclose(got, [brute.network_score(net, x, quality.WIDTH, quality.STRIDE) for x in texts], atol=1e-4)
+    assert got[4] < net.score(*text_buffers(pa.array(["good text " * 9000])))[0]
+
+
 def test_scores_do_not_depend_on_batches():
     net = quality.train(["good text here"] * 8 + ["!!!! $$$$ !!!!"] * 8, [1] * 8 + [0] * 8)
     import pyarrow as pa
@@ -300,10 +316,41 @@ def test_language(spark, sf, hard, nothing):
     assert names[:5] == ["en", "fr", "und", "und", "und"] and score[2] == 0 and rejected[5] and not rejected[0]
     rows, table = hard
     assert language_id.predict(table, models).count() == len(rows) and language_id.predict(nothing, models).count() == 0
+    names, score, _ = models.predict(["²", "½ ¼", "①", "Ⅷ", "Ⅷ the dog²", "4 5"])
+    assert names == ["und", "und", "und", "und", "en", "und"] and score[4] > 0.5
+    assert language_id.words_of("A²b ½Über①ß x_y") == ["a", "b", "über", "ß", "x", "y"]
     none = language_id.fit(nothing.select("text", "lang"))
     assert {x.lang_pred for x in language_id.predict(table, none).collect()} == {"und"}
 
 
+def test_language_training_reads_whole_texts(spark):
+    rows = [("1 " * 40_000 + "zorn", "aa"), ("ball", "bb")]
+    models = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert models.predict(["zorn", "ball"])[0] == ["aa", "bb"]
+
+
+def test_language_against_brute_force(spark):
+    """Cross-entropies from the recursive definition, on dictionaries."""
+    r = random.Random(4)
+    say = lambda letters, k: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 8))) for _ in range(k))
+    texts = {"aa": [say("abcde", 30) for _ in range(9)], "bb": [say("cdefgé", 30) for _ in range(9)], "cc": [say("xyzab", 30) for _ in range(9)]}
+    models = language_id.train(texts)
+    asked = [say("abcdexyz", 12) for _ in range(20)] + ["é", "qq abc", "ab " * 5000]
+    want = [min((brute.cross_entropy(texts[name], x, language_id.ORDER, language_id.ALPHABET), name) for name in texts) for x in asked]
+    names, score, _ = models.predict(asked)
+    assert names == [name for _, name in want] and ((score > 1 / 3) & (score <= 1)).all()
+    bits, _ = models.entropies(asked)
+    assert np.allclose(bits.min(1), [x for x, _ in want])
+
+
+def test_sample_of_mostly_copies(spark):
+    from corpusmill.llm import sampling
+
+    rows = [("same", "aa")] * 4000 + [(f"text {i}", "aa") for i in range(30)] + [("other", "bb")]
+    got = sampling.labelled_texts(spark.createDataFrame(rows, "text string, lang string"), "lang", 20)
+    assert [sum(x.label == k for x in got) for k in ("aa", "bb")] == [20, 1] and got[0].n_rows == 4030
+
+
 def test_kneser_ney_sums_to_one():
     from collections import Counter
 
