@@ -1,18 +1,21 @@
 """Secret scanning with a random forest that removes false positives; DataFrame operations only.
 
-Candidates are words (between white space) that hold a value of a secret's shape: a known
-prefix, or at least ``MIN_LENGTH`` characters of one alphabet with digits or mixed case, or a
-value after a key such as ``password=``.  Each is described by its length, the transitions between
-character classes, shares of classes, the share covered by words of a dictionary of
+Texts are cut into words at white space, and words into pieces at quotes, brackets, commas, semicolons, & and ?, so that each
+value of a line of JSON or of a query string is looked at.  A piece is a candidate if it holds a value of a secret's
+shape: a published prefix, at least ``MIN_LENGTH`` characters with a digit or mixed case (a
+small letter before a capital one, or two capitals before a small one), a value of six characters or more after a key such as ``password=``
+(in the same piece, the pieces or the words before), or the header of a private key.  Each is described by its length,
+the transitions between character classes, shares of classes, the share covered by words of a dictionary of
 placeholders and public names, its place (``path``), and its neighbouring words.  A random forest,
 trained from labelled findings, gives the probability that it is a secret.
 
 The labelled findings are a table with the columns of ``describe`` and ``label``; by default it is
 made by ``labelled_findings``, from the shapes of published credentials (secrets) and of the
-e-mail addresses, links, numbers, versions, dates, placeholders and long words that look like them.
+e-mail addresses, links, numbers, versions, dates, identifiers, placeholders and long words that look like them.
 
-Null and empty texts have no candidates.  Null paths are empty.  Repeated rows each give their
-findings.  Other columns are left alone; an empty table gives no rows.
+Null and empty texts have no candidates.  Null paths are empty.  A very long text gives all its findings.
+Repeated rows each give their findings; rows with a null or shared ``doc_id`` are separate.  Of other columns only ``path`` is read, so they can
+have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ TREES, DEPTH = 24, 7
 LABELLED_ROWS = 6000
 
 _KEYS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private[_-]?key"
-_KNOWN = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|AIza|eyJ|glpat-|npm_)"
+_PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|AIza|eyJ|glpat-|npm_"
+_KNOWN = rf"^(-----BEGIN|{_PREFIXES})"
 #: Words that stand in values nobody has to protect.
 _DICTIONARY = "example|sample|dummy|placeholder|changeme|password|secret|token|username|user|default|test|your|insert|here|none|null|true|false|admin|value|string|https?|www|mail|com|org|net|html|index|version|abc|xyz|xxx|foo|bar|123|000"
-_PREFILTER = rf"(?i)[0-9]|({_KEYS})\W{{0,4}}[=:]|eyJ|-----BEGIN"
+_HEADER = "-----BEGIN"
+#: What cuts a word into pieces.
+_MARKS = r"[\"'`,;&?{}\[\]()<>|\\]+"
+_MIXED = "[a-z][A-Z]|[A-Z][A-Z][a-z]"
 
 FEATURES = ("length", "transitions", "digits", "upper", "lower", "other", "distinct", "hex", "dictionary", "vowels", "known_prefix", "own_key", "key_before", "key_near", "assigned", "address", "test_path")
 
@@ -70,26 +77,32 @@ def describe(found: DataFrame) -> DataFrame:
     )
 
 
-def _split_word(word: Column) -> tuple[Column, Column]:
-    """The key in front (with = or :) and the value, without quotes and closing marks."""
-    key = F.regexp_extract(word, rf"(?i)^[\"'(\[{{<]*([\w.-]*(?:{_KEYS}|key)[\w.-]*[\"']?[=:]+)", 1)
-    value = F.regexp_replace(F.substring(word, F.length(F.regexp_extract(word, rf"(?i)^[\"'(\[{{<]*(?:[\w.-]*(?:{_KEYS}|key)[\w.-]*[\"']?[=:]+)?", 0)) + F.lit(1), F.length(word)), r"^[^0-9A-Za-z_/+-]+|[^0-9A-Za-z_/+=-]+$", "")
-    return key, value
-
-
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, position, word, own_key_text, value, before2, before, after, path); positions count words."""
+    """(doc_id, position, word, own_key_text, value, before2, before, after, path); positions count words of a text,
+    ``word`` is the piece with the value."""
     place = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    rows = docs.filter(F.col("text").rlike(_PREFILTER)).select("doc_id", place.alias("path"), F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+").alias("words"))
-    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("position", "word"))
+    rows = docs.filter("text is not null").select("doc_id", place.alias("path"), F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+").alias("words"))
+    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("position", "whole"))
+    near = lambda k: F.get("words", F.col("position") + k)
     # Most words are out by length and shape before anything else is looked at.
-    after_key = F.lower(F.concat_ws(" ", F.get("words", F.col("position") - 2), F.get("words", F.col("position") - 1))).rlike(rf"({_KEYS})\W*$")
-    shaped = F.col("word").rlike(r"[0-9]") & (F.length("word") >= MIN_LENGTH) | F.col("word").rlike(rf"(?i)({_KEYS})[\w.-]*[\"']?[=:]") | (F.length("word") >= 6) & after_key
+    after_key = F.lower(F.concat_ws(" ", near(-2), near(-1))).rlike(rf"({_KEYS})\W*$")
+    has_key = F.col("whole").rlike(rf"(?i)({_KEYS})[\w.-]*[\"']?[=:]")
+    header = F.col("whole").contains(_HEADER)
+    shaped = (F.length("whole") >= MIN_LENGTH) & F.col("whole").rlike(rf"[0-9]|{_MIXED}|{_PREFIXES}") | has_key | (F.length("whole") >= 6) & after_key | header
     rows = rows.filter(shaped)
-    rows = rows.select("doc_id", "position", "word", F.get("words", F.col("position") - 2).alias("before2"), F.get("words", F.col("position") - 1).alias("before"), F.get("words", F.col("position") + 1).alias("after"), "path")
-    key, value = _split_word(F.col("word"))
-    rows = rows.withColumns({"own_key_text": key, "value": value})
-    return rows.filter((F.length("value") >= MIN_LENGTH) | (F.col("own_key_text") != "") & (F.length("value") >= 6))
+    title = F.concat_ws(" ", F.lit(_HEADER), near(1), near(2), near(3))
+    rows = rows.select("doc_id", "position", near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), "path", "whole", F.when(header & title.rlike("PRIVATE KEY-----"), title).alias("title"), after_key.alias("after_key"))
+    pieces = F.array_remove(F.split("whole", _MARKS), "")
+    rows = rows.withColumn("pieces", F.when(F.col("title").isNotNull(), F.array(F.lit(_HEADER))).otherwise(pieces)).filter(F.size("pieces") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("pieces") - 1)))
+    piece = lambda k: F.coalesce(F.get("pieces", F.col("at") + k), F.lit(""))
+    rows = rows.withColumns({"word": piece(0), "front": F.when(piece(-1).rlike("^[:=]+$"), F.concat(piece(-2), piece(-1))).otherwise(piece(-1))})
+    own = F.regexp_extract("word", rf"(?i)^([\w.-]*(?:{_KEYS}|key)[\w.-]*[=:]+)", 1)
+    front = F.regexp_extract("front", rf"(?i)^([\w.-]*(?:{_KEYS}|key)[\w.-]*[=:]+)$", 1)
+    rows = rows.withColumns({"own_key_text": F.when(own != "", own).otherwise(front), "rest": F.substring(F.col("word"), F.length(own) + 1, F.length("word"))})
+    value = F.coalesce("title", F.regexp_replace("rest", r"^[^0-9A-Za-z_/+-]+|[^0-9A-Za-z_/+=-]+$", ""))
+    rows = rows.withColumn("value", value)
+    fits = (F.length("value") >= MIN_LENGTH) & F.col("value").rlike(rf"[0-9]|{_MIXED}|^({_PREFIXES})") | (F.length("value") >= 6) & ((F.col("own_key_text") != "") | F.col("after_key") & (F.col("at") == 0))
+    return rows.filter(fits | F.col("title").isNotNull()).select("doc_id", "position", "word", "own_key_text", "value", "before2", "before", "after", "path")
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -107,11 +120,15 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (1, F.substring(hexes("2"), 1, 40)),
         (1, F.substring(hexes("3"), 1, 16)),
         (1, F.concat(F.lit("AKIA"), F.substring(capitals, 1, 16))),
+        (1, F.concat(F.lit("AKIA"), F.translate(F.substring(capitals, 3, 16), "0123456789", "QWRTZPSDFG"))),
         (1, F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base64, "[^0-9A-Za-z]", "x"), 1, 36))),
         (1, F.substring(base64, 1, 40)),
         (1, F.concat(F.lit("sk-"), F.substring(base64, 3, 32))),
         (1, F.concat(F.lit("eyJ"), F.substring(base64, 1, 30), F.lit("."), F.substring(base64, 31, 40))),
-        (0, F.concat(part("m"), F.lit("."), number(1, 2), F.lit("@mail"), number(2, 1), F.lit(".example.com"))),
+        (1, F.translate(F.substring(base64, 5, 36), "0123456789+/", "aBcDeFgHiJkL")),
+        (1, F.concat(F.lit("-----BEGIN "), of(41, ["", "RSA ", "EC ", "OPENSSH "]), F.lit("PRIVATE KEY-----"))),
+        (0, F.concat(of(42, ["get", "set", "is", "on", "make"]), *(of(k, ["User", "Name", "File", "Index", "Value", "List", "Client", "Handler", "Request"]) for k in (43, 44, 45)))),
+        (0, F.concat(part("m"), of(46, [".", "_", ""]), number(1, 2), F.lit("@"), part("k"), of(47, [".com", ".org", ".net", ".example.com"]))),
         (0, F.concat(F.lit("https://www."), part("h"), F.lit(".com/"), part("i"), F.lit("/index"), number(3, 2), F.lit(".html"))),
         (0, F.concat(F.lit("+"), number(4, 2), F.lit("-"), number(5, 3), F.lit("-"), number(6, 4), F.lit("-"), number(7, 3))),
         (0, F.concat(F.lit("20"), number(8, 2), F.lit("-"), number(9, 2), F.lit("-"), number(10, 2), F.lit("T"), number(11, 2), F.lit(":00"))),
@@ -134,7 +151,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     spaced = keyed & ~own
     n = n.withColumn("before", F.when(spaced, F.lit("=")).otherwise(of(28, ["the", "of", "at", "is", "in", "key", "see"])))
     n = n.withColumn("before2", F.when(spaced, of(29, ["token", "secret", "password", "api_key"])).otherwise(of(30, ["and", "to", "a", "that"])))
-    n = n.withColumns({"after": F.lit("and"), "word": F.concat("own_key_text", "value"), "path": of(31, ["src/main", "web", "docs/example", "tests/unit", "src0"])})
+    n = n.withColumns({"after": F.lit("and"), "word": F.concat("own_key_text", "value"), "path": of(31, ["src/main", "web", "docs/example", "tests/unit", "forum"])})
     return describe(n).select("label", *FEATURES)
 
 
@@ -150,7 +167,8 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, path: st
     """(doc_id, position, kind, value, score, is_secret) of every candidate."""
     value = F.col("value")
     kind = (
-        F.when(value.rlike("^(AKIA|ASIA)"), "cloud_key")
+        F.when(value.startswith(_HEADER), "private_key")
+        .when(value.rlike("^(AKIA|ASIA)"), "cloud_key")
         .when(value.rlike("^(gh[pos]_|github_pat_|glpat-|npm_)"), "repository_token")
         .when(value.rlike("^eyJ"), "web_token")
         .when(value.rlike(_KNOWN), "service_token")

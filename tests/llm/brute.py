@@ -192,3 +192,50 @@ def network_score(net, text, width, stride):
     features = np.concatenate([best, total / chunks, [0.2 * np.log(chunks)]])
     z = np.tanh(features @ net.inner + net.inner_offset) @ net.weight + net.bias
     return 1 / (1 + np.exp(-z))
+
+
+KEYS = "(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private[_-]?key)"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|AIza|eyJ|glpat-|npm_"
+SHAPE = "[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
+
+
+def secret_candidates(text):
+    """(position, piece, key, value) of every candidate of a text."""
+    out, cut = [], re.split(r"[\x20\x09-\x0D]+", re.sub(r"^[\x20\x09-\x0D]+", "", text or ""))
+    for p, whole in enumerate(cut):
+        around = " ".join(cut[max(0, p - 2) : p]).lower()
+        after_key = re.search(KEYS + r"\W*$", around, re.A) is not None
+        if "-----BEGIN" in whole:
+            title = " ".join(["-----BEGIN", *cut[p + 1 : p + 4]])
+            if "PRIVATE KEY-----" in title:
+                out.append((p, "-----BEGIN", "", title))
+                continue
+        elif not (len(whole) >= 10 and re.search(SHAPE + "|" + PREFIXES, whole) or re.search(KEYS + r"[\w.-]*[\"']?[=:]", whole, re.I | re.A) or len(whole) >= 6 and after_key):
+            continue
+        pieces = [x for x in re.split(r"[\"'`,;&?{}\[\]()<>|\\]+", whole) if x]
+        for k, piece in enumerate(pieces):
+            front = pieces[k - 1] if k else ""
+            if re.fullmatch("[:=]+", front):
+                front = (pieces[k - 2] if k > 1 else "") + front
+            key = r"(?i)[\w.-]*(?:" + KEYS[1:-1] + r"|key)[\w.-]*[=:]+"
+            own = re.match(key, piece, re.A)
+            own = own[0] if own else ""
+            before = re.fullmatch(key, front, re.A)
+            value = re.sub(r"^[^0-9A-Za-z_/+-]+|[^0-9A-Za-z_/+=-]+$", "", piece[len(own) :])
+            own = own or (before[0] if before else "")
+            if len(value) >= 10 and (re.search(SHAPE, value) or re.match(PREFIXES, value)) or len(value) >= 6 and (own or after_key and k == 0):
+                out.append((p, piece, own, value))
+    return out
+
+
+def secret_features(value, own, before2, before, piece):
+    n = max(1, len(value))
+    share = lambda pattern: len(re.findall(pattern, value)) / n
+    runs = re.sub("[0-9]+", "\1", value)
+    runs = re.sub("[a-z]+", "\3", re.sub("[A-Z]+", "\2", runs))
+    is_key = lambda x: float(re.search(KEYS[:-1] + r"|key)\W*$", (x or "").lower(), re.A) is not None)
+    return {
+        "length": n, "transitions": (len(runs) - 1) / n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "other": share("[^0-9A-Za-z]"),
+        "distinct": len(set(value)) / n, "hex": share("[0-9a-f]"), "vowels": share("(?i)[aeiou]"), "own_key": float(own != ""), "key_before": max(is_key(before), is_key(own)), "key_near": is_key(before2),
+        "address": float(re.search(r"@|://|\.[a-z]{2,4}(/|$)", piece) is not None),
+    }
