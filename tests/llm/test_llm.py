@@ -69,6 +69,28 @@ def test_substring_dedup(hard, nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
+def test_substring_dedup_in_many_chunks(spark, monkeypatch):
+    """A passage that a third of the documents hold, and the largest id."""
+    r = random.Random(9)
+    say = lambda k: " ".join(f"q{r.randrange(10**6)}" for _ in range(k))
+    passage = say(40)
+    rows = [(i, f"{say(r.randrange(9))} {passage} {say(20)}" if i % 3 == 0 else say(50)) for i in range(240)] + [(2**63 - 1, passage)]
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1 << 10)
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert order(tuple(x) for x in got) == order(brute.substring(rows))
+
+
+def test_hot_sequences_are_settled_where_they_are_hashed():
+    hashes, document = np.tile(np.arange(30, dtype=np.uint64), 1000), np.repeat(np.arange(1000), 30)
+    keys = (hashes.astype(np.uint32) << 1) | (np.arange(30000) % 7 == 0)
+    found, sent = substring_dedup.settle_anchors(hashes, keys.astype(np.uint32), document)
+    assert found.all() and sent.sum() == 60
+    wide = np.zeros(30000, np.dtype([("a", "<u8"), ("b", "<u4")]))
+    wide["a"] = hashes
+    found, sent = substring_dedup.settle_windows(hashes, wide, document)
+    assert found.sum() == 29970 and sent.sum() == 30 and not found[:30].any()
+
+
 def test_substring_spans(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(1, text), (2, "a b " + text + " c")], "doc_id bigint, text string")
