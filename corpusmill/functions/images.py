@@ -5,13 +5,15 @@ Images are (height, width, bytes) rows of 8-bit RGB.  Spark's own "image" source
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.packing import IMAGE_END_ID, IMAGE_START_ID, PATCH_ID, ROW_END_ID
+
 PATCH = 14
 CROP = 378  # 27 patches of 14
 MARGIN_PATCHES = 4
@@ -53,17 +55,18 @@ def choose_tiling(images: DataFrame, most: int, tile: int, key: str = "image_id"
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, with pixel centres at halves, smoothed when it shrinks; values in [-1, 1]."""
+    """Bilinear between the two nearest pixels, whose centres are at halves, without smoothing when it shrinks; values in [-1, 1]."""
 
-    def weights(size: int, to: int) -> np.ndarray:
-        scale = max(size / to, 1.0)
-        centre = (np.arange(to) + 0.5) * size / to
-        w = np.maximum(0, 1 - np.abs((np.arange(size) + 0.5)[None] - centre[:, None]) / scale)
-        return w / w.sum(1, keepdims=True)
+    def places(size: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.maximum((np.arange(to, dtype=np.float32) + np.float32(0.5)) * np.float32(size / to) - np.float32(0.5), 0)
+        low = np.minimum(at.astype(np.int64), size - 1)
+        return low, np.minimum(low + 1, size - 1), (at - low).astype(np.float32)
 
-    rows, cols = weights(image.shape[0], height), weights(image.shape[1], width)
-    out = np.einsum("ai,ijc,bj->abc", rows, image.astype(np.float64), cols, optimize=True)
-    return (out / 127.5 - 1).astype(np.float32)
+    (top, bottom, down), (left, right, along) = places(image.shape[0], height), places(image.shape[1], width)
+    pixels = image.astype(np.float32)
+    mixed = pixels[:, left] * (1 - along)[None, :, None] + pixels[:, right] * along[None, :, None]
+    out = mixed[top] * (1 - down)[:, None, None] + mixed[bottom] * down[:, None, None]
+    return (np.clip(out, 0, 255) / np.float32(255) * 2 - 1).astype(np.float32)
 
 
 def to_patches(image: np.ndarray, patch: int = PATCH) -> np.ndarray:
@@ -81,8 +84,13 @@ def pooling_index(grid: np.ndarray, pool: int = POOL) -> np.ndarray:
     return padded.reshape(h // pool, pool, w // pool, pool).transpose(0, 2, 1, 3).reshape(-1, pool * pool)
 
 
-def multi_crop(image: np.ndarray, most: int, crop: int = CROP, patch: int = PATCH, margin: int = MARGIN_PATCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Patches of the whole image and of its overlapping crops, and the pooled cells' patch numbers, whole image first.
+def token_layout(rows: int, cols: int) -> list[int]:
+    """Ids of a grid of pooled cells: a start, each row's place holders and its end mark, an end."""
+    return [IMAGE_START_ID, *([*[PATCH_ID] * cols, ROW_END_ID] * rows), IMAGE_END_ID]
+
+
+def multi_crop(image: np.ndarray, most: int, crop: int = CROP, patch: int = PATCH, margin: int = MARGIN_PATCHES, pool: int = POOL) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Token ids, patches of the whole image and of its overlapping crops, and the pooled cells' patch numbers, whole image first.
 
     Neighbouring crops share 2 * margin patches; a patch in a shared border counts in the crop where it is further inside."""
     side = crop // patch
@@ -103,12 +111,13 @@ def multi_crop(image: np.ndarray, most: int, crop: int = CROP, patch: int = PATC
             a, b = (0 if r == 0 else margin), (side if r == rows - 1 else side - margin)
             d, e = (0 if c == 0 else margin), (side if c == cols - 1 else side - margin)
             grid[y + a : y + b, x + d : x + e] = number[a:b, d:e]
-    whole = pooling_index(np.arange(side * side).reshape(side, side))
-    return np.stack(patches), np.concatenate([whole, pooling_index(grid)])
+    whole = np.arange(side * side).reshape(side, side)
+    ids = [t for g in (whole, grid) for t in token_layout(*(-(-n // pool) for n in g.shape))]
+    return ids, np.stack(patches), np.concatenate([pooling_index(g, pool) for g in (whole, grid)])
 
 
 def preprocess(images: DataFrame, most: int, key: str = "image_id") -> DataFrame:
-    """(key, crops, patches, pooled): flattened float32 bytes of all patches, and the pooled cells' patch numbers.
+    """(key, crops, ids, patches, pooled): token ids, flattened float32 bytes of all patches, and the pooled cells' patch numbers.
 
     ``images``: (key, height, width, data)."""
 
@@ -116,29 +125,37 @@ def preprocess(images: DataFrame, most: int, key: str = "image_id") -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):  # one image at a time bounds memory
                 name, h, w, data = (batch.column(c)[i].as_py() for c in (key, "height", "width", "data"))
-                patches, pooled = multi_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), most)
-                yield pa.RecordBatch.from_arrays([pa.array([name], batch.schema.field(key).type), pa.array([len(patches)], pa.int32()), pa.array([patches.astype("<f4").tobytes()]), pa.array([pooled.tolist()], pa.list_(pa.list_(pa.int64())))], names=[key, "crops", "patches", "pooled"])
+                ids, patches, pooled = multi_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), most)
+                yield pa.RecordBatch.from_arrays([pa.array([name], batch.schema.field(key).type), pa.array([len(patches)], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([patches.astype("<f4").tobytes()]), pa.array([pooled.tolist()], pa.list_(pa.list_(pa.int64())))], names=[key, "crops", "ids", "patches", "pooled"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "height", "width", "data").mapInArrow(run, f"{key} {kind}, crops int, patches binary, pooled array<array<bigint>>")
+    return images.select(key, "height", "width", "data").mapInArrow(run, f"{key} {kind}, crops int, ids array<int>, patches binary, pooled array<array<bigint>>")
+
 
+def image_prefix(number: int) -> str:
+    """Text before an image's tokens; the first image has none."""
+    return f" Image {number + 1}: " if number else ""
 
-def image_prefix(number: int, count: int) -> str:
-    """Text before an image's tokens; only several images are numbered."""
-    return f"Image {number + 1}: " if count > 1 else ""
 
+def image_segments(rows: DataFrame, prepared: DataFrame, encode: Callable[[str], list[int]], patches_per_crop: int, most: int = 5, key: str = "id") -> DataFrame:
+    """(key, image_ids, crops, pooled): the first ``most`` images of each row as one run of tokens, each but the first after its
+    prefix, with patch numbers counted through the row's crops.
 
-def image_segments(rows: DataFrame, tokens_per_image: DataFrame, most: int = 5, key: str = "id") -> DataFrame:
-    """(key, image_no, prefix, n_tokens, offset): the first ``most`` images of each row, with the place of their tokens."""
-    listed = rows.select(key, F.slice("images", 1, most).alias("images")).select(key, F.size("images").alias("_k"), F.posexplode("images").alias("image_no", "image"))
-    joined = listed.join(tokens_per_image, "image")
-    before = Window.partitionBy(key).orderBy("image_no").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.when(F.col("_k") > 1, F.format_string("Image %d: ", F.col("image_no") + 1)).otherwise("")
-    return joined.select(key, "image_no", prefix.alias("prefix"), "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    ``rows``: (key, images); ``prepared``: (image, crops, ids, pooled).  A row without images has none of either."""
+    prefixes = F.array(*(F.array(*(F.lit(t) for t in encode(image_prefix(i)))).cast("array<int>") if i else F.array().cast("array<int>") for i in range(most)))  # a constant
+    listed = rows.select(key, F.posexplode(F.slice("images", 1, most)).alias("no", "image"))
+    own = listed.join(prepared.select("image", "crops", "ids", "pooled"), "image")
+    before = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("shift", F.coalesce(F.sum("crops").over(before), F.lit(0)) * patches_per_crop)
+    moved = F.transform("pooled", lambda row: F.transform(row, lambda x: F.when(x >= 0, x + F.col("shift")).otherwise(F.lit(-1).cast("bigint"))))
+    parts = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", F.concat(F.get(prefixes, F.col("no")), F.col("ids")).alias("ids"), "crops", moved.alias("pooled")))).alias("x"))
+    parts = parts.select(key, F.flatten(F.transform("x", lambda x: x["ids"])).alias("image_ids"), F.aggregate("x", F.lit(0), lambda a, x: a + x["crops"]).alias("crops"), F.flatten(F.transform("x", lambda x: x["pooled"])).alias("pooled"))
+    whole = rows.select(key).join(parts, key, "left")
+    return whole.select(key, F.coalesce("image_ids", F.array().cast("array<int>")).alias("image_ids"), F.coalesce("crops", F.lit(0)).alias("crops"), F.coalesce("pooled", F.array().cast("array<array<bigint>>")).alias("pooled"))
 
 
 def synthetic_images(spark: SparkSession, n: int, seed: int, share: float = 0.8, side: int = 32) -> DataFrame:
-    """(image_id, height, width, data, answer): random pixels for a share of the rows, and an answer of 4 to 23 tokens."""
+    """(image_id, height, width, data, answer): random pixels for a share of the rows, and an answer of 4 to 23 token ids from 1000 to 5999."""
     pick = lambda salt: F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(salt)), F.lit(1000))
 
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,4 +165,4 @@ def synthetic_images(spark: SparkSession, n: int, seed: int, share: float = 0.8,
 
     rows = spark.range(n).select(F.col("id").alias("image_id"), (pick("image") < 1000 * share).alias("has"), (4 + pick("length") % 20).cast("int").alias("n_answer"))
     out = rows.mapInArrow(pixels, "image_id bigint, has boolean, n_answer int, data binary")
-    return out.select("image_id", F.when(F.col("has"), side).alias("height"), F.when(F.col("has"), side).alias("width"), "data", F.transform(F.sequence(F.lit(1), F.col("n_answer")), lambda i: F.pmod(F.xxhash64("image_id", i, F.lit(seed)), F.lit(256)).cast("int")).alias("answer"))
+    return out.select("image_id", F.when(F.col("has"), side).alias("height"), F.when(F.col("has"), side).alias("width"), "data", F.transform(F.sequence(F.lit(1), F.col("n_answer")), lambda i: F.pmod(F.xxhash64("image_id", i, F.lit(seed)), F.lit(5000)).cast("int") + 1000).alias("answer"))

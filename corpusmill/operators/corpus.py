@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +67,54 @@ def encode_marked(docs: DataFrame, markers: dict[str, int], span_open: str, span
     if any(len(c) != 1 for c in alphabet):
         raise ValueError("an alphabet's entries are single characters")
 
-    def one(text: str) -> list[int]:
-        out, inside = [], False
-        for piece in split.split(text):
-            if piece in markers:
-                inside = piece == span_open or (inside and piece != span_close)
-                out.append(markers[piece])
-            elif inside:
-                unknown = [c for c in piece if c not in alphabet]
-                if unknown:
-                    raise ValueError(f"unknown character {unknown[0]!r} in a marked span")
-                out.extend(alphabet[c] for c in piece)
-            elif piece:
-                out.extend(encode([piece])[0])
-        return out
+    def spell(piece: str) -> list[int]:
+        unknown = [c for c in piece if c not in alphabet]
+        if unknown:
+            raise ValueError(f"unknown character {unknown[0]!r} in a marked span")
+        return [alphabet[c] for c in piece]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("ids", pa.array([one(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int32())))
+            rows: list[list] = []
+            outside: list[str] = []
+            for text in batch.column("text").to_pylist():
+                own: list = []
+                inside = False
+                for piece in filter(None, split.split(text or "")):
+                    if piece in markers:
+                        inside = piece == span_open or (inside and piece != span_close)
+                        own.append([markers[piece]])
+                    elif inside:
+                        own.append(spell(piece))
+                    else:
+                        own.append(len(outside))
+                        outside.append(piece)
+                rows.append(own)
+            coded = encode(outside) if outside else []  # one call for the whole batch
+            ids = [[t for x in own for t in (coded[x] if isinstance(x, int) else x)] for own in rows]
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
     return docs.mapInArrow(run, with_ids(docs.schema))
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True  # a special token's name in a text is ordinary text
+    return found
+
+
+def library_encoder(path: str):
+    """An ``encode`` for texts by a vocabulary file of the ``tokenizers`` library; a worker reads the file once."""
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in _library(path).encode_batch(texts, add_special_tokens=False)]
+
+    return encode
+
+
 # -- pools ---------------------------------------------------------------------------------------
 
 
@@ -133,22 +160,54 @@ def not_done(pools: DataFrame, manifest: DataFrame, target: int) -> DataFrame:
 # -- prefix sums, budgets, shards ------------------------------------------------------------------
 
 
-def prefix_sums(rows: DataFrame, key: str, value: str, name: str = "start", by: str | None = None, rows_per_bucket: int = 1 << 16) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before, in the order of a whole-number ``key``.
+#: Intervals of about equally many rows that keys are first cut into.
+INTERVALS = 64
+
 
-    Keys are cut into buckets of equal width; totals of buckets are summed in one small window, and
-    rows in a window for each bucket, so no task sorts more than a bucket's rows (about ``rows_per_bucket``,
-    where keys are spread evenly).  With ``by``, sums start afresh for each of its values."""
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // rows_per_bucket))))
-    keys = [by] if by else []
-    cut = rows.withColumn("_bucket", F.floor((F.col(key) - F.lit(low or 0)) / width))
-    totals = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_bucket_total"))
+def _tree(key: Column, cuts: list, leaf, a: int, b: int) -> Column:
+    """A balanced tree of comparisons; ``leaf(i)`` where cuts[i - 1] <= key < cuts[i]."""
+    if a == b:
+        return leaf(a)
+    mid = (a + b) // 2
+    return F.when(key < F.lit(cuts[mid]), _tree(key, cuts, leaf, a, mid)).otherwise(_tree(key, cuts, leaf, mid + 1, b))
+
+
+def buckets(rows: DataFrame, key: str, rows_per_bucket: int = 1 << 16) -> Column:
+    """The number of a row's bucket, ascending with a whole-number ``key``; a null key is before all others.
+
+    Keys are cut at ``INTERVALS`` quantiles, and each interval into pieces of equal width, so a few far-off keys don't bring all
+    others together."""
+    shares = [i / INTERVALS for i in range(1, INTERVALS)]
+    n, low, high, found = rows.agg(F.count(key), F.min(key), F.max(key), F.percentile_approx(key, shares, 2000)).first()
+    cuts = sorted({c for c in found or [] if c > low})
+    ends = [low or 0, *cuts, (high or 0) + 1]
+    pieces = max(1, -(-n // (rows_per_bucket * (len(cuts) + 1))))
+    leaf = lambda i: F.lit(i * pieces).cast("bigint") + (F.floor((F.col(key) - F.lit(ends[i])) / max(1, -(-(ends[i + 1] - ends[i]) // pieces))) if pieces > 1 else F.lit(0))
+    return F.coalesce(F.when(F.col(key).isNotNull(), _tree(F.col(key), cuts, leaf, 0, len(cuts))), F.lit(-1)).cast("bigint")
+
+
+def prefix_sums(rows: DataFrame, key: str, value: str | Column, name: str = "start", by: str | list[str] | None = None, rows_per_bucket: int = 1 << 16, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before, in the order of a whole-number ``key`` (nulls first), ties by ``then``.
+
+    Totals of buckets of keys are summed in one small window, and rows in a window for each bucket, so no task sorts more than a
+    bucket's rows (about ``rows_per_bucket``).  With ``by``, sums start afresh for each of its values; null is one of them."""
+    keys = [by] if isinstance(by, str) else list(by or [])
+    size = F.col(value) if isinstance(value, str) else value
+    cut = rows.withColumns({"_bucket": buckets(rows, key, rows_per_bucket), "_size": size})
+    totals = cut.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_total"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_bucket_total").over(before), F.lit(0)).alias("_bucket_start"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, [*keys, "_bucket"])
-    return out.withColumn(name, (F.col("_bucket_start") + F.col("_inside")).cast("bigint")).drop("_bucket", "_inside", "_bucket_start")
+    totals = totals.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_bucket_start"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_bucket") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    out = cut.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(totals, same)
+    return out.withColumn(name, (F.col("_bucket_start") + F.col("_inside")).cast("bigint")).drop("_bucket", "_of", "_size", "_inside", "_bucket_start", *(f"_by_{k}" for k in keys))
+
+
+def numbered(rows: DataFrame, key: str, name: str, by: str | list[str] | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds each row's number, from 0, in the order of a whole-number key; a group of any share of the rows is dealt over its buckets."""
+    return prefix_sums(rows, key, F.lit(1), name, by, then=then)
 
 
 def cap_budget(rows: DataFrame, by: str, order: str, size: str, budget: Column | int, max_rows: int | None = None) -> DataFrame:
@@ -157,8 +216,7 @@ def cap_budget(rows: DataFrame, by: str, order: str, size: str, budget: Column |
     kept = prefix_sums(rows, order, size, "_spent", by).filter(F.col("_spent") < budget).drop("_spent")
     if max_rows is None:
         return kept
-    first = Window.partitionBy(by).orderBy(order)
-    return kept.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max_rows).drop("_n")
+    return numbered(kept, order, "_n", by).filter(F.col("_n") < max_rows).drop("_n")
 
 
 def fetch_plan(files: DataFrame, group_caps: dict[str, int], default_cap: int, target: int, max_files: int = 400) -> DataFrame:

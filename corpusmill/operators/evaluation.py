@@ -36,14 +36,14 @@ def prepare_spans(docs: DataFrame, encode: Callable[[list[str]], list[list[int]]
 
 def bits_per_byte(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Micro-averaged (bpb, ppl, tokens) from (ids, cont_start, n_bytes, nats); documents of fewer than two tokens or with a
-    sum that isn't finite are left out.  Without tokens both are NaN."""
+    sum that isn't finite are left out.  Without tokens both are NaN; text of no bytes counts as one."""
     first = F.greatest(F.col("cont_start") - 1, F.lit(0))
     tail = F.slice("nats", first + 1, F.greatest(F.size("nats") - first, F.lit(0)))
     rows = scored.filter(F.size("ids") >= 2).withColumn("_nats", F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)).withColumn("_n", F.size(tail))
     rows = rows.filter(~F.isnan("_nats") & (F.abs("_nats") < float("inf")) & (F.col("_n") > 0))
     sums = rows.groupBy(*(by or [])).agg(F.sum("_nats").alias("nats"), F.sum("_n").alias("tokens"), F.sum("n_bytes").alias("bytes"))
     nan = F.lit(float("nan"))
-    bpb = F.when(F.col("bytes") > 0, F.col("nats") / F.lit(math.log(2)) / F.col("bytes")).otherwise(nan)
+    bpb = F.when(F.col("tokens") > 0, F.col("nats") / F.lit(math.log(2)) / F.greatest("bytes", F.lit(1))).otherwise(nan)
     ppl = F.when(F.col("tokens") > 0, F.exp(F.col("nats") / F.col("tokens"))).otherwise(nan)
     return sums.select(*(by or []), bpb.alias("bpb"), ppl.alias("ppl"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
 
@@ -117,3 +117,10 @@ def steady_state(events: DataFrame, skip: int = 5) -> DataFrame:
     """Median and mean throughput and utilisation after the first steps."""
     rows = events.filter(F.col("step") >= skip)
     return rows.agg(*(f(F.col(c)).alias(f"{n}_{c}") for c in ("tokens_per_s", "mfu") for n, f in (("median", F.median), ("mean", F.avg))))
+
+
+def warm_up_steps(transitions: DataFrame, step: str = "step") -> DataFrame:
+    """Distinct steps to try out before a run: 0 and 1, and the last two before and the first two of each transition (from 2 on)."""
+    around = transitions.select(F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1))), lambda o: F.col(step) + o)).alias("step")).filter("step >= 2")
+    first = transitions.sparkSession.range(2).select(F.col("id").cast(around.schema["step"].dataType).alias("step"))
+    return first.union(around).distinct()

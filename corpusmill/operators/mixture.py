@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scalar import uniform
+from corpusmill.operators.corpus import numbered
 
 
 def rates(sources: DataFrame) -> DataFrame:
@@ -54,14 +55,31 @@ def epochs(examples: DataFrame, draws: DataFrame, source: str, key: str, seed: i
     """(step, source, key): each draw of a source takes the next example of its current permutation; when a source is exhausted, it is
     permuted anew.  The k-th draw of a source with n examples is example k mod n of epoch k div n."""
     sizes = examples.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    k = F.row_number().over(Window.partitionBy(source).orderBy(step)) - 1
-    wanted = draws.withColumn("_k", k).join(F.broadcast(sizes), source).withColumns({"_epoch": F.floor(F.col("_k") / F.col("_n")), "_i": F.pmod("_k", "_n")})
+    wanted = numbered(draws, step, "_k", source).join(sizes, source).withColumns({"_epoch": F.floor(F.col("_k") / F.col("_n")), "_i": F.pmod("_k", F.col("_n"))})
     needed = wanted.select(source, "_epoch").distinct()
-    order = Window.partitionBy(source, "_epoch").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), F.col(key).cast("string"))), key)
-    permuted = examples.join(needed, source).withColumn("_i", F.row_number().over(order) - 1)
+    shuffle = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), F.col(key).cast("string")))
+    permuted = examples.select(source, key).join(needed, source).withColumn("_md5", shuffle).withColumn("_place", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("bigint"))
+    permuted = numbered(permuted, "_place", "_i", [source, "_epoch"], ("_md5", key)).drop("_md5", "_place")
     return wanted.join(permuted, [source, "_epoch", "_i"]).select(step, source, key)
 
 
+def runs_with_weights(runs: DataFrame, weights: DataFrame, run: str = "run_id") -> DataFrame:
+    """Adds ``weights``, a map from pool to weight; a run that has none has an empty map."""
+    maps = weights.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pool", "w")))).alias("weights"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return runs.join(maps, run, "left").withColumn("weights", F.coalesce("weights", empty))
+
+
+def collect_results(results: DataFrame, pools: DataFrame, metrics: list[str], groups: list[str], run: str = "run_id") -> DataFrame:
+    """One row for each result: its metrics, and the weight of each group (5 digits) as w_<group>.
+
+    ``results``: (run, weights, metrics); ``pools``: (pool, grp).  A result without weights has 0 everywhere."""
+    own = results.select(run, F.explode("weights").alias("pool", "w"))
+    sums = group_weights(own, pools, groups, run)
+    columns = (F.coalesce(F.col(g), F.lit(0.0)).alias(f"w_{g}") for g in groups)
+    return results.select(run, *metrics).join(sums, run, "left").select(run, *metrics, *columns)
+
+
 def sparse_designs(spark: SparkSession, names: list[str], groups: list[str], n: int, seed: int, smallest: int = 2) -> DataFrame:
     """(run_id, kind, pool, w): uniform and one-group baselines, then ``n`` Dirichlet weights over random subsets of pools."""
     runs = [("uniform", "uniform")] + [(f"group_{g}", "group") for g in sorted(set(groups))] + [(f"mix_{i:04d}", "sparse") for i in range(n)]
@@ -107,7 +125,7 @@ def status(runs: DataFrame, results: DataFrame, run: str = "run_id") -> DataFram
 
 def group_weights(weights: DataFrame, pools: DataFrame, groups: list[str] | None = None, run: str = "run_id") -> DataFrame:
     """One row for each run with the summed weight of each group (5 digits); pools nobody knows are in the group "?"."""
-    known = weights.join(F.broadcast(pools.select("pool", "grp")), "pool", "left").withColumn("grp", F.coalesce("grp", F.lit("?")))  # a dimension
+    known = weights.join(pools.select("pool", "grp"), "pool", "left").withColumn("grp", F.coalesce("grp", F.lit("?")))
     return known.groupBy(run).pivot("grp", groups).agg(F.round(F.sum("w"), 5)).fillna(0.0)
 
 

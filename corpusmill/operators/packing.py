@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scalar import bigram_hash
@@ -40,8 +40,6 @@ def cyclic_windows(shards: DataFrame, steps: int, batch: int, ranks: int = 1, or
     """``windows`` numbered over all shards, starting again after the last, until there are ``steps``."""
     found = windows(shards, batch, 1, n=n)
     per_shard = shards.select(order, F.greatest(F.floor((F.col(n) - 2) / batch), F.lit(0)).alias("_k"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     per_shard = per_shard.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_all", F.sum("_k").over(Window.partitionBy(F.lit(0))))
     rows = found.join(per_shard, order).withColumn("_at", F.col("_before") + F.col("step")).filter("_all > 0")
@@ -52,9 +50,66 @@ def cyclic_windows(shards: DataFrame, steps: int, batch: int, ranks: int = 1, or
     return rows.withColumn("length", F.lit(per + 1)).drop("_k", "_before", "_all", "_at", "_round")
 
 
-def rank_stride_windows(tokens: int, length: int, rank: int, ranks: int) -> list[int]:
-    """Starts of a rank's windows in one stream, before it rewinds to its first."""
-    return [p for p in range(rank * length, tokens, ranks * length) if p + length + 1 <= tokens]
+def rank_cyclic_windows(shards: DataFrame, steps: int, batch: int, ranks: int, order: str = "shard", n: str = "n_tokens") -> DataFrame:
+    """(step, rank, shard, begin, length): each rank has a cursor of its own over all shards, starting again after the last.
+
+    A rank starts a shard at rank * batch and goes on by ranks * batch; it leaves the shard when its next stride doesn't fit, so
+    ranks may change shards at different steps.  Every shard gives each rank one batch at least."""
+    stride = batch * ranks
+    rows = shards.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    rows = rows.withColumn("_k", F.greatest(F.lit(1).cast("bigint"), F.floor((F.col(n) - 1 - F.col("rank") * batch) / stride)))
+    rows = _laps(rows, ["rank"], order, steps)
+    return rows.withColumns({"begin": F.col("rank") * batch + F.col("_i") * stride, "length": F.lit(batch + 1)}).drop("_i")
+
+
+def rank_stride_windows(streams: DataFrame, steps: int, length: int, ranks: int, key: str = "stream", n: str = "n_tokens") -> DataFrame:
+    """(key, step, rank, begin, length): each rank starts a stream at rank * length, goes on by ranks * length, and rewinds to its start
+    when the next window doesn't fit.  A stream without a window for a rank is an error."""
+    rows = streams.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    count = F.floor((F.col(n) - 1 - length * (F.col("rank") + 1)) / (ranks * length)) + 1
+    rows = rows.withColumn("_k", F.when(count > 0, count).otherwise(F.raise_error(F.lit("a stream is shorter than a window of each rank"))))
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))))
+    return rows.withColumns({"begin": (F.col("rank") + F.pmod("step", F.col("_k")) * ranks) * length, "length": F.lit(length + 1)}).drop("_k")
+
+
+def _laps(rows: DataFrame, by: list[str], order: str, steps: int) -> DataFrame:
+    """Adds (step, _i): a group's rows give ``_k`` items each, in order, again and again, until the group has ``steps``.
+
+    The rows are shards, a dimension."""
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_before": F.coalesce(F.sum("_k").over(before), F.lit(0)), "_all": F.sum("_k").over(whole)})
+    rows = rows.filter("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).withColumn("_at", F.col("_before") + F.col("_i"))
+    rounds = F.sequence(F.lit(0).cast("bigint"), F.floor((F.lit(steps - 1) - F.col("_at")) / F.col("_all")))
+    rows = rows.filter(F.col("_at") < steps).withColumn("_round", F.explode(rounds))
+    return rows.withColumn("step", F.col("_at") + F.col("_round") * F.col("_all")).drop("_k", "_before", "_all", "_at", "_round")
+
+
+def pool_blocks(draws: DataFrame, shards: DataFrame, block: int) -> DataFrame:
+    """(step, pool, shard, begin, length, tiled): the block that each draw of a pool reads at the pool's cursor.
+
+    ``draws``: (step, pool, k), k the number of earlier draws of the pool; ``shards``: (pool, shard, n_tokens), shards from 0.  A block has
+    ``block`` + 1 tokens and the cursor goes on by ``block``; a shard that is used up gives way to the next, and the first follows the last.
+    Where all of a pool's shards are too short, the shard two further on is repeated until it fills the block."""
+    lists = F.array_sort(F.collect_list(F.struct("shard", F.greatest(F.floor((F.col("n_tokens") - 1) / block), F.lit(0).cast("bigint")).alias("blocks"))))
+    table = shards.groupBy("pool").agg(lists.alias("_s"))  # a pool's shards are a few
+    ends = F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.aggregate(F.slice("_s", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x["blocks"]))
+    table = table.withColumn("_ends", ends).withColumn("_all", F.element_at("_ends", -1))
+    rows = draws.join(table, "pool").withColumn("_at", F.when(F.col("_all") > 0, F.pmod("k", F.col("_all"))))
+    place = F.when(F.col("_all") > 0, F.size(F.filter("_ends", lambda e: e <= F.col("_at")))).otherwise(F.pmod(2 * (F.col("k") + 1), F.size("_s")).cast("int"))
+    rows = rows.withColumn("_p", place)
+    begin = F.when(F.col("_all") > 0, F.col("_at") - F.get("_ends", F.col("_p")) + F.get("_s", F.col("_p"))["blocks"]) * block
+    return rows.select("step", "pool", F.get("_s", F.col("_p"))["shard"].alias("shard"), F.coalesce(begin, F.lit(0)).alias("begin"), F.lit(block + 1).alias("length"), (F.col("_all") == 0).alias("tiled"))
+
+
+def stream_documents(shards: DataFrame, target: int, length: int, order: str = "shard", n: str = "n_tokens") -> DataFrame:
+    """(shard, begin, length): documents of ``length`` tokens cut from shards in order, until ``target`` tokens are taken; what is left of
+    a shard is a shorter document.  Shards are a dimension."""
+    before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = shards.withColumn("_left", F.lit(target) - F.coalesce(F.sum(n).over(before), F.lit(0)))
+    rows = rows.withColumn("_take", F.least(F.col(n), F.col("_left"))).filter("_take > 0")
+    rows = rows.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_take") - 1, F.lit(length).cast("bigint"))))
+    return rows.withColumn("length", F.least(F.lit(length), F.col("_take") - F.col("begin"))).drop("_left", "_take")
 
 
 # -- document-aligned packing ---------------------------------------------------------------------
@@ -121,82 +176,106 @@ def document_offsets(lengths: Column) -> Column:
 # -- multiple-choice tasks ---------------------------------------------------------------------------
 
 
+def choice_offsets(seq_len: int) -> int:
+    """Entries of the offsets vector of a sequence of choices: room for documents of 70 tokens on average."""
+    return (seq_len // 70 // 128 + 1) * 128
+
+
 def pack_choices(tasks: DataFrame, encode: Callable[[str], list[int]], seq_len: int, group: str = "part", end_id: int = START_ID) -> DataFrame:
-    """Sequences of multiple-choice tasks: (part, sequence, tokens, targets, task_ids, spans, labels).
+    """Sequences of multiple-choice tasks: (part, sequence, tokens, targets, task_ids, spans, labels, offsets).
 
-    ``tasks``: (part, task_id, ctx, endings, label); the tasks of a part are packed in order of their id.  Exactly four
-    endings; a task that doesn't fit an empty sequence is an error."""
+    ``tasks``: (part, task_id, ctx, endings, label); the tasks of a part are packed in order of their id.  Each of the four endings
+    gives a piece: context and ending without their last token as inputs, without their first as targets, with an ``end_id`` in
+    both before it unless it opens the sequence.  A span is where an ending's tokens are targets.  Offsets are 0 and the places
+    after each end, filled up with the length.  A task whose texts don't fit beside the ones before opens a sequence; one that
+    doesn't fit at all is an error."""
+    width = choice_offsets(seq_len)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("task_id")
-        out: list[tuple] = []
-        held: list[int] = []
-        meta: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal held, meta
-            if meta:
-                pad = [0] * (seq_len - len(held) + 1)
-                out.append((int(pdf[group].iloc[0]), len(out), [*held, *pad][:seq_len], [*held[1:], *pad][:seq_len], [m[0] for m in meta], [s for m in meta for s in m[1]], [m[2] for m in meta]))
-            held, meta = [], []
-
-        for row in pdf.itertuples():
-            if len(row.endings) != 4:
-                raise ValueError("a task has four endings")
-            ctx, ends = encode(row.ctx), [encode(" " + e) for e in row.endings]
-            need = sum(len(ctx) + len(e) for e in ends)
-            if len(held) + need >= seq_len:
-                flush()
-            if need + 4 > seq_len:
-                raise ValueError(f"task {row.task_id} is longer than a sequence")
-            spans = []
-            for e in ends:
-                if held:
-                    held.append(end_id)
-                begin = len(held) + len(ctx) - 1
-                spans.append([begin, begin + len(e)])
-                held.extend([*ctx, *e])
-            meta.append((int(row.task_id), spans, int(row.label)))
-        flush()
-        return pd.DataFrame(out, columns=["part", "sequence", "tokens", "targets", "task_ids", "spans", "labels"])
-
-    return tasks.groupBy(group).applyInPandas(run, "part int, sequence int, tokens array<int>, targets array<int>, task_ids array<bigint>, spans array<array<int>>, labels array<int>")
+        if (pdf.endings.map(len) != 4).any():
+            raise ValueError("a task has four endings")
+        contexts = [encode(c) for c in pdf.ctx]
+        endings = [[encode(" " + e) for e in four] for four in pdf.endings]
+        texts = np.array([[len(c) + len(e) for e in four] for c, four in zip(contexts, endings, strict=True)], np.int64).reshape(-1, 4)
+        need, sequence, begin, at = texts.sum(1), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        for i, n in enumerate(need.tolist()):
+            if n - 1 > seq_len:
+                raise ValueError(f"task {pdf.task_id.iloc[i]} is longer than a sequence")
+            opens = at == 0 or at + n >= seq_len
+            sequence[i], begin[i] = sequence[i - 1] + (at > 0) if i and opens else sequence[i - 1] if i else 0, 0 if opens else at
+            at = begin[i] + n - opens
+        # A piece's end mark stands before it, so its inputs begin one further on; the first piece of a sequence has none.
+        marked = np.ones_like(texts)
+        marked[begin == 0, 0] = 0
+        size = texts - 1 + marked
+        first = begin[:, None] + np.cumsum(size, axis=1) - size + marked
+        out = []
+        for k in range(int(sequence[-1]) + 1 if len(sequence) else 0):
+            own = np.flatnonzero(sequence == k)
+            inputs, targets, spans = np.zeros(seq_len, np.int32), np.zeros(seq_len, np.int32), []
+            for i in own:
+                for j, e in enumerate(endings[i]):
+                    a, whole = int(first[i, j]), [*contexts[i], *e]
+                    inputs[a : a + len(whole) - 1], targets[a : a + len(whole) - 1] = whole[:-1], whole[1:]
+                    if marked[i, j]:
+                        inputs[a - 1] = targets[a - 1] = end_id
+                    spans.append([a + len(contexts[i]) - 1, a + len(whole) - 1])
+            ends = np.flatnonzero(inputs == end_id) + 1
+            if len(ends) >= width:
+                raise ValueError(f"{len(ends)} documents in a sequence, room for {width - 1}")
+            offsets = np.full(width, seq_len, np.int32)
+            offsets[: len(ends) + 1] = [0, *ends]
+            out.append((int(pdf[group].iloc[0]), k, inputs, targets, pdf.task_id.iloc[own].tolist(), spans, pdf.label.iloc[own].tolist(), offsets))
+        return pd.DataFrame(out, columns=["part", "sequence", "tokens", "targets", "task_ids", "spans", "labels", "offsets"])
+
+    return tasks.groupBy(group).applyInPandas(run, "part int, sequence int, tokens array<int>, targets array<int>, task_ids array<bigint>, spans array<array<int>>, labels array<int>, offsets array<int>")
 
 
 # -- conversations ------------------------------------------------------------------------------------
 
-# Marks of the chat form.
-USER, ASSISTANT = "User: ", " Assistant: "
+# The chat form, and the ids of an image's place holder and of the marks of its begin, its end and the end of a row of patches.
+USER_TURN, ANSWER_TURN = "\nUser: {}\nAssistant:", " {}"
+PATCH_ID, LOW_ID, IMAGE_START_ID, IMAGE_END_ID, ROW_END_ID, LOW_START_ID = 50257, 50258, 50259, 50260, 50261, 50262
+IMAGE_IDS = (PATCH_ID, LOW_ID, IMAGE_START_ID, IMAGE_END_ID, ROW_END_ID, LOW_START_ID)
 
 
 def encode_turns(rows: DataFrame, encode: Callable[[list[str]], list[list[int]]], seq_len: int, end_id: int = START_ID) -> DataFrame:
-    """(id, inputs, targets, weights) of flattened conversations (id, turns, message_weight, n_sub).
+    """(id, inputs, targets, weights) of flattened conversations (id, turns, message_weight, n_sub, and image_ids, if there are any).
 
-    Turns alternate between user and assistant; an unpaired last turn is dropped.  An assistant's tokens weigh
-    message_weight / sqrt(their number) / sqrt(n_sub), all others 0; the sequence is cut after that, and shifted by one."""
+    Turns alternate between user and assistant; an unpaired last turn is dropped.  Each answer ends with ``end_id``, and its tokens weigh
+    message_weight / sqrt(their number) / sqrt(n_sub); all others weigh 0, and so do image ids as targets.  The sequence begins with the
+    image ids, is cut to ``seq_len``, and is shifted by one."""
+    images = F.coalesce(F.col("image_ids").cast("array<int>"), F.array().cast("array<int>")) if "image_ids" in rows.columns else F.array().cast("array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = ("id", "turns", "message_weight", "n_sub", "image_ids")
+            read = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            said = [(turns or [])[: len(turns or []) // 2 * 2] for _, turns, *_ in read]
+            coded = iter(encode([(ANSWER_TURN if k % 2 else USER_TURN).format(t) for turns in said for k, t in enumerate(turns)]))
             out: tuple[list, ...] = ([], [], [], [])
-            for key, turns, weight, n_sub in zip(*(batch.column(c).to_pylist() for c in ("id", "turns", "message_weight", "n_sub")), strict=True):
-                turns = (turns or [])[: len(turns or []) // 2 * 2]
-                coded = encode([(USER if k % 2 == 0 else ASSISTANT) + t for k, t in enumerate(turns)])
-                answers = sum(len(c) + 1 for c in coded[1::2])
-                each = (weight or 0.0) / math.sqrt(max(answers, 1)) / math.sqrt(max(n_sub or 0, 1))
-                ids, weights = [end_id], [0.0]
-                for k, c in enumerate(coded):
-                    ids += [*c, end_id] if k % 2 else c
-                    weights += [each] * (len(c) + 1) if k % 2 else [0.0] * len(c)
-                ids, weights = ids[: seq_len + 1], weights[: seq_len + 1]
+            for (key, _, weight, n_sub, image), turns in zip(read, said, strict=True):
+                ids, weights = list(image), [0.0] * len(image)
+                for k in range(len(turns)):
+                    own = next(coded)
+                    if k % 2:
+                        own = [*own, end_id]
+                    ids += own
+                    weights += [(weight or 0.0) / math.sqrt(len(own)) / math.sqrt(max(n_sub or 0, 1)) if k % 2 else 0.0] * len(own)
+                ids, weights = ids[:seq_len], weights[:seq_len]
+                weights = [0.0 if t in IMAGE_IDS else w for t, w in zip(ids, weights, strict=True)]
                 for column, value in zip(out, (key, ids[:-1], ids[1:], weights[1:]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in out[1:3]), pa.array(out[3], pa.list_(pa.float64()))], names=["id", "inputs", "targets", "weights"])
 
-    return rows.select(F.col("id").cast("bigint").alias("id"), "turns", F.col("message_weight").cast("double").alias("message_weight"), F.col("n_sub").cast("int").alias("n_sub")).mapInArrow(run, "id bigint, inputs array<int>, targets array<int>, weights array<double>")
+    read = rows.select(F.col("id").cast("bigint").alias("id"), "turns", F.col("message_weight").cast("double").alias("message_weight"), F.col("n_sub").cast("int").alias("n_sub"), images.alias("image_ids"))
+    return read.mapInArrow(run, "id bigint, inputs array<int>, targets array<int>, weights array<double>")
 
 
-def collate(examples: DataFrame, multiple: int = 16, filler: int = 0) -> DataFrame:
-    """One packed row for each batch: (batch, inputs, targets, weights, offsets), padded to a multiple with a document of filler.
+def collate(examples: DataFrame, multiple: int = 16, filler: int = START_ID) -> DataFrame:
+    """One packed row for each batch: (batch, inputs, targets, weights, offsets), padded to a multiple with a document of filler (targets and
+    weights 0).
 
     ``examples``: (batch, id, inputs, targets, weights); a batch is a few examples by definition."""
     ordered = F.array_sort(F.collect_list(F.struct("id", "inputs", "targets", "weights")))
@@ -205,7 +284,30 @@ def collate(examples: DataFrame, multiple: int = 16, filler: int = 0) -> DataFra
     join = lambda c, fill, t: F.concat(F.flatten(F.transform("x", lambda x: x[c])), F.array_repeat(F.lit(fill).cast(t), pad.cast("int")))
     lengths = F.transform("x", lambda x: F.size(x["inputs"]))
     lengths = F.when(pad > 0, F.concat(lengths, F.array(pad.cast("int")))).otherwise(lengths)
-    return rows.select("batch", join("inputs", filler, "int").alias("inputs"), join("targets", filler, "int").alias("targets"), join("weights", 0.0, "double").alias("weights"), document_offsets(lengths).alias("offsets"))
+    return rows.select("batch", join("inputs", filler, "int").alias("inputs"), join("targets", 0, "int").alias("targets"), join("weights", 0.0, "double").alias("weights"), document_offsets(lengths).alias("offsets"))
+
+
+def prune_images(examples: DataFrame, patches_per_crop: int) -> DataFrame:
+    """Examples (batch, id, inputs, crops, pooled) with the pooled rows of the place holders that are left in ``inputs`` (a prefix), the crops
+    that these rows read, and patch numbers counted through the batch; -1 stays."""
+    left = F.size(F.filter("inputs", lambda t: t == PATCH_ID))
+    cut = left < F.size("pooled")
+    kept = F.when(cut, F.slice("pooled", F.lit(1), left)).otherwise(F.col("pooled"))
+    rows = examples.withColumns({"_cut": cut, "pooled": kept})
+    read = F.coalesce(F.array_max(F.flatten("pooled")), F.lit(-1))
+    rows = rows.withColumn("crops", F.when(F.col("_cut"), F.floor((F.greatest(read, F.lit(-1)) + patches_per_crop) / patches_per_crop)).otherwise(F.col("crops")).cast("int"))
+    before = Window.partitionBy("batch").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_shift", F.coalesce(F.sum("crops").over(before), F.lit(0)) * patches_per_crop)
+    moved = F.transform("pooled", lambda row: F.transform(row, lambda x: F.when(x >= 0, x + F.col("_shift")).otherwise(F.lit(-1).cast("bigint"))))
+    return rows.withColumn("pooled", moved).drop("_cut", "_shift")
+
+
+def collate_images(examples: DataFrame, patches_per_crop: int, multiple: int = 16, filler: int = START_ID) -> DataFrame:
+    """``collate`` of examples with images (see ``prune_images``): also the crops of each example and all pooled rows, in order."""
+    pruned = prune_images(examples, patches_per_crop)
+    ordered = F.array_sort(F.collect_list(F.struct("id", "crops", "pooled")))
+    seen = pruned.groupBy("batch").agg(ordered.alias("x")).select("batch", F.transform("x", lambda x: x["crops"]).alias("crops"), F.flatten(F.transform("x", lambda x: x["pooled"])).alias("pooled"))
+    return collate(pruned, multiple, filler).join(seen, "batch")
 
 
 def bigram_ids_touched(tokens: DataFrame, buckets: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.corpus import numbered, prefix_sums
+
 
 def seeded_order(key: str, seed: int | str) -> Column:
     """A key's place in a shuffle: its md5 with the seed."""
@@ -31,9 +33,8 @@ def batches(rows: DataFrame, by: str, order: str, n: int, item: str) -> DataFram
     """(by, batch, items): runs of n rows, the last may be shorter."""
     if n < 1:
         raise ValueError("a batch has at least one row")
-    k = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    numbered = rows.withColumn("batch", F.floor(k / n))
-    return numbered.groupBy(by, "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i")))), lambda x: x["i"]).alias("items"))
+    cut = numbered(rows, order, "_k", by).withColumn("batch", F.floor(F.col("_k") / n))
+    return cut.groupBy(by, "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i")))), lambda x: x["i"]).alias("items"))
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
@@ -45,6 +46,4 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, at: str, low: str,
 
 def pairwise_offsets(lengths: DataFrame, by: str, order: str, n: str) -> DataFrame:
     """Adds (begin, end) of each row in the concatenation of its group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(n).over(w)
-    return lengths.withColumns({"begin": end - F.col(n), "end": end})
+    return prefix_sums(lengths, order, n, "begin", by).withColumn("end", F.col("begin") + F.col(n))

@@ -34,14 +34,13 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", (F.col("i") + 1).cast("bigint").alias("k"), F.md5(F.concat_ws("|", "q", after)).alias("pair"))
 
 
-@query(f"""WITH {_CONV}, w AS (SELECT conv_id, CAST(coalesce(list_sum([strlen(texts[i]) + 1 FOR i IN range(1, len(texts) + 1) IF roles[i] = 'assistant']), 0) AS BIGINT) AS n FROM c)
-    SELECT conv_id, n, round(1.0 / sqrt(greatest(n, 1)) / sqrt(1), 9) AS weight FROM w""")
+@query(f"""WITH {_CONV}, a AS (SELECT conv_id, unnest(range(1, len(texts) // 2 + 1)) AS k, texts FROM c)
+    SELECT conv_id, k, CAST(strlen(texts[2 * k]) + 2 AS BIGINT) AS n, round(1.0 / sqrt(strlen(texts[2 * k]) + 2) / sqrt(3), 9) AS weight FROM a""")
 def answer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss weight of each conversation's answer tokens (byte tokens, the end included)."""
-    said = F.filter(F.arrays_zip("roles", "texts"), lambda t: t["roles"] == "assistant")
-    n = F.aggregate(said, F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t["texts"]) + 1)
-    rows = conversations(spark, sf_dir).select("conv_id", n.alias("n"))
-    return rows.select("conv_id", "n", F.round(scalar.loss_weight(F.lit(1.0), "n", F.lit(1)), 9).alias("weight"))
+    """Loss weight of the tokens of each answer (byte tokens of a blank and the text, and the end)."""
+    rows = conversations(spark, sf_dir).withColumn("k", F.explode(F.when(F.size("texts") > 1, F.sequence(F.lit(1).cast("bigint"), F.floor(F.size("texts") / 2)))))
+    n = (F.octet_length(F.get("texts", 2 * F.col("k").cast("int") - 1)) + 2).cast("bigint")
+    return rows.select("conv_id", "k", n.alias("n"), F.round(scalar.loss_weight(F.lit(1.0), n, F.lit(3)), 9).alias("weight"))
 
 
 @query("""WITH x AS (SELECT conv_id, turn, text, ['alpha', 'beta', 'gamma', text] AS choices, CASE conv_id % 6 WHEN 0 THEN 'b' WHEN 1 THEN ' C ' WHEN 2 THEN '0' WHEN 3 THEN 'Z' WHEN 4 THEN text ELSE '' END AS answer FROM conversations)
@@ -200,13 +199,18 @@ def epoch_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.epochs(table(spark, sf_dir, "documents").select("doc_id", "source"), weighted_source_draws(spark, sf_dir), "source", "doc_id", 17)
 
 
-@query()
+@query(f"""WITH {_CONV}, p AS (SELECT conv_id, texts, unnest(range(1, len(texts) // 2 + 1)) AS k FROM c),
+    l AS (SELECT conv_id, k, strlen(texts[2 * k - 1]) + 18 AS u, strlen(texts[2 * k]) + 2 AS a FROM p),
+    e AS (SELECT *, sum(u + a) OVER (PARTITION BY conv_id ORDER BY k) AS stop FROM l),
+    w AS (SELECT conv_id, sum(u + a) AS total, sum(greatest(0, least(stop, 1024) - (stop - a)) / sqrt(a)) AS weight, sum(CASE WHEN stop <= 1024 THEN 1 ELSE 0 END) AS ends FROM e GROUP BY conv_id)
+    SELECT c.conv_id AS id, CAST(greatest(least(coalesce(total, 0), 1024) - 1, 0) AS BIGINT) AS n, CAST(coalesce(ends, 0) AS BIGINT) AS ends, round(coalesce(weight, 0), 6) AS weight FROM c LEFT JOIN w ON c.conv_id = w.conv_id""")
 def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat-encoded conversations with weights, byte tokens (checked against plain Python)."""
+    """Chat-encoded conversations, byte tokens: positions, answers that end within the sequence, and the sum of weights."""
     rows = conversations(spark, sf_dir).select(F.col("conv_id").alias("id"), F.col("texts").alias("turns"), F.lit(1.0).alias("message_weight"), F.lit(1).alias("n_sub"))
     encode = lambda texts: [list(t.encode()) for t in texts]
     out = packing.encode_turns(rows, encode, 1024)
-    return out.select("id", F.size("inputs").alias("n"), F.md5(F.array_join("targets", ",")).alias("targets_md5"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
+    ends = F.size(F.filter("targets", lambda t: t == corpus.START_ID))
+    return out.select("id", F.size("inputs").cast("bigint").alias("n"), ends.cast("bigint").alias("ends"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
 
 
 @query()

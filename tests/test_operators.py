@@ -68,30 +68,138 @@ def test_windows(spark):
     got = {(r.shard, r.step, r["rank"], r.begin) for r in packing.windows(spark.createDataFrame(sizes, "shard int, n_tokens bigint"), 20, 2).collect()}
     want = {(s, k, r, k * 20 + r * 10) for s, n in sizes for k in range(max(0, (n - 2) // 20)) for r in (0, 1)}
     assert got == want
-    assert packing.rank_stride_windows(50, 8, 1, 2) == [8, 24, 40]
+
+
+def simulate_ranks(sizes, steps, batch, ranks):
+    """Cursor by cursor."""
+    out = []
+    for rank in range(ranks):
+        shard, at = 0, rank * batch
+        for step in range(steps):
+            out.append((step, rank, shard, at))
+            at += batch * ranks
+            if at + batch * ranks + 1 > sizes[shard]:
+                shard, at = (shard + 1) % len(sizes), rank * batch
+    return sorted(out)
+
+
+def test_rank_cursors(spark):
+    sizes = [41, 65, 100, 58]
+    shards = spark.createDataFrame(list(enumerate(sizes)), "shard int, n_tokens bigint")
+    got = sorted((r.step, r["rank"], r.shard, r.begin) for r in packing.rank_cyclic_windows(shards, 25, 5, 3).collect())
+    assert got == simulate_ranks(sizes, 25, 5, 3)
+    assert len({s for _, r, s, _ in got if r == 0}) == 4
+    streams = spark.createDataFrame([("a", 50)], "stream string, n_tokens bigint")
+    got = [(r.step, r["rank"], r.begin) for r in packing.rank_stride_windows(streams, 5, 8, 2).orderBy("rank", "step").collect()]
+    assert got == [(0, 0, 0), (1, 0, 16), (2, 0, 32), (3, 0, 0), (4, 0, 16), (0, 1, 8), (1, 1, 24), (2, 1, 40), (3, 1, 8), (4, 1, 24)]
+    with pytest.raises(Exception, match="shorter than a window"):
+        packing.rank_stride_windows(streams, 2, 30, 2).collect()
+
+
+def simulate_pool(sizes, draws, block):
+    """(shard, begin, tokens) of each draw, on token arrays."""
+    arrays = [[(s, i) for i in range(n)] for s, n in enumerate(sizes)]
+    shard, tokens, at, out = 0, arrays[0], 0, []
+    for _ in range(draws):
+        tries = 0
+        while at + block + 1 > len(tokens):
+            shard, at, tries = (shard + 1) % len(sizes), 0, tries + 1
+            tokens = arrays[shard]
+            if tries > len(sizes) + 1:
+                tokens = [tokens[i % len(tokens)] for i in range(block + 2)]
+        out.append(tokens[at : at + block + 1])
+        at += block
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[25, 8, 40], [7, 3, 5], [11], [4]])
+def test_pool_blocks(spark, sizes):
+    draws = spark.createDataFrame([(10 * k, "p", k) for k in range(12)], "step int, pool string, k bigint")
+    shards = spark.createDataFrame([("p", s, n) for s, n in enumerate(sizes)], "pool string, shard int, n_tokens bigint")
+    got = packing.pool_blocks(draws, shards, 10).orderBy("step").collect()
+    read = [[(r.shard, (r.begin + i) % sizes[r.shard] if r.tiled else r.begin + i) for i in range(r.length)] for r in got]
+    assert read == simulate_pool(sizes, 12, 10)
+
+
+def test_stream_documents(spark):
+    shards = spark.createDataFrame([(0, 10), (1, 7), (2, 30)], "shard int, n_tokens bigint")
+    got = [(r.shard, r.begin, r.length) for r in packing.stream_documents(shards, 22, 4).orderBy("shard", "begin").collect()]
+    assert got == [(0, 0, 4), (0, 4, 4), (0, 8, 2), (1, 0, 4), (1, 4, 3), (2, 0, 4), (2, 4, 1)]
+
+
+def plain_choices(tasks, seq_len):
+    """Token by token: (tokens, targets, task ids, spans) of each sequence."""
+    out, pairs, ids, spans = [], [], [], []
+
+    def close():
+        nonlocal pairs, ids, spans
+        pairs += [(0, 0)] * (seq_len - len(pairs))
+        out.append(([x for x, _ in pairs], [y for _, y in pairs], ids, spans))
+        pairs, ids, spans = [], [], []
+
+    for _, task, ctx, four, _ in tasks:
+        texts = [[*ctx.encode(), *f" {e}".encode()] for e in four]
+        if pairs and len(pairs) + sum(map(len, texts)) >= seq_len:
+            close()
+        ids.append(task)
+        for whole in texts:
+            if pairs:
+                pairs.append((corpus.START_ID, corpus.START_ID))
+            spans.append([len(pairs) + len(ctx) - 1, len(pairs) + len(whole) - 1])
+            pairs += zip(whole[:-1], whole[1:], strict=True)
+    close()
+    return out
 
 
 def test_choice_packing(spark):
     tasks = [(0, i, "context" * (i % 3 + 1), ["a", "bb", "ccc", "dddd"], i % 4) for i in range(12)]
     df = spark.createDataFrame(tasks, "part int, task_id bigint, ctx string, endings array<string>, label int")
     out = packing.pack_choices(df, lambda t: list(t.encode()), 200).orderBy("sequence").collect()
-    assert [t for r in out for t in r.task_ids] == list(range(12))
+    assert [(r.tokens, r.targets, r.task_ids, r.spans) for r in out] == plain_choices(tasks, 200) and len(out) > 3
+    assert [x for r in out for x in r.labels] == [t[4] for t in tasks]
     for r in out:
-        assert len(r.tokens) == len(r.targets) == 200
+        ends = [i + 1 for i, t in enumerate(r.tokens) if t == corpus.START_ID]
+        assert r.offsets == [0, *ends, *[200] * (127 - len(ends))]
         for k, (a, b) in enumerate(r.spans):
             assert bytes(r.targets[a:b]).decode() == " " + ["a", "bb", "ccc", "dddd"][k % 4]
+    one = packing.pack_choices(spark.createDataFrame([(0, 1, "c", ["w", "xx", "y", "z"], 2)], df.schema), lambda t: list(t.encode()), 40).collect()[0]
+    assert one.spans == [[0, 2], [3, 6], [7, 9], [10, 12]] and one.tokens[:12] == [*b"c ", corpus.START_ID, *b"c x", corpus.START_ID, *b"c ", corpus.START_ID, *b"c "]
     with pytest.raises(Exception, match="four endings"):
         packing.pack_choices(spark.createDataFrame([(0, 1, "c", ["a"], 0)], df.schema), lambda t: list(t.encode()), 200).collect()
+    with pytest.raises(Exception, match="longer than a sequence"):
+        packing.pack_choices(df, lambda t: list(t.encode()), 20).collect()
 
 
 def test_turns_and_collate(spark):
-    rows = spark.createDataFrame([(1, ["q", "answer", "left over"], 2.0, 4), (2, ["q", "a"], 1.0, 0)], "id bigint, turns array<string>, message_weight double, n_sub int")
+    rows = spark.createDataFrame([(1, ["q", "an answer", "more", "yes", "left over"], 2.0, 4, [50259, 50257]), (2, ["q", "a"], 1.0, 0, None), (3, ["alone"], 1.0, 1, None)], "id bigint, turns array<string>, message_weight double, n_sub int, image_ids array<int>")
     got = {r.id: r for r in packing.encode_turns(rows, encode, 100).collect()}
-    n = len(" Assistant: answer") + 1
-    assert sum(got[1].weights) == pytest.approx(n * 2 / math.sqrt(n) / 2)
-    assert got[1].targets[:-1] == got[1].inputs[1:]
+    said = [("\nUser: q\nAssistant:", 0), (" an answer", 1), ("\nUser: more\nAssistant:", 0), (" yes", 1)]
+    ids, weights = [50259, 50257], [0.0, 0.0]
+    for piece, answer in said:
+        own = [*piece.encode(), *[corpus.START_ID] * answer]
+        ids, weights = ids + own, weights + [2 / math.sqrt(len(own)) / 2 if answer else 0.0] * len(own)
+    assert (got[1].inputs, got[1].targets, got[1].weights) == (ids[:-1], ids[1:], pytest.approx(weights[1:]))
+    assert got[1].weights[-1] == pytest.approx(1 / math.sqrt(5)) and got[3].inputs == []
+    short = {r.id: r for r in packing.encode_turns(rows, encode, 30).collect()}
+    assert short[1].inputs == ids[:29] and short[1].targets == ids[1:30]
     batch = packing.collate(packing.encode_turns(rows, encode, 100).withColumn("batch", F.lit(0))).collect()[0]
+    n = sum(len(r.inputs) for r in got.values())
     assert len(batch.inputs) % 16 == 0 == batch.offsets[0] and batch.offsets[-1] == len(batch.inputs)
+    assert set(batch.inputs[n:]) == {corpus.START_ID} and set(batch.targets[n:]) == {0} == set(batch.weights[n:])
+
+
+def test_collated_images(spark):
+    p = packing.PATCH_ID
+    rows = [
+        (0, 1, [5, p, p, 7], [6, 7, 8, 9], [0.0] * 4, 2, [[0, 1, -1, -1], [2, 3, 4, 9]]),
+        (0, 2, [p, 1], [1, 2], [0.0] * 2, 3, [[1, 2, -1, -1], [11, 12, -1, -1], [13, -1, -1, -1]]),
+        (0, 3, [p, 4], [4, 4], [0.0] * 2, 1, [[0, 1, 2, 3]]),
+    ]
+    df = spark.createDataFrame(rows, "batch int, id int, inputs array<int>, targets array<int>, weights array<double>, crops int, pooled array<array<bigint>>")
+    got = packing.collate_images(df, 10).first()
+    assert got.crops == [2, 1, 1]
+    assert got.pooled == [[0, 1, -1, -1], [2, 3, 4, 9], [21, 22, -1, -1], [30, 31, 32, 33]]
+    assert got.inputs[:8] == [5, p, p, 7, p, 1, p, 4] and got.offsets == [0, 4, 6, 8, 16]
 
 
 # -- corpus -----------------------------------------------------------------------------------------
@@ -238,13 +346,70 @@ def test_images(spark):
     sizes = [(i, h, w) for i, (h, w) in enumerate([(10, 10), (100, 50), (900, 300), (5000, 4000), (20, 700)])]
     got = {r.image_id: (r.rows, r.cols) for r in images.choose_tiling(spark.createDataFrame(sizes, "image_id int, height int, width int"), 8, 100).collect()}
     assert got == {i: tiling(h, w, 8, 100) for i, h, w in sizes}
-    patches, pooled = images.multi_crop(np.random.default_rng(0).integers(0, 256, (500, 700, 3), dtype=np.uint8), 4)
+    ids, patches, pooled = images.multi_crop(np.random.default_rng(0).integers(0, 256, (500, 700, 3), dtype=np.uint8), 4)
+    assert ids.count(images.PATCH_ID) == len(pooled) and ids[0] == images.IMAGE_START_ID and ids[-2:] == [images.ROW_END_ID, images.IMAGE_END_ID] and ids.count(images.IMAGE_START_ID) == 2
     assert patches.shape[1:] == (729, 588) and pooled.max() < patches.shape[0] * 729 and abs(patches).max() <= 1.0001
     used = pooled[pooled >= 0]
     assert len(used) == len(set(used.tolist()))
     assert images.preprocess(images.synthetic_images(spark, 3, 1).filter("height is not null"), 2).count() <= 3
 
 
+def plain_resize(image, height, width):
+    """Pixel by pixel."""
+    h, w, _ = image.shape
+    out = np.zeros((height, width, 3))
+    for y in range(height):
+        for x in range(width):
+            v, u = max((y + 0.5) * h / height - 0.5, 0), max((x + 0.5) * w / width - 0.5, 0)
+            i, j = int(v), int(u)
+            a, b, k, m = v - i, u - j, min(i + 1, h - 1), min(j + 1, w - 1)
+            out[y, x] = (1 - a) * ((1 - b) * image[i, j] + b * image[i, m].astype(float)) + a * ((1 - b) * image[k, j] + b * image[k, m].astype(float))
+    return out / 255 * 2 - 1
+
+
+@pytest.mark.parametrize("size", [(7, 5), (30, 3), (4, 40), (1, 1), (20, 20)])
+def test_resize_reads_the_nearest_pixels_only(size):
+    image = np.random.default_rng(1).integers(0, 256, (20, 20, 3), dtype=np.uint8)
+    assert np.allclose(images.resize(image, *size), plain_resize(image.astype(float), *size), atol=1e-4)
+
+
+def test_image_segments(spark):
+    prepared = spark.createDataFrame([("a", 2, [1, 2], [[0, 5, -1, -1]]), ("b", 1, [3], [[0, 1, 2, -1]])], "image string, crops int, ids array<int>, pooled array<array<bigint>>")
+    rows = spark.createDataFrame([(1, ["a"]), (2, ["a", "b", "a", "b"]), (3, [])], "id int, images array<string>")
+    got = {r.id: r for r in images.image_segments(rows, prepared, lambda t: list(t.encode()), 10, most=3).collect()}
+    assert (got[1].image_ids, got[1].crops, got[1].pooled) == ([1, 2], 2, [[0, 5, -1, -1]])
+    assert got[2].image_ids == [1, 2, *b" Image 2: ", 3, *b" Image 3: ", 1, 2] and got[2].crops == 5
+    assert got[2].pooled == [[0, 5, -1, -1], [20, 21, 22, -1], [30, 35, -1, -1]]
+    assert (got[3].image_ids, got[3].crops, got[3].pooled) == ([], 0, [])
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_prefix_sums_with_nulls_and_far_off_keys(spark, by):
+    r = random.Random(6)
+    keys = [None, None, *(r.randrange(50) for _ in range(300)), 10**15, -(10**15), *range(10**6, 10**6 + 200)]
+    rows = [(k, r.choice(["a", "b", None]), r.choice([None, 1, 5, 9]), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k bigint, g string, v bigint, i int")
+    got = corpus.prefix_sums(df, "k", "v", by=by, rows_per_bucket=8, then=("i",)).collect()
+    want, totals = {}, {}
+    for k, g, v, i in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[3])):
+        want[i] = totals.get(g if by else 0, 0)
+        totals[g if by else 0] = want[i] + (v or 0)
+    assert {x.i: x.start for x in got} == want
+    assert sorted(x.n for x in corpus.numbered(df.limit(0), "k", "n").collect()) == []
+
+
+def test_weights_maps_and_results(spark):
+    runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
+    weights = spark.createDataFrame([("r1", "a", 0.25), ("r1", "b", 0.75)], "run_id string, pool string, w double")
+    got = mixture.runs_with_weights(runs, weights)
+    assert {x.run_id: x.weights for x in got.collect()} == {"r1": {"a": 0.25, "b": 0.75}, "r2": {}}
+    pools = spark.createDataFrame([("a", "x")], "pool string, grp string")
+    table = mixture.collect_results(got.withColumn("bpb", F.lit(1.5)), pools, ["bpb"], ["?", "x"])
+    assert {x.run_id: (x["w_?"], x.w_x) for x in table.collect()} == {"r1": (0.75, 0.25), "r2": (0.0, 0.0)}
+    steps = evaluation.warm_up_steps(spark.createDataFrame([(2,), (9,), (10,)], "step int"))
+    assert sorted(x.step for x in steps.collect()) == [0, 1, 2, 3, 7, 8, 9, 10, 11]
+
+
 def test_mixture(spark):
     designs = mixture.sparse_designs(spark, ["a", "b", "c"], ["x", "x", "y"], 5, 0)
     sums = designs.groupBy("run_id").agg(F.sum("w").alias("s")).collect()
