@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.corpus import numbered
 from corpusmill.functions.scalar import first_non_empty, first_non_empty_array, non_empty, resolve_answer, with_options
 
 #: Valid pairs that one image may give.
@@ -58,6 +62,25 @@ def ingest_source(rows: DataFrame, order: str, cap: int, source: str = "source",
     return pairs.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= cap).drop("_n")
 
 
+def ingest_formatted(rows: DataFrame, formatter: Callable[[dict], list[list[str]] | None], cap: int, key: str = "id", source: str = "source") -> DataFrame:
+    """(key, source, convos) of rows that an outside formatter (a row's fields to conversations, or None) gives a usable conversation for, the
+    first ``cap`` of each source.  The formatter runs in workers; a row it fails on is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                try:
+                    made.append(formatter(row))
+                except (KeyError, ValueError, TypeError, IndexError):
+                    made.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(source), pa.array(made, pa.list_(pa.list_(pa.string())))], names=[key, source, "convos"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = rows.mapInArrow(run, f"{key} {kinds[key]}, {source} {kinds[source]}, convos array<array<string>>")
+    return numbered(made.filter(usable(F.col("convos"))), key, "_n", source).filter(F.col("_n") < cap).drop("_n")
+
+
 def as_conversations(messages: Column, nested: bool) -> Column:
     """A list of conversations from one conversation or from a list of them."""
     return messages if nested else F.array(messages)

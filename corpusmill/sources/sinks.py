@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,14 @@ def mixture_json(spec: DataFrame, counts: DataFrame, weighting: str) -> DataFram
 def metadata_json(docs: DataFrame, source: str, vocab: int) -> DataFrame:
     counts = docs.groupBy(F.col(source).alias("s"), "split").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "s", "split"), "n")))).alias("counts"), F.lit(vocab).alias("vocab"))).alias("value"))
+
+
+def export_validation(rows: DataFrame, path: str) -> None:
+    """A validation set as JSON lines, a folder for each source (see ``answers.unify_validation``)."""
+    rows.write.mode("overwrite").partitionBy("source").json(path)
+
+
+def import_validation(spark: SparkSession, path: str) -> DataFrame:
+    """What ``export_validation`` has written, with conversations parsed."""
+    schema = "split string, images array<string>, convos_json string, n_subsegments int, message_weight float, style string, source string"
+    return spark.read.schema(schema).json(path).withColumn("convos", F.from_json("convos_json", "array<array<string>>")).drop("convos_json")

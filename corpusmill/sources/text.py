@@ -64,6 +64,47 @@ def folders_with_prefix(files: DataFrame, prefix: str, root: str = "data") -> Da
     return files.filter((F.size(parts) >= 3) & (parts[0] == root) & parts[1].startswith(prefix)).select(parts[1].alias("folder")).distinct()
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, place): lines with a place that follows their order in each file."""
+    rows = spark.read.text(path)
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_block_start").alias("_from")).select("value", "file", F.struct("_from", "_id").alias("place"))
+
+
+def read_spans(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
+    """(text, begin, spans) of JSON lines for perplexity: rows without text are out, ``begin`` is the first span's start (0 without
+    spans), and the first ``max_docs`` rows in the lines' order are taken."""
+    rows = read_lines(spark, path).select("file", "place", F.from_json("value", "text string, spans array<array<int>>").alias("r"))
+    rows = rows.filter(F.length("r.text") > 0).select("file", "place", "r.text", "r.spans", F.coalesce(F.get(F.get("r.spans", F.lit(0)), F.lit(0)), F.lit(0)).alias("begin"))
+    if max_docs:
+        rows = rows.orderBy("file", "place").limit(max_docs)
+    return rows.select("text", "begin", "spans")
+
+
+def read_pairs(spark: SparkSession, folder: str, split: str, seed: int) -> DataFrame:
+    """(image, question, answer, place) of <folder>/<split>.jsonl; ``place`` orders the rows at random, the same way for the same
+    seed, and reading goes round and round in it.  No rows are an error."""
+    rows = spark.read.schema("image string, question string, answer string").json(f"{folder}/{split}.jsonl")
+    if rows.isEmpty():
+        raise ValueError(f"{folder}/{split}.jsonl is empty")
+    return rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), "image", "question", "answer")))
+
+
+def shards_to_fetch(spark: SparkSession, shards: int, present: DataFrame, train: str = "train_%06d.bin", val: str = "val_%06d.bin") -> DataFrame:
+    """(name) of the validation shard and of the first ``shards`` training shards that aren't in ``present`` (name)."""
+    first = spark.range(1).select(F.format_string(val, F.lit(0)).alias("name"))
+    wanted = first.unionByName(spark.range(1, shards + 1).select(F.format_string(train, "id").alias("name")))
+    return wanted.join(present.select("name").distinct(), "name", "left_anti")
+
+
+def cached_listing(spark: SparkSession, path: str, cache: str, pattern: str = "*") -> DataFrame:
+    """``list_files``, kept as a table at ``cache``: listed once, committed as a whole, and read from then on."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        list_files(spark, path, pattern).write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
+
+
 def source_of_file(path: Column, separator: str = "__") -> tuple[Column, Column]:
     """Source and split of a file named ``<source>__<split>.jsonl``."""
     name = F.regexp_extract(path, r"([^/]+)\.jsonl(\.zst|\.gz)?$", 1)

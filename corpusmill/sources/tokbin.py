@@ -6,8 +6,8 @@ each partition seeks to its range and yields Arrow batches of (shard, position,
 ``layout=chunks`` rows of (shard, position, tokens).  Files are reached through ``pyarrow.fs``,
 so local paths and the file systems it knows are read alike.
 
-Writing takes rows (shard bigint, position bigint, tokens array<int>) and writes one file for each shard
-and task; deal the rows by shard first (``write_shards`` does).
+Writing takes rows (shard bigint, position bigint, tokens array<int>, and a folder below the path, if there is one) and writes one
+file for each shard and task; deal the rows by shard and sort them first (``write_shards`` does).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # Fixed values of the format: header length in bytes; magic numbers of the 16-bit and the 32-bit form; version.
 HEADER_BYTES = 1024
@@ -115,43 +115,56 @@ class TokenReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, int]]):
+    def __init__(self, files: list[tuple[str, str]]):
         self.files = files
 
 
-class TokenWriter(DataSourceWriter):
-    """Each task writes its shards under names of its own; the driver renames them when all is done."""
+class TokenWriter(DataSourceArrowWriter):
+    """Each task writes its shards under names of its own; the driver renames them when all is done.
+
+    Rows come as Arrow batches, sorted by folder, shard and position, so a task holds one shard at a time."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.bits, self.prefix = options["path"].rstrip("/"), int(options.get("bits", 16)), options.get("prefix", "shard")
 
-    def write(self, rows) -> _Written:
+    def _save(self, folder: str, shard: int, pieces: list[np.ndarray]) -> tuple[str, str]:
         from pyspark import TaskContext
 
-        held: dict[int, list[tuple[int, list[int]]]] = {}
-        for r in rows:
-            held.setdefault(r.shard, []).append((r.position, r.tokens))
-        out, context = [], TaskContext.get()
-        system, base = _open(self.path)
+        system, base = _open("/".join(filter(None, (self.path, folder))))
         system.create_dir(base, recursive=True)
-        for shard, pieces in sorted(held.items()):
-            tokens = np.concatenate([np.array(t, np.int64) for _, t in sorted(pieces, key=lambda x: x[0])])
-            name = f"{base}/_{self.prefix}_{shard:06d}.{context.taskAttemptId()}"
-            with system.open_output_stream(name) as f:
-                f.write(encode_shard(tokens, self.bits))
-            out.append((name, shard))
+        name = f"{base}/_{self.prefix}_{shard:06d}.{TaskContext.get().taskAttemptId()}"
+        with system.open_output_stream(name) as f:
+            f.write(encode_shard(np.concatenate(pieces), self.bits))
+        return name, f"{base}/{self.prefix}_{shard:06d}.bin"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        out: list[tuple[str, str]] = []
+        now: tuple[str, int] | None = None
+        held: list[np.ndarray] = []
+        for batch in batches:
+            folders = batch.column("folder").to_pylist() if "folder" in batch.schema.names else [""] * batch.num_rows
+            lists = batch.column("tokens")
+            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, key in enumerate(zip(folders, batch.column("shard").to_pylist(), strict=True)):
+                if key != now:
+                    if held:
+                        out.append(self._save(*now, held))
+                    now, held = key, []
+                held.append(values[at[i] : at[i + 1]])
+        if held:
+            out.append(self._save(*now, held))
         return _Written(out)
 
     def commit(self, messages: list[_Written]) -> None:
-        system, base = _open(self.path)
+        system, _ = _open(self.path)
         for message in messages:
-            for name, shard in message.files if message else ():
-                system.move(name, f"{base}/{self.prefix}_{shard:06d}.bin")
+            for name, final in message.files if message else ():
+                system.move(name, final)
 
     def abort(self, messages: list[_Written]) -> None:
         system, _ = _open(self.path)
         for message in messages:
-            for name, _shard in message.files if message else ():
+            for name, _final in message.files if message else ():
                 system.delete_file(name)
 
 
@@ -184,9 +197,29 @@ def read_shards(spark: SparkSession, path: str, bits: int = 16, layout: str = "t
 
 
 def write_shards(pieces: DataFrame, path: str, bits: int = 16, prefix: str = "shard") -> None:
-    """``pieces``: (shard, position, tokens); a shard's rows meet in one task, and a shard is bounded by its size."""
+    """``pieces``: (shard, position, tokens), and a ``folder`` below the path, if there is one; a shard's rows meet in one task, and a
+    shard is bounded by its size."""
     register(pieces.sparkSession)
-    pieces.select(F.col("shard").cast("bigint").alias("shard"), F.col("position").cast("bigint").alias("position"), "tokens").repartition("shard").write.format("tokbin").options(path=path, bits=str(bits), prefix=prefix).mode("append").save()
+    keys = ["folder", "shard"] if "folder" in pieces.columns else ["shard"]
+    kind = "array<int>" if bits == 16 else "array<bigint>"
+    rows = pieces.select(*keys[:-1], F.col("shard").cast("bigint").alias("shard"), F.col("position").cast("bigint").alias("position"), F.col("tokens").cast(kind).alias("tokens"))
+    rows.repartition(*keys).sortWithinPartitions(*keys, "position").write.format("tokbin").options(path=path, bits=str(bits), prefix=prefix).mode("append").save()
+
+
+def build_pools(docs: DataFrame, path: str, target: int, shard_tokens: int, pool: str = "pool", key: str = "doc_id", bits: int = 16) -> DataFrame:
+    """Write the shards of many pools at once and return their manifest: (name, docs, tokens, shards, target, done).
+
+    ``docs``: (pool, key, ids), ids with the document's start; a pool takes documents in order until it has ``target`` tokens, and its stream is
+    cut into shards below <path>/<pool>."""
+    from corpusmill.operators.corpus import cap_budget, shard_slices
+    from corpusmill.sources.sinks import manifest
+
+    sizes = docs.select(pool, key, F.size("ids").cast("bigint").alias("n_tokens"))
+    kept = cap_budget(sizes, pool, key, "n_tokens", target)
+    pieces = shard_slices(kept, shard_tokens, key, by=pool).join(docs.select(pool, key, "ids"), [pool, key])
+    tokens = F.slice("ids", (F.col("begin") + 1).cast("int"), F.col("length").cast("int"))
+    write_shards(pieces.select(F.col(pool).alias("folder"), "shard", "position", tokens.alias("tokens")), path, bits)
+    return manifest(kept, pool, "n_tokens", shard_tokens, target)
 
 
 def count_tokens(spark: SparkSession, paths: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +38,16 @@ def session_counts(events: DataFrame, ts: str, by: str, gap: str = "30 minutes",
     return rows.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def pack_stream(tokens: DataFrame, length: int) -> DataFrame:
+def pack_stream(tokens: DataFrame, length: int, changes: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """(stream, step, inputs, targets): windows of ``length`` + 1 tokens from a stream of (stream, position, ids), one token shared
-    by neighbours.  The state of a stream is its rest (shorter than a window) and the number of its next window; a
-    changed ``length`` holds from the next query on, which continues from the checkpoint."""
+    by neighbours.  ``changes`` are (step, length): from that window on the other length holds.  The state of a stream is its rest
+    (shorter than a window) and the number of its next window, so another ``length`` or other changes, given to a query
+    that continues from the checkpoint, hold from the next window on."""
+    schedule = sorted(changes)
+
+    def length_at(step: int) -> int:
+        own = [n for first, n in schedule if first <= step]
+        return own[-1] if own else length
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         step, rest = state.get if state.exists else (0, [])
@@ -50,9 +56,9 @@ def pack_stream(tokens: DataFrame, length: int) -> DataFrame:
         for _, ids in parts:
             rest.extend(int(i) for i in ids)
         out = []
-        while len(rest) >= length + 1:
-            out.append((key[0], step, rest[:length], rest[1 : length + 1]))
-            rest, step = rest[length:], step + 1
+        while len(rest) >= (n := length_at(step)) + 1:
+            out.append((key[0], step, rest[:n], rest[1 : n + 1]))
+            rest, step = rest[n:], step + 1
         state.update((step, rest))
         yield pd.DataFrame(out, columns=["stream", "step", "inputs", "targets"])
 

@@ -255,6 +255,17 @@ def test_tokenise(spark):
         corpus.tokenise(df, lambda t: [[70000]] * len(t)).collect()
 
 
+def test_library_tokens(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello, world", "", "naïve  text\n"]
+    got = corpus.tokenise(spark.createDataFrame([(t,) for t in texts], "text string"), corpus.library_encoder(path)).collect()
+    library = Tokenizer.from_file(path)
+    assert [r.ids for r in got] == [[corpus.START_ID, *library.encode(t, add_special_tokens=False).ids] for t in texts]
+
+
 def test_bins_and_duplicates(spark):
     assert corpus.balanced_bins([5, 4, 3, 3, 3], 2) == [0, 1, 1, 0, 1]
     with pytest.raises(ValueError, match="same name"):
@@ -450,5 +461,10 @@ def test_stateful_packer(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     rows = spark.sql("select * from packed order by step").collect()
+    query = streams.pack_stream(spark.readStream.schema(schema).parquet(str(src)), 4, [(1, 2), (3, 5)]).writeStream.format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "d")).start()
+    query.processAllAvailable()
+    query.stop()
+    changed = spark.sql("select * from changed order by step").collect()
+    assert [r.inputs for r in changed] == [[0, 1, 2, 3], [4, 5], [6, 7], [8, 9, 10, 11, 12]]
     assert [r.inputs for r in rows] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12, 13, 14, 15]]
     assert rows[0].targets == [1, 2, 3, 4]
