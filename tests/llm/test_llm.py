@@ -229,6 +229,10 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b rare1 c rare2 d rare3"), (2, "rare1 " + "x " * 50 + "rare2 rare3")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "rare3 rare1 rare2")], "item_id bigint, text string")
     assert {x.doc_id for x in decontam.proximity_matches(docs, items, 5).collect()} == {1}
+    items = spark.createDataFrame([(9, "rare3 rare1 rare2"), (8, "rare2"), (7, "rare1 nowhere"), (6, "!"), (5, None)], "item_id bigint, text string")
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        got = {(x.doc_id, x.item_id) for x in decontam.proximity_matches(docs, items, 60, broadcast_bytes=limit).collect()}
+        assert got == {(1, "9"), (2, "9"), (1, "8"), (2, "8")}
 
 
 def test_packing(spark, hard, nothing):
