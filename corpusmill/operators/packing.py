@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.scalar import bigram_hash
 from corpusmill.operators.corpus import START_ID
@@ -159,7 +160,7 @@ def pack_shards(tokens: DataFrame, per_rank: int, longest: int, ranks: int = 1,
     out = tokens.groupBy("shard").applyInPandas(run, "shard bigint, step int, rank int, inputs array<int>, targets array<bigint>, offsets array<int>")
     if buckets is None:
         return out
-    return out.withColumn("bigrams", array_bigrams(F.col("inputs"), buckets))
+    return with_bigrams(out, buckets)
 
 
 def array_bigrams(tokens: Column, buckets: int) -> Column:
@@ -167,6 +168,25 @@ def array_bigrams(tokens: Column, buckets: int) -> Column:
     return F.transform(tokens, lambda x, i: bigram_hash(x, F.get(tokens, i - 1), buckets))
 
 
+def with_bigrams(rows: DataFrame, buckets: int, tokens: str = "inputs", name: str = "bigrams") -> DataFrame:
+    """Adds ``array_bigrams`` of an array column, hashed for a whole Arrow batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(tokens)
+            at = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)
+            at = at - at[0]
+            # The multipliers of the current and of the previous token.
+            mixed = np.full(len(ids), buckets - 1, np.int64)
+            mixed[1:] = ((36313 * ids[1:]) ^ (27191 * ids[:-1])) % (buckets - 1)
+            mixed[at[:-1][at[:-1] < at[1:]]] = buckets - 1
+            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(mixed), mask=lists.is_null() if lists.null_count else None)
+            yield batch.append_column(name, made)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
+
+
 def document_offsets(lengths: Column) -> Column:
     """0 and the cumulative sums of an array of lengths."""
     zero = F.array(F.lit(0).cast("bigint"))
@@ -312,4 +332,4 @@ def collate_images(examples: DataFrame, patches_per_crop: int, multiple: int = 1
 
 def bigram_ids_touched(tokens: DataFrame, buckets: int) -> DataFrame:
     """Distinct (step, bucket) of the bigrams in each step's inputs."""
-    return tokens.select("step", F.explode(array_bigrams(F.col("inputs"), buckets)).alias("bucket")).distinct()
+    return with_bigrams(tokens.select("step", "inputs"), buckets).select("step", F.explode("bigrams").alias("bucket")).distinct()

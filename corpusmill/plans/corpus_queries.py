@@ -100,8 +100,7 @@ def bigram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the bigram buckets of each document's byte tokens."""
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
     tokens = corpus.byte_tokenise(docs.select("doc_id", "text"), start=False).select("doc_id", F.col("ids").alias("t"))
-    buckets = packing.array_bigrams(F.col("t"), 754560)
-    return tokens.select("doc_id", F.aggregate(buckets, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bucket_sum"), F.size("t").cast("bigint").alias("n"))
+    return packing.with_bigrams(tokens, 754560, "t").select("doc_id", F.aggregate("bigrams", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bucket_sum"), F.size("t").cast("bigint").alias("n"))
 
 
 @query("SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source, lang")

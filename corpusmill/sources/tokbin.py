@@ -69,15 +69,18 @@ def encode_shard(tokens: np.ndarray, bits: int = 16) -> bytes:
     return header(len(tokens), bits) + tokens.astype(f"<u{bits // 8}").tobytes()
 
 
-def list_shards(path: str) -> list[str]:
-    """A file, or the *.bin files of a folder, sorted by name."""
+def shard_files(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the *.bin files of a folder, sorted by name; no file is opened."""
     system, name = _open(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.File:
-        return [path]
-    found = sorted(f.path for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.path.endswith(".bin"))
+        return [(path, info.size)]
     scheme = path.split("://")[0] + "://" if "://" in path else ""
-    return [scheme + f for f in found]
+    return sorted((scheme + f.path, f.size) for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.path.endswith(".bin"))
+
+
+def list_shards(path: str) -> list[str]:
+    return [f for f, _ in shard_files(path)]
 
 
 class _Range(InputPartition):
@@ -91,7 +94,9 @@ class TokenReader(DataSourceReader):
         self.path, self.chunks = options["path"], options.get("layout", "tokens") == "chunks"
         self.length = int(options.get("chunkTokens", CHUNK_TOKENS))
         step = max(self.length, int(options.get("rangeTokens", RANGE_TOKENS)) // self.length * self.length)
-        self.ranges = [_Range(f, h["bits"], a, min(a + step, h["tokens"])) for f in list_shards(self.path) for h in (read_header(f),) for a in range(0, max(h["tokens"], 1), step)]
+        bits = int(options.get("bits", 16))  # ranges follow from the files' sizes; headers are read, and checked, by the tasks
+        counts = ((f, max(0, size - HEADER_BYTES) * 8 // bits) for f, size in shard_files(self.path))
+        self.ranges = [_Range(f, bits, a, min(a + step, n)) for f, n in counts for a in range(0, max(n, 1), step)]
 
     def partitions(self) -> list[InputPartition]:
         return self.ranges or [_Range("", 16, 0, 0)]
@@ -99,8 +104,10 @@ class TokenReader(DataSourceReader):
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         width = part.bits // 8
         kind = pa.int32() if part.bits == 16 else pa.int64()
-        if part.begin >= part.end:
+        if not part.path:
             return
+        if read_header(part.path)["bits"] != part.bits:
+            raise BadShard(f"{part.path}: not of {part.bits} bits")
         system, name = _open(part.path)
         with system.open_input_file(name) as f:
             for a in range(part.begin, part.end, self.length):

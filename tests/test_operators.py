@@ -63,6 +63,12 @@ def test_pack_shards(spark):
         assert row.bigrams[1:] == [(36313 * b ^ 27191 * a) % 999 for a, b in zip(row.inputs, row.inputs[1:])]
 
 
+def test_bigrams_of_batches(spark):
+    rows = spark.createDataFrame([(1, [5, 6, 70000]), (2, []), (3, None), (4, [9])], "id int, inputs array<int>")
+    got = packing.with_bigrams(rows, 1000).withColumn("want", packing.array_bigrams(F.col("inputs"), 1000)).collect()
+    assert [(r.id, r.bigrams) for r in got] == [(r.id, r.want) for r in got] and got[0].bigrams[0] == 999
+
+
 def test_windows(spark):
     sizes = [(0, 1), (1, 10), (2, 41), (3, 42), (4, 100)]
     got = {(r.shard, r.step, r["rank"], r.begin) for r in packing.windows(spark.createDataFrame(sizes, "shard int, n_tokens bigint"), 20, 2).collect()}
@@ -227,6 +233,8 @@ def test_tokbin_round_trip(spark, tmp_path):
     tokbin.write_shards(df, str(tmp_path / "b"), bits=32)
     paths = spark.createDataFrame([(p,) for p in tokbin.list_shards(str(tmp_path / "b"))], "path string")
     assert {(r.bits, r.tokens) for r in tokbin.count_tokens(spark, paths).collect()} == {(32, 40)}
+    with pytest.raises(Exception, match="not of 16 bits"):
+        tokbin.read_shards(spark, str(tmp_path / "b")).collect()
     (tmp_path / "bad.bin").write_bytes(b"\0" * 2000)
     with pytest.raises(tokbin.BadShard):
         tokbin.read_header(str(tmp_path / "bad.bin"))
