@@ -28,8 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch paths of this process, in the order they were given out.
+made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
