@@ -81,10 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
-    docs = queries.table(spark, sf_dir, "documents")
+    """Apply all stages to the documents of ``sf_dir``.
+
+    When a stage's table is written, the table before it and all that the stage's operator has left are deleted; the last table stays, as the result reads it."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        docs, _ = store.materialise(out, f"stage-{name}")
-        store.release(spark)
+        mark = len(store.made)
+        following, path = store.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = following
+        store.release(spark, *(p for p in [*store.made[mark:], before] if p and p != path))
+        before = path
     return docs
