@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sampling, textops
+from . import sampling, store, textops
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 8, 32, 16
 #: Documents in training, at most.
@@ -180,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     total, taken = {r.label: r.n_rows for r in sample}, Counter(r.label for r in sample)
     if net.constant is None:
         net.bias += float(np.log(total[1] / total[0]) - np.log(taken[1] / taken[0]))
+    del sample
+    store.trim()  # training takes a few hundred megabytes on the driver
     return net
 
 

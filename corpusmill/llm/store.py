@@ -8,6 +8,7 @@ the session; on a cluster the setting has to be there.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -53,10 +54,19 @@ def release(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
+    trim()
     jvm.System.gc()
 
 
+def trim() -> None:
+    """Give free memory of this process back to the system (the C library keeps it otherwise)."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the one knob that is sized to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import store
+
 #: Pretokens kept by a worker (about 60 bytes each); beyond it the half that was used least goes.
 CACHE_ENTRIES = 500_000
 #: Bytes of text encoded at a time: the arrays take some 40 times as much.
@@ -236,16 +238,9 @@ def encoder(path: str, kind: str) -> Encoder:
 
 def drop_encoders() -> None:
     """Give a worker's caches back to the system, for a stage that encodes nothing."""
-    import ctypes
-    import gc
-
     if encoder.cache_info().currsize:
         encoder.cache_clear()
-        gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
+    store.trim()
 
 
 def public_path(name: str) -> str:
