@@ -479,6 +479,25 @@ def test_pipeline_drops_what_the_classifier_rejects(spark, monkeypatch):
         assert p.quality_filter(spark, docs, "").count() == kept
 
 
+def test_near_dedup_stage_with_shared_ids_and_repeated_rows(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(40)) for x in "abc")
+    rows = [(10, b), (10, b), (90, a), (90, b + " x"), (91, c), (91, c), (None, b), (None, b), (5, None), (5, None), (6, "")]
+    got = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert order((x.doc_id, x.text) for x in got) == order([(10, b), (90, a), (91, c), (None, b), (None, b), (5, None), (6, "")])
+
+
+def test_pipeline_run_leaves_its_last_table_only(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    mark = len(store.made)
+    rows = p.run(spark, sf).count()
+    left = [x for x in store.made[mark:] if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x))]
+    assert rows and len(left) == 1 and "stage-packing" in left[0]
+
+
 def test_pipeline_takes_any_documents(spark, sf, hard, nothing):
     import corpus_pipeline as p
 
