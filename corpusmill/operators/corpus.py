@@ -186,14 +186,22 @@ def buckets(rows: DataFrame, key: str, rows_per_bucket: int = 1 << 16) -> Column
     return F.coalesce(F.when(F.col(key).isNotNull(), _tree(F.col(key), cuts, leaf, 0, len(cuts))), F.lit(-1)).cast("bigint")
 
 
-def prefix_sums(rows: DataFrame, key: str, value: str | Column, name: str = "start", by: str | list[str] | None = None, rows_per_bucket: int = 1 << 16, then: tuple[str, ...] = ()) -> DataFrame:
+def even_buckets(rows: DataFrame, key: str, most: int) -> Column:
+    """The same for keys that are spread evenly from 0 to below ``most`` (hashes): as many buckets as shuffle partitions, at least
+    ``INTERVALS``, without a look at the rows."""
+    n = max(INTERVALS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return F.coalesce(F.floor(F.col(key) / F.lit(-(-most // n))), F.lit(-1)).cast("bigint")
+
+
+def prefix_sums(rows: DataFrame, key: str, value: str | Column, name: str = "start", by: str | list[str] | None = None, rows_per_bucket: int = 1 << 16, then: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before, in the order of a whole-number ``key`` (nulls first), ties by ``then``.
 
     Totals of buckets of keys are summed in one small window, and rows in a window for each bucket, so no task sorts more than a
-    bucket's rows (about ``rows_per_bucket``).  With ``by``, sums start afresh for each of its values; null is one of them."""
+    bucket's rows (about ``rows_per_bucket``).  With ``by``, sums start afresh for each of its values; null is one of them.
+    Hashes as keys give ``most``, see ``even_buckets``."""
     keys = [by] if isinstance(by, str) else list(by or [])
     size = F.col(value) if isinstance(value, str) else value
-    cut = rows.withColumns({"_bucket": buckets(rows, key, rows_per_bucket), "_size": size})
+    cut = rows.withColumns({"_bucket": even_buckets(rows, key, most) if most else buckets(rows, key, rows_per_bucket), "_size": size})
     totals = cut.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_total"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_bucket_start"))
@@ -205,9 +213,9 @@ def prefix_sums(rows: DataFrame, key: str, value: str | Column, name: str = "sta
     return out.withColumn(name, (F.col("_bucket_start") + F.col("_inside")).cast("bigint")).drop("_bucket", "_of", "_size", "_inside", "_bucket_start", *(f"_by_{k}" for k in keys))
 
 
-def numbered(rows: DataFrame, key: str, name: str, by: str | list[str] | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+def numbered(rows: DataFrame, key: str, name: str, by: str | list[str] | None = None, then: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Adds each row's number, from 0, in the order of a whole-number key; a group of any share of the rows is dealt over its buckets."""
-    return prefix_sums(rows, key, F.lit(1), name, by, then=then)
+    return prefix_sums(rows, key, F.lit(1), name, by, then=then, most=most)
 
 
 def cap_budget(rows: DataFrame, by: str, order: str, size: str, budget: Column | int, max_rows: int | None = None) -> DataFrame:
@@ -257,7 +265,7 @@ def split_validation(docs: DataFrame, n: str, key: str, seed: int, share: float)
     """Adds ``split``: in a seeded order the first documents validate, while the tokens before them are below the share."""
     total = docs.agg(F.sum(n)).first()[0] or 0
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("bigint")
-    rows = prefix_sums(docs.withColumn("_order", order), "_order", n, "_before")
+    rows = prefix_sums(docs.withColumn("_order", order), "_order", n, "_before", most=1 << 52)
     return rows.withColumn("split", F.when(F.col("_before") < total * share, "val").otherwise("train")).drop("_order", "_before")
 
 

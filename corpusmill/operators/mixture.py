@@ -59,7 +59,7 @@ def epochs(examples: DataFrame, draws: DataFrame, source: str, key: str, seed: i
     needed = wanted.select(source, "_epoch").distinct()
     shuffle = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), F.col(key).cast("string")))
     permuted = examples.select(source, key).join(needed, source).withColumn("_md5", shuffle).withColumn("_place", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("bigint"))
-    permuted = numbered(permuted, "_place", "_i", [source, "_epoch"], ("_md5", key)).drop("_md5", "_place")
+    permuted = numbered(permuted, "_place", "_i", [source, "_epoch"], ("_md5", key), most=1 << 60).drop("_md5", "_place")
     return wanted.join(permuted, [source, "_epoch", "_i"]).select(step, source, key)
 
 

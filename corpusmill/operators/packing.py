@@ -155,12 +155,12 @@ def pack_shards(tokens: DataFrame, per_rank: int, longest: int, ranks: int = 1,
             offsets[0] = 0
             offsets[1 : len(ends) + 1] = ends
             rows.append((int(pdf.shard.iloc[0]), k // ranks, k % ranks, buffer[:-1].astype(np.int32), buffer[1:], offsets))
-        return pd.DataFrame(rows, columns=["shard", "step", "rank", "inputs", "targets", "offsets"])
+            if buckets is not None:
+                rows[-1] += (hash_bigrams(buffer[:-1], buckets),)
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    out = tokens.groupBy("shard").applyInPandas(run, "shard bigint, step int, rank int, inputs array<int>, targets array<bigint>, offsets array<int>")
-    if buckets is None:
-        return out
-    return with_bigrams(out, buckets)
+    schema = "shard bigint, step int, rank int, inputs array<int>, targets array<bigint>, offsets array<int>" + (", bigrams array<bigint>" if buckets is not None else "")
+    return tokens.groupBy("shard").applyInPandas(run, schema)
 
 
 def array_bigrams(tokens: Column, buckets: int) -> Column:
@@ -168,6 +168,14 @@ def array_bigrams(tokens: Column, buckets: int) -> Column:
     return F.transform(tokens, lambda x, i: bigram_hash(x, F.get(tokens, i - 1), buckets))
 
 
+def hash_bigrams(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Bigram buckets along one run of 64-bit ids."""
+    # The multipliers of the current and of the previous token.
+    mixed = np.full(len(ids), buckets - 1, np.int64)
+    mixed[1:] = ((36313 * ids[1:]) ^ (27191 * ids[:-1])) % (buckets - 1)
+    return mixed
+
+
 def with_bigrams(rows: DataFrame, buckets: int, tokens: str = "inputs", name: str = "bigrams") -> DataFrame:
     """Adds ``array_bigrams`` of an array column, hashed for a whole Arrow batch at a time."""
 
@@ -177,9 +185,7 @@ def with_bigrams(rows: DataFrame, buckets: int, tokens: str = "inputs", name: st
             at = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)
             at = at - at[0]
-            # The multipliers of the current and of the previous token.
-            mixed = np.full(len(ids), buckets - 1, np.int64)
-            mixed[1:] = ((36313 * ids[1:]) ^ (27191 * ids[:-1])) % (buckets - 1)
+            mixed = hash_bigrams(ids, buckets)
             mixed[at[:-1][at[:-1] < at[1:]]] = buckets - 1
             made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(mixed), mask=lists.is_null() if lists.null_count else None)
             yield batch.append_column(name, made)

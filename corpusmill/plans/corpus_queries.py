@@ -270,7 +270,7 @@ def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document-aligned batches of all byte-token shards (greedy, so checked against plain Python)."""
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", "text")
     pieces = corpus.shard_slices(docs.select("doc_id", corpus.byte_token_count("text").alias("n_tokens")), 200_000)  # lengths alone are summed
-    tokens = corpus.take_slices(pieces.join(corpus.byte_tokenise(docs).select("doc_id", "ids"), "doc_id"))
+    tokens = corpus.take_slices(corpus.byte_tokenise(docs).select("doc_id", "ids").join(pieces.hint("shuffle_hash"), "doc_id"))
     packed = packing.pack_shards(tokens, 16_384, 2_048, 2, buckets=754560)
     digest = F.md5(F.array_join("inputs", ","))
     return packed.select("shard", "step", "rank", F.size("inputs").alias("n"), F.array_max("offsets").alias("last"), digest.alias("inputs_md5"), F.aggregate("bigrams", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bigram_sum"))
