@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,21 +109,6 @@ def pairwise_rule(loss_difference: Column, step_difference: Column, n1: Column,
     return statistic, statistic >= margin
 
 
-def bootstrap_means(rows: DataFrame, value: str, samples: int, size: int, seed: int = 0) -> DataFrame:
-    """(sample, mean): means of ``samples`` resamples of ``size`` values with replacement.
-
-    The values (a result's runs, a few at most) are gathered into one array; the resamples are
-    dealt over tasks."""
-    spark = rows.sparkSession
-    values = np.array([r[0] for r in rows.select(F.col(value).cast("double")).filter(F.col(value).isNotNull()).collect()])
-
-    def draw(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"sample": pdf.id, "mean": [float(np.random.default_rng((seed, int(i))).choice(values, size).mean()) if len(values) else math.nan for i in pdf.id]})
-
-    return spark.range(samples).mapInPandas(draw, "sample bigint, mean double")
-
-
 def bootstrap_interval(means: DataFrame, level: float = 0.99) -> DataFrame:
     edge = (1 - level) / 2
     return means.agg(F.avg("mean").alias("mean"), F.expr(f"percentile(mean, {edge})").alias("low"), F.expr(f"percentile(mean, {1 - edge})").alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.scalar import uniform
 from corpusmill.operators.corpus import numbered, prefix_sums
 
 
@@ -47,3 +48,15 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, at: str, low: str,
 def pairwise_offsets(lengths: DataFrame, by: str, order: str, n: str) -> DataFrame:
     """Adds (begin, end) of each row in the concatenation of its group."""
     return prefix_sums(lengths, order, n, "begin", by).withColumn("end", F.col("begin") + F.col(n))
+
+
+def bootstrap_means(rows: DataFrame, key: str, value: str, samples: int, size: int, seed: int = 0) -> DataFrame:
+    """(sample, mean): means of ``samples`` resamples of ``size`` values with replacement; without values no rows.
+
+    A draw asks for a rank in the order of a whole-number ``key`` (ties by value) and meets the value by an equi-join, so
+    neither values nor draws are gathered anywhere.  Null values take no part."""
+    values = numbered(rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull()), "_key", "_rank", then=("_value",))
+    n = values.count()
+    draws = rows.sparkSession.range(samples).withColumnRenamed("id", "sample").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    asked = draws.withColumn("_rank", F.floor(uniform(F.lit(seed), "sample", "draw") * n))
+    return asked.join(values.select("_rank", "_value"), "_rank").groupBy("sample").agg(F.avg("_value").alias("mean"))

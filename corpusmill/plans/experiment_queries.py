@@ -140,26 +140,51 @@ def pairwise_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(statistic, 5).alias("statistic"), better.alias("better"))
 
 
-@query()
+def rounded(rows: DataFrame, **places: int) -> DataFrame:
+    """Floating columns to 6 places, or to those that are named."""
+    return rows.select(*(F.round(c, places.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+
+
+#: Simpson's rule over 20,000 pieces: weights of the points i = 0 .. 20000 of ``range(20001)``.
+_WEIGHT = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _lower_t(rows: str, keys: str) -> str:
+    """CTEs that give P(T <= t) of ``rows`` (keys, t, df): with t = sqrt(df) tan(a) the density is a power of a cosine."""
+    return f"""a AS (SELECT {keys}, t, df, atan(abs(t) / sqrt(df)) / 20000 AS h, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) AS c FROM {rows}),
+    p AS (SELECT {keys}, round(0.5 + sign(t) * c * h / 3 * sum({_WEIGHT} * pow(cos(h * i), df - 1)), 8) AS p FROM a, range(20001) r(i) GROUP BY {keys}, t, c, h)"""
+
+
+@query(f"""WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY event_type),
+    o AS (SELECT *, std / sqrt(n) AS stderr, (mean - 50) / (std / sqrt(n)) AS t, n - 1 AS df FROM s), {_lower_t("o", "event_type")}
+    SELECT event_type, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(stderr, 6) AS stderr, round(o.t, 6) AS t, df, p FROM o JOIN p USING (event_type)""")
 def one_sample_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.one_sample_less(table(spark, sf_dir, "events"), ["event_type"], "value", 50.0)
+    return rounded(stats.one_sample_less(table(spark, sf_dir, "events"), ["event_type"], "value", 50.0), p=8)
 
 
-@query()
+@query(f"""WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS mean FROM events GROUP BY event_type), z AS (SELECT *, (mean - 50) / (30 / sqrt(n)) AS z FROM s),
+    h AS (SELECT *, least(abs(z), 9) / 20000 AS h FROM z)
+    SELECT event_type, n, round(mean, 6) AS mean, round(z, 6) AS z, round(0.5 + sign(z) * h / 3 * sum({_WEIGHT} * exp(-pow(h * i, 2) / 2)) / sqrt(2 * pi()), 8) AS p FROM h, range(20001) r(i) GROUP BY event_type, n, mean, z, h""")
 def z_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.z_test_less(table(spark, sf_dir, "events"), ["event_type"], "value", 50.0, 30.0)
+    return rounded(stats.z_test_less(table(spark, sf_dir, "events"), ["event_type"], "value", 50.0, 30.0), p=8)
 
 
-@query()
+@query(f"""WITH s AS (SELECT count(value) FILTER (event_id % 2 = 0) AS n_a, avg(value) FILTER (event_id % 2 = 0) AS mean_a, var_samp(value) FILTER (event_id % 2 = 0) AS var_a,
+        count(value) FILTER (event_id % 2 = 1) AS n_b, avg(value) FILTER (event_id % 2 = 1) AS mean_b, var_samp(value) FILTER (event_id % 2 = 1) AS var_b FROM events),
+    o AS (SELECT *, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t, pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) AS df FROM s), {_lower_t("o", "n_a")}
+    SELECT n_a, round(mean_a, 6) AS mean_a, round(var_a, 6) AS var_a, n_b, round(mean_b, 6) AS mean_b, round(var_b, 6) AS var_b, round(o.t, 6) AS t, round(df, 6) AS df, p FROM o JOIN p USING (n_a)""")
 def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.welch(table(spark, sf_dir, "events").withColumn("arm", F.col("event_id") % 2), "arm", "value", 0, 1)
+    return rounded(stats.welch(table(spark, sf_dir, "events").withColumn("arm", F.col("event_id") % 2), "arm", "value", 0, 1), p=8)
 
 
-@query()
+@query("""WITH v AS (SELECT avg(value) AS v, row_number() OVER (ORDER BY user_id % 50) - 1 AS k FROM events GROUP BY user_id % 50), n AS (SELECT count(*) AS n FROM v),
+    d AS (SELECT s AS sample, CAST(floor(CAST('0x' || substr(md5('0|' || CAST(s AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE * n) AS BIGINT) AS k FROM range(1000) a(s), range(40) b(i), n),
+    m AS (SELECT sample, avg(v) AS m FROM d JOIN v USING (k) GROUP BY sample)
+    SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.005), 6) AS low, round(quantile_cont(m, 0.995), 6) AS high FROM m""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean over event types' means, from 1000 resamples of 40."""
-    means = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
-    return stats.bootstrap_interval(stats.bootstrap_means(means, "m", 1000, 40))
+    """Interval of the mean over results' means, from 1000 resamples of 40."""
+    means = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("result")).agg(F.avg("value").alias("m"))
+    return rounded(stats.bootstrap_interval(sampling.bootstrap_means(means, "result", "m", 1000, 40)))
 
 
 @query("""WITH e AS (SELECT CAST(event_id % 400 AS INTEGER) AS step, value * 1000 AS tps, value / 100 AS mfu FROM events) SELECT round(median(tps), 4) AS median_tokens_per_s, round(avg(tps), 4) AS mean_tokens_per_s, round(median(mfu), 6) AS median_mfu, round(avg(mfu), 6) AS mean_mfu FROM e WHERE step >= 5""")

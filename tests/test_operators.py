@@ -1,5 +1,6 @@
 """Operators against plain Python on small tables, and properties of the packers."""
 
+import hashlib
 import math
 import random
 
@@ -476,3 +477,12 @@ def test_stateful_packer(spark, tmp_path):
     assert [r.inputs for r in changed] == [[0, 1, 2, 3], [4, 5], [6, 7], [8, 9, 10, 11, 12]]
     assert [r.inputs for r in rows] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12, 13, 14, 15]]
     assert rows[0].targets == [1, 2, 3, 4]
+
+
+def test_bootstrap_means(spark):
+    rows = spark.createDataFrame([(4, 2.0), (None, 1.0), (4, 3.0), (9, None), (-5, 0.0)], "run long, loss double")
+    got = {r.sample: r["mean"] for r in sampling.bootstrap_means(rows, "run", "loss", 5, 3, seed=2).collect()}
+    values = [1.0, 0.0, 2.0, 3.0]  # by key, the null one first, then by value
+    draw = lambda s, i: values[int(int(hashlib.md5(f"2|{s}|{i}".encode()).hexdigest()[:12], 16) / 16**12 * 4)]
+    assert got == pytest.approx({s: sum(draw(s, i) for i in range(3)) / 3 for s in range(5)})
+    assert sampling.bootstrap_means(rows.filter("loss is null"), "run", "loss", 5, 3).count() == 0
