@@ -213,9 +213,16 @@ def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("inputs").cast("bigint").alias("n"), ends.cast("bigint").alias("ends"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT CAST(conv_id % 4 AS INTEGER) AS part, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id * 1000 + turn) AS i, text, role FROM conversations),
+    z AS (SELECT part, i, j, text || ' ' || w || ' ' || role AS whole FROM t, (VALUES (0, 'one'), (1, 'two'), (2, 'three'), (3, 'four')) v(j, w)),
+    need AS (SELECT part, i, CAST(sum(strlen(whole)) AS BIGINT) AS n FROM z GROUP BY part, i),
+    g AS (SELECT part, i, 0 AS sequence, true AS opens, n - 1 AS upto FROM need WHERE i = 1
+        UNION ALL SELECT part, need.i, sequence + CASE WHEN upto + n >= 16384 THEN 1 ELSE 0 END, upto + n >= 16384, CASE WHEN upto + n >= 16384 THEN n - 1 ELSE upto + n END FROM g JOIN need USING (part) WHERE need.i = g.i + 1),
+    b AS (SELECT part, sequence, i, j, list_transform(range(strlen(whole) - 1), lambda k: CAST('0x' || substr(hex(encode(whole)), 2 * k + 1, 2) AS INTEGER)) AS bytes, opens AND j = 0 AS first FROM z JOIN g USING (part, i)),
+    s AS (SELECT part, sequence, count(*) AS spans, flatten(list(CASE WHEN first THEN bytes ELSE list_prepend(50256, bytes) END ORDER BY i, j)) AS tokens FROM b GROUP BY part, sequence)
+    SELECT part, sequence, CAST(spans // 4 AS INTEGER) AS tasks, md5(array_to_string(list_resize(tokens, 16384, 0), ',')) AS tokens_md5, CAST(spans AS INTEGER) AS spans FROM s""")
 def packed_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiple-choice tasks made from conversations, packed into sequences (checked against plain Python)."""
+    """Multiple-choice tasks made from conversations, packed into sequences."""
     conv = table(spark, sf_dir, "conversations")
     endings = F.array(*(F.concat(F.lit(f"{w} "), "role") for w in ("one", "two", "three", "four")))
     task = F.col("conv_id") * 1000 + F.col("turn")
