@@ -265,9 +265,19 @@ def speech_text_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.speech_mixture(speech.select("doc_id", "source", "n_tokens", "max_id"), plain, 60_000, dict(zip(("src1", "src2", "src3"), corpus.SPEECH_WEIGHTS, strict=True)), 0.05, 9)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, text, strlen(text) + 1 AS n FROM documents WHERE length(text) > 0),
+    o AS (SELECT *, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) - n AS start FROM d),
+    h AS (SELECT doc_id, text, start // 200000 AS shard, least(n, (start // 200000 + 1) * 200000 - start, 2048) AS size FROM o),
+    c AS (SELECT *, row_number() OVER w AS i, CAST(sum(size) OVER w AS BIGINT) AS upto FROM h WINDOW w AS (PARTITION BY shard ORDER BY doc_id)),
+    e AS (SELECT a.shard, a.i, a.upto - a.size AS base, min(b.i) AS final FROM c a JOIN c b ON a.shard = b.shard AND b.i >= a.i AND b.upto >= a.upto - a.size + 16385 GROUP BY ALL),
+    g AS (SELECT shard, 0 AS bin, i, base, final FROM e WHERE i = 1 UNION ALL SELECT e.shard, bin + 1, e.i, e.base, e.final FROM g JOIN e ON e.shard = g.shard AND e.i = g.final + 1),
+    k AS (SELECT *, count(*) OVER (PARTITION BY shard) AS bins FROM g),
+    b AS (SELECT k.shard, bin, flatten(list(list_prepend(50256, list_transform(range(least(size, base + 16385 - (upto - size)) - 1), lambda x: CAST('0x' || substr(hex(encode(text)), 2 * x + 1, 2) AS INTEGER))) ORDER BY c.i))[1:16384] AS ids
+        FROM k JOIN c ON c.shard = k.shard AND c.i BETWEEN k.i AND k.final WHERE bin < bins // 2 * 2 GROUP BY k.shard, bin)
+    SELECT shard, CAST(bin // 2 AS INTEGER) AS step, CAST(bin % 2 AS INTEGER) AS rank, CAST(len(ids) AS INTEGER) AS n, CAST(16384 AS INTEGER) AS last, md5(array_to_string(ids, ',')) AS inputs_md5,
+        CAST(754559 + list_sum(list_transform(range(2, 16385), lambda x: xor(36313 * CAST(ids[x] AS BIGINT), 27191 * CAST(ids[x - 1] AS BIGINT)) % 754559)) AS BIGINT) AS bigram_sum FROM b""")
 def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document-aligned batches of all byte-token shards (greedy, so checked against plain Python)."""
+    """Document-aligned batches of all byte-token shards."""
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", "text")
     pieces = corpus.shard_slices(docs.select("doc_id", corpus.byte_token_count("text").alias("n_tokens")), 200_000)  # lengths alone are summed
     tokens = corpus.take_slices(corpus.byte_tokenise(docs).select("doc_id", "ids").join(pieces.hint("shuffle_hash"), "doc_id"))
