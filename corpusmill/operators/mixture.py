@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,28 +81,21 @@ def collect_results(results: DataFrame, pools: DataFrame, metrics: list[str], gr
 
 
 def sparse_designs(spark: SparkSession, names: list[str], groups: list[str], n: int, seed: int, smallest: int = 2) -> DataFrame:
-    """(run_id, kind, pool, w): uniform and one-group baselines, then ``n`` Dirichlet weights over random subsets of pools."""
+    """(run_id, kind, pool, w): uniform and one-group baselines, then ``n`` Dirichlet weights over random subsets of pools.
+
+    A flat Dirichlet draw is a row of exponential draws over their sum; all draws are hashes of the seed, the run and the pool."""
     runs = [("uniform", "uniform")] + [(f"group_{g}", "group") for g in sorted(set(groups))] + [(f"mix_{i:04d}", "sparse") for i in range(n)]
-    table = spark.createDataFrame(runs, "run_id string, kind string")
-
-    def design(batches):
-        for pdf in batches:
-            out = []
-            for run, kind in zip(pdf.run_id, pdf.kind, strict=True):
-                if kind == "uniform":
-                    own = dict.fromkeys(range(len(names)), 1 / len(names))
-                elif kind == "group":
-                    inside = [i for i, g in enumerate(groups) if f"group_{g}" == run]
-                    own = dict.fromkeys(inside, 1 / len(inside))
-                else:
-                    rng = np.random.default_rng((seed, int(run.rsplit("_", 1)[1])))
-                    size = int(rng.integers(min(smallest, len(names)), len(names) + 1))
-                    picked = rng.choice(len(names), size, replace=False)
-                    own = dict(zip(picked.tolist(), rng.dirichlet(np.ones(size)).tolist(), strict=True))
-                out += [(run, kind, names[i], float(w)) for i, w in sorted(own.items()) if w > 0]
-            yield pd.DataFrame(out, columns=["run_id", "kind", "pool", "w"])
-
-    return table.mapInPandas(design, "run_id string, kind string, pool string, w double")
+    pools = F.from_json(F.lit(json.dumps([{"pool": p, "grp": g} for p, g in zip(names, groups, strict=True)])), "array<struct<pool: string, grp: string>>")
+    cells = spark.createDataFrame(runs, "run_id string, kind string").select("run_id", "kind", F.inline(pools))
+    least = min(smallest, len(names))
+    draw = lambda what, *of: uniform(F.lit(seed), F.lit(what), "run_id", *of)
+    of_run = Window.partitionBy("run_id")
+    place = F.row_number().over(of_run.orderBy(draw("place", "pool"), "pool"))
+    picked = place <= least + F.floor(draw("size") * (len(names) + 1 - least))
+    part = F.when(F.col("kind") == "uniform", 1.0).when(F.col("kind") == "group", (F.col("run_id") == F.concat(F.lit("group_"), "grp")).cast("double"))
+    part = part.otherwise(F.when(picked, -F.log(1 - draw("weight", "pool"))).otherwise(0.0))
+    shares = cells.withColumn("_part", part).withColumn("w", F.col("_part") / F.sum("_part").over(of_run))
+    return shares.filter("w > 0").select("run_id", "kind", "pool", "w")
 
 
 def support_summary(weights: DataFrame, run: str = "run_id") -> DataFrame:

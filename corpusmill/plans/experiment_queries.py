@@ -223,11 +223,19 @@ def design_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.support_summary(weights)
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5('0|{}|' || run_id{}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT source AS pool, right(source, 1) AS grp FROM documents), n AS (SELECT count(*) AS n FROM p),
+    r AS (SELECT 'uniform' AS run_id, 'uniform' AS kind UNION ALL SELECT DISTINCT 'group_' || grp, 'group' FROM p UNION ALL SELECT printf('mix_%04d', i), 'sparse' FROM range(64) t(i)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_DRAW.format("place", " || '|' || pool")}, pool) AS place, least(2, n) + floor({_DRAW.format("size", "")} * (n + 1 - least(2, n))) AS size,
+        -ln(1 - {_DRAW.format("weight", " || '|' || pool")}) AS e FROM r, p, n),
+    w AS (SELECT *, CASE kind WHEN 'uniform' THEN 1.0::DOUBLE WHEN 'group' THEN CAST(run_id = 'group_' || grp AS DOUBLE) ELSE CASE WHEN place <= size THEN e ELSE 0 END END AS part FROM c)
+    SELECT run_id, kind, pool, round(part / total, 9) AS w FROM (SELECT *, sum(part) OVER (PARTITION BY run_id) AS total FROM w) WHERE part > 0""")
 def sparse_mixture_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of every run of a design over the corpus' sources."""
     pools = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").collect()]  # a dimension
-    return mixture.sparse_designs(spark, pools, [p[-1] for p in pools], 64, 0)
+    return rounded(mixture.sparse_designs(spark, pools, [p[-1] for p in pools], 64, 0), w=9)
 
 
 @query(r"""WITH t AS (SELECT doc_id, '| ' || CAST(doc_id AS VARCHAR) || ' | 3250 | ' || source || ' | ' || lang || ' | 2026-01-01 | x | [`log` ' || source || '](a/' || lang || '.txt) |' AS line FROM documents)
