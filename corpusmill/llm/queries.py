@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, minhash, packing, quality, secrets, store, substring_dedup, token_files, tokens, topk
+from . import conversation_repair, decontam, importance, language_id, line_dedup, minhash, packing, quality, secrets, store, substring_dedup, token_files, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,13 +83,62 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations by the contract's rule and repairs them; a conversation that has lost all its turns comes back empty."""
+    turns = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(turns)).withColumnRenamed("conv_id", "_of")
+    ids = turns.select("conv_id").distinct()
+    zero = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+    return joined.select("conv_id", *(F.coalesce(F.col(c), v).alias(c) for c, v in (zero | none).items()))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_substring_dedup, op3_token_files, op4_language_id, op5_line_dedup, op6_top_k, op7_quality, op8_near_dedup, op9_secrets, op10_decontamination)
+    found = (op1_packing, op2_substring_dedup, op3_token_files, op4_language_id, op5_line_dedup, op6_top_k, op7_quality, op8_near_dedup, op9_secrets, op10_decontamination, op11_conversation_repair, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
+#: DuckDB has no CRC-32: (x, crc) of the rows (x) of ``texts``, by a table of bytes that its rule makes.
+_CRC = """byte_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(b AS BIGINT))) AS of_byte),
+        hexed AS (SELECT x, hex(encode(x)) AS h FROM texts),
+        crcs AS (SELECT x, xor(4294967295, list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                     lambda c, b: xor(of_byte[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS crc FROM hexed, byte_table)"""
+
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _edits(role: str, letter: str, extra: str) -> str:
+    """SQL: price, audit and lines of the states of the accumulator ``a`` after a turn ``x`` stays with a role; ``extra`` is what an edit costs."""
+    step = lambda state, inserts, lines: f"{{'c': a.{state}.c + {extra} + {5 * len(inserts)}, 't': a.{state}.t || '{inserts}' || {letter}, 'r': a.{state}.r || {lines} || chr(10) || {role} || ':' || x.text}}"
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    if role == "'user'":
+        return ", ".join([*(step(s, "", "''") for s in "esa"), step("u", "I", assistant)])
+    return ", ".join([step("u", "", "''"), *(step(s, "I", user) for s in "esa")])
+
+
+def _stay(state: str, role: str, initial: str) -> str:
+    kept = f"(CASE WHEN x.role[1] = '{initial}' THEN x.role ELSE {role} END)"
+    letter = f"(CASE WHEN x.role[1] = '{initial}' THEN 'K' ELSE 'R' END)"
+    extra = f"((CASE WHEN x.role[1] = '{initial}' THEN 0 ELSE 1 END) + x.cut)"
+    options = _edits(role, letter, extra).replace(f"chr(10) || {role} || ':' || x.text", f"chr(10) || {kept} || ':' || x.text")
+    gone = f"{{'c': a.{state}.c + 2, 't': a.{state}.t || 'D', 'r': a.{state}.r}}"
+    return f"CASE WHEN x.gone THEN {gone} ELSE list_min([{gone}, {options}]) END"
+
+
+_SYSTEM = "{'c': a.e.c + x.cut, 't': a.e.t || 'K', 'r': a.e.r || chr(10) || x.role || ':' || x.text}"
+_NOTHING = "{'c': 1000000000000, 't': '', 'r': ''}"
+_STEP = f"""{{'e': {{'c': a.e.c + 2, 't': a.e.t || 'D', 'r': a.e.r}},
+                's': CASE WHEN x.gone OR x.role[1] <> 's' THEN {{'c': a.s.c + 2, 't': a.s.t || 'D', 'r': a.s.r}} ELSE list_min([{{'c': a.s.c + 2, 't': a.s.t || 'D', 'r': a.s.r}}, {_SYSTEM}]) END,
+                'u': {_stay("u", "'user'", "u")},
+                'a': {_stay("a", "'assistant'", "a")}}}"""
+
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -134,4 +183,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
                sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op11_conversation_repair": rf"""
+        WITH named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations),
+        texts AS (SELECT DISTINCT x FROM named), {_CRC},
+        kinds AS (SELECT named.*, crc % 20 AS kind FROM named JOIN crcs USING (x)),
+        damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                           unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS core, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+        faults AS (SELECT *, CASE WHEN core = '' THEN 1 WHEN nth > 1 THEN 2 WHEN core[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM seen),
+        convs AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                         count(*) FILTER (before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text, 'cut': CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'gone': fault IN (1, 2)}} ORDER BY i) AS turns FROM faults GROUP BY conv_id),
+        solved AS (SELECT *, list_reduce(turns, lambda a, x: {_STEP}, {{'e': {{'c': CAST(0 AS BIGINT), 't': '', 'r': ''}}, 's': {_NOTHING}, 'u': {_NOTHING}, 'a': {_NOTHING}}}) AS a FROM convs),
+        best AS (SELECT *, list_min([a.e, {{'c': a.s.c + 10, 't': a.s.t || 'II', 'r': a.s.r || chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': a.u.c + 5, 't': a.u.t || 'I', 'r': a.u.r || chr(10) || 'assistant:'}}, a.a]) AS b FROM solved)
+        SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.t, '') AS audit, sha256(coalesce(b.r[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id""",
+    "op13_importance_resampling": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w, row_number() OVER () AS n FROM documents),
+        b AS (SELECT {_WORDS} AS w FROM benchmark),
+        dw AS (SELECT n, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+        dc AS (SELECT n, x, count(*) AS c FROM dw GROUP BY ALL), bc AS (SELECT x, count(*) AS c FROM bw GROUP BY ALL),
+        texts AS (SELECT x FROM dc UNION SELECT x FROM bc),
+        {_CRC},
+        buckets AS (SELECT x, crc % 10000 AS k FROM crcs),
+        s AS (SELECT k, sum(c) AS s FROM dc JOIN buckets USING (x) GROUP BY k), t AS (SELECT k, sum(c) AS t FROM bc JOIN buckets USING (x) GROUP BY k),
+        gains AS (SELECT r.k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+                  FROM (SELECT unnest(range(10000)) AS k) r LEFT JOIN s ON s.k = r.k LEFT JOIN t ON t.k = r.k),
+        weights AS (SELECT n, CAST(sum(c * gain) AS BIGINT) AS weight FROM dc JOIN buckets USING (x) JOIN gains USING (k) GROUP BY n),
+        scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+                   FROM d LEFT JOIN weights USING (n)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features < 20 ORDER BY score DESC, doc_id NULLS FIRST) AS r, count(*) OVER (PARTITION BY n_features < 20) AS eligible FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= eligible * 10 // 100 THEN r END AS rank FROM ranked""",
 }
