@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontam, importance, language_id, line_dedup, minhash, packing, quality, secrets, store, substring_dedup, token_files, tokens, topk
+from . import conversation_repair, decontam, importance, language_id, line_dedup, minhash, neighbours, packing, quality, secrets, store, substring_dedup, token_files, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,12 +94,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *(F.coalesce(F.col(c), v).alias(c) for c, v in (zero | none).items()))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_substring_dedup, op3_token_files, op4_language_id, op5_line_dedup, op6_top_k, op7_quality, op8_near_dedup, op9_secrets, op10_decontamination, op11_conversation_repair, op13_importance_resampling)
+    found = (op1_packing, op2_substring_dedup, op3_token_files, op4_language_id, op5_line_dedup, op6_top_k, op7_quality, op8_near_dedup, op9_secrets, op10_decontamination, op11_conversation_repair, op12_nearest_neighbours, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
