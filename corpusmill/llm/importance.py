@@ -185,6 +185,5 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, seed: int =
     scored, path = store.materialise(scored, "resampling-scores")  # no text: the ranges are found and dealt from this
     placed = ranking.ranks(scored, ["short", ("score", True), "doc_id"])
     store.release(docs.sparkSession, path)
-    allowed = placed.agg(F.floor(F.sum((~F.col("short")).cast("long")) * percent / 100).alias("allowed"))  # one row
-    drawn = ~F.col("short") & (F.col("row_number") <= F.col("allowed"))
-    return placed.crossJoin(F.broadcast(allowed)).select("doc_id", "n_words", "n_features", "weight", "score", F.when(drawn, F.col("row_number")).alias("rank"))
+    drawn = ~F.col("short") & (F.col("row_number") <= placed.filter("not short").count() * percent // 100)
+    return placed.select("doc_id", "n_words", "n_features", "weight", "score", F.when(drawn, F.col("row_number")).alias("rank"))
