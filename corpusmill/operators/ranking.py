@@ -25,7 +25,7 @@ from corpusmill.sources.scratch import new_folder
 _PLACES = (("_part", T.IntegerType()), ("_at", T.LongType()), ("_run_at", T.LongType()), ("_run", T.LongType()))
 
 
-def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+def key_changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     """For each row but the first: does any key differ from the row before?"""
     out = np.zeros(table.num_rows - 1, dtype=bool)
     for key in keys:
@@ -51,9 +51,9 @@ def _numbering(keys: list[str]):
             key_rows = pa.Table.from_batches([batch.select(keys)])
             new = np.ones(n, dtype=bool)
             if last is None:
-                new[1:] = _changes(key_rows, keys)
+                new[1:] = key_changes(key_rows, keys)
             else:
-                new[:] = _changes(pa.concat_tables([last, key_rows]), keys)
+                new[:] = key_changes(pa.concat_tables([last, key_rows]), keys)
             at = seen + np.arange(n)
             began = np.maximum.accumulate(np.where(new, at, run_at))
             number = runs + np.cumsum(new)
