@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.operators import selection
+
 # Fixed value: the id that starts a document.
 START_ID = 50256
 
@@ -306,7 +308,10 @@ def balanced_bins(sizes: list[int], bins: int) -> list[int]:
 
 
 def length_summary(docs: DataFrame, n: str) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("docs"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"))
+    """Count, exact median (by selection, see ``operators.selection``), mean and extremes of lengths."""
+    median = selection.percentiles(docs, n, [0.5])[0]
+    found = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"))
+    return found.select("docs", F.lit(median).cast("double").alias("median"), "mean", "min", "max")
 
 
 def owner_of_row(index: Column, rows_per_rank: int) -> Column:
