@@ -26,6 +26,14 @@ def price_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "row_number", F.col("ntile").alias("tile"))
 
 
+@query("""SELECT doc_id, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank FROM documents WHERE text IS NOT NULL WINDOW w AS (ORDER BY strlen(text) DESC)""")
+def length_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their bytes, the longest first; copies and short texts tie."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("size"))
+    found = ranking.ranks(docs, [("size", True)])
+    return found.select("doc_id", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"))
+
+
 _SHARES = (0.01, 0.25, 0.5, 0.9, 0.999)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import time_joins
+from corpusmill.operators import corpus, time_joins
 from corpusmill.plans.corpus_queries import table
 from corpusmill.plans.registry import query
 
@@ -69,3 +69,31 @@ def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     pairs = time_joins.overlap_join(sessions(events, "view", "views"), sessions(events, "click", "clicks"), ["user_id"], ("views_begin", "views_end"), ("clicks_begin", "clicks_end"))
     return pairs.select("user_id", "views", "clicks", (F.least("views_end", "clicks_end") - F.greatest("views_begin", "clicks_begin")).alias("micros"))
+
+
+@query("""SELECT d.doc_id, d.source, coalesce(max(e.doc_id), -1) AS previous FROM documents d LEFT JOIN documents e ON e.source = d.source AND e.doc_id < d.doc_id AND strlen(e.text) >= 2000 WHERE d.source IS NOT NULL GROUP BY d.doc_id, d.source""")
+def previous_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the last one of its source before it that has 2000 bytes or more; one source has a third of all rows."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    long = docs.filter(F.octet_length("text") >= 2000).select("source", F.col("doc_id").alias("previous"))
+    found = time_joins.as_of_join(docs.select("doc_id", "source"), long, ["source"], "doc_id", "previous", strict=True)
+    return found.select("doc_id", "source", F.coalesce("previous", F.lit(-1)).alias("previous"))
+
+
+#: Windows over a source's stream, and how far one begins after the other.
+WINDOW, STRIDE = 65_536, 49_152
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE source IS NOT NULL AND length(text) > 0),
+    s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS e FROM d), z AS (SELECT source, max(e) AS size FROM s GROUP BY source),
+    w AS (SELECT source, k AS win, k * {STRIDE} AS b FROM (SELECT source, unnest(range((size - 1) // {STRIDE} + 1)) AS k FROM z))
+    SELECT w.source, w.win, s.doc_id, least(s.e, w.b + {WINDOW}) - greatest(s.e - s.n, w.b) AS shared FROM s JOIN w ON s.source = w.source AND s.e - s.n < w.b + {WINDOW} AND w.b < s.e""")
+def documents_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents each of the overlapping windows over a source's stream of texts holds, and how many bytes of them."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND length(text) > 0").select("doc_id", "source", F.octet_length("text").cast("bigint").alias("n"))
+    spans = corpus.prefix_sums(docs, "doc_id", "n", "begin", "source").withColumn("end", F.col("begin") + F.col("n"))
+    last = F.max("end").alias("size")
+    windows = spans.groupBy("source").agg(last).select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / STRIDE))).alias("win"))
+    windows = windows.withColumns({"win_begin": F.col("win") * STRIDE, "win_end": F.col("win") * STRIDE + WINDOW})
+    pairs = time_joins.overlap_join(spans, windows, ["source"], ("begin", "end"), ("win_begin", "win_end"))
+    return pairs.select("source", "win", "doc_id", (F.least("end", "win_end") - F.greatest("begin", "win_begin")).alias("shared"))
