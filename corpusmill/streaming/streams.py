@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,19 +51,17 @@ def pack_stream(tokens: DataFrame, length: int, changes: Sequence[tuple[int, int
         return own[-1] if own else length
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step, rest = state.get if state.exists else (0, [])
-        rest = list(rest)
-        parts = sorted(((p, list(i)) for f in frames for p, i in zip(f.position, f.ids, strict=True)), key=lambda x: x[0])
-        for _, ids in parts:
-            rest.extend(int(i) for i in ids)
-        out = []
-        while len(rest) >= (n := length_at(step)) + 1:
-            out.append((key[0], step, rest[:n], rest[1 : n + 1]))
-            rest, step = rest[n:], step + 1
-        state.update((step, rest))
+        step, rest = state.get if state.exists else (0, b"")
+        parts = sorted(((p, np.asarray(i, np.int32)) for f in frames for p, i in zip(f.position, f.ids, strict=True)), key=lambda x: x[0])
+        held = np.concatenate([np.frombuffer(rest, np.int32), *(ids for _, ids in parts)])
+        begin, out = 0, []
+        while len(held) - begin >= (n := length_at(step)) + 1:
+            out.append((key[0], step, held[begin : begin + n], held[begin + 1 : begin + n + 1]))
+            begin, step = begin + n, step + 1
+        state.update((step, held[begin:].tobytes()))
         yield pd.DataFrame(out, columns=["stream", "step", "inputs", "targets"])
 
-    return tokens.groupBy("stream").applyInPandasWithState(run, "stream string, step bigint, inputs array<int>, targets array<int>", "step bigint, rest array<int>", "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("stream").applyInPandasWithState(run, "stream string, step bigint, inputs array<int>, targets array<int>", "step bigint, rest binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str):
