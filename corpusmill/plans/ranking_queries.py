@@ -66,8 +66,9 @@ def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches.distinct_sketches(docs, ["shard", "source", "lang"], F.col("words"), _SKETCH_K).write.parquet(path)
     stored = spark.read.parquet(path)
     rolled = sketches.merged_distinct(stored, ["source"], _SKETCH_K)
-    direct = sketches.distinct_sketches(docs, ["source"], F.col("words"), _SKETCH_K).withColumnRenamed("hashes", "all_hashes")
-    words = docs.select("source", F.explode(F.array_distinct("words")).alias("word")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("words"))
+    known = docs.select("source", F.explode(F.array_distinct("words")).alias("word")).distinct()  # dealt once for both uses
+    direct = sketches.distinct_sketches(known, ["source"], F.array("word"), _SKETCH_K).withColumnRenamed("hashes", "all_hashes")
+    words = known.groupBy("source").agg(F.count(F.lit(1)).alias("words"))
     found = rolled.join(direct, "source").join(words, "source").withColumn("estimate", sketches.distinct_estimate(F.col("hashes"), _SKETCH_K))
     within = F.abs(F.col("estimate") - F.col("words")) <= _WITHIN * F.col("words")
     return found.select("source", F.size("hashes").cast("bigint").alias("kept"), F.round("estimate", 3).alias("estimate"), "words", within.alias("within"), (F.col("hashes") == F.col("all_hashes")).alias("same_as_direct"))
