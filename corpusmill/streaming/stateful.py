@@ -53,7 +53,8 @@ class _Packer(StatefulProcessor):
         orders = batch[batch["length"].notna()].sort_values("position", kind="stable")
         self.rest.update((held[n * length :].tobytes(),))
         self.place.update((int(step) + n, int(orders["length"].iloc[-1]) if len(orders) else int(length)))
-        yield pd.DataFrame({"stream": [key[0]] * n, "step": np.arange(step, step + n), "inputs": pd.Series(list(inputs), dtype=object), "targets": pd.Series(list(targets), dtype=object)})
+        if n:
+            yield pd.DataFrame({"stream": [key[0]] * n, "step": np.arange(step, step + n), "inputs": list(inputs), "targets": list(targets)})
 
     def close(self) -> None:
         pass
