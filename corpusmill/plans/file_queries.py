@@ -136,6 +136,13 @@ def shards_of_32_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(spark, sf_dir, 32)
 
 
+@query(f"WITH {_TOKENS} SELECT place // {SHARD} AS shard, place % {SHARD} AS position, token FROM k WHERE place % {SHARD} BETWEEN 6000 AND 6007")
+def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few tokens from the middle of each shard; the filter leaves out all other ranges before they are read."""
+    rows = tokbin.read_shards(spark, _written_shards(spark, sf_dir, 16)).filter("position >= 6000 AND position < 6008")
+    return rows.select(F.regexp_extract("shard", "shard_([0-9]+)", 1).cast("bigint").alias("shard"), "position", F.col("token").cast("bigint").alias("token"))
+
+
 @query(f"WITH {_SIZES} SELECT 'shard_' || lpad(CAST(shard AS VARCHAR), 6, '0') || '.bin' AS name, 16 AS bits, n_tokens AS tokens FROM z")
 def shard_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes from the shards' headers alone, files in order."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.corpus_queries import table
+from corpusmill.operators import corpus
+from corpusmill.plans.corpus_queries import SHARD, table
 from corpusmill.plans.registry import query
+from corpusmill.sources import tokbin
 from corpusmill.sources.scratch import new_folder
 from corpusmill.streaming import stateful, streams
 
@@ -103,3 +105,22 @@ def steered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.parquet(f"{path}/out")
     total = F.aggregate("inputs", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return found.select("stream", "step", F.size("inputs").cast("bigint").alias("n"), total.alias("inputs"), F.get("inputs", F.lit(0)).cast("bigint").alias("first"), F.element_at("inputs", -1).cast("bigint").alias("last"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 2 AS lot, text, CAST(strlen(text) + 1 AS BIGINT) AS n FROM documents WHERE length(text) > 0),
+    b AS (SELECT lot, coalesce(sum(n) OVER (PARTITION BY lot ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, hex(encode(text)) AS h FROM d),
+    k AS (SELECT lot, start AS place, 50256 AS token FROM b UNION ALL SELECT lot, start + 1 + i, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FROM (SELECT lot, start, h, unnest(range(0, strlen(h) // 2)) AS i FROM b))
+    SELECT 'lot' || CAST(lot AS VARCHAR) AS lot, CAST(place // {SHARD} AS BIGINT) AS shard, count(*) AS n, CAST(sum(token) AS BIGINT) AS tokens, CAST(sum(token * (place % {SHARD} % 1009)) AS BIGINT) AS placed FROM k GROUP BY ALL""")
+def streamed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards read as a stream: those of odd documents are added after the first run, and the second reads only these."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", "text")
+    path = new_folder(spark, "arriving")
+    for lot in (0, 1):
+        own = docs.filter(F.col("doc_id") % 2 == lot)
+        pieces = corpus.shard_slices(own.select("doc_id", corpus.byte_token_count("text").alias("n_tokens")), SHARD)
+        tokbin.write_shards(corpus.take_slices(pieces.join(corpus.byte_tokenise(own).select("doc_id", "ids"), "doc_id")), f"{path}/in", prefix=f"lot{lot}")
+        stateful.run_lot(tokbin.stream_shards(spark, f"{path}/in", layout="chunks"), f"{path}/out", f"{path}/checkpoint")
+    rows = spark.read.parquet(f"{path}/out").select("shard", "position", F.posexplode("tokens").alias("i", "token"))
+    token, at = F.col("token").cast("bigint"), F.col("position") + F.col("i")
+    found = rows.groupBy(F.regexp_extract("shard", "(lot[0-9]+)_", 1).alias("lot"), F.regexp_extract("shard", "_([0-9]+)[.]bin", 1).cast("bigint").alias("shard"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("tokens"), F.sum(token * (at % 1009)).alias("placed"))

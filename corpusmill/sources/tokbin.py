@@ -3,7 +3,8 @@
 A shard is a header of 256 32-bit integers (magic, version, number of tokens, bits where they
 aren't 16) and the tokens, all little-endian.  Reading splits a shard into ranges of tokens;
 each partition seeks to its range and yields Arrow batches of (shard, position, token), or with
-``layout=chunks`` rows of (shard, position, tokens).  Files are reached through ``pyarrow.fs``,
+``layout=chunks`` rows of (shard, position, tokens); filters on shard and position leave out files and ranges, and
+``readStream`` reads what has been added since the last batch.  Files are reached through ``pyarrow.fs``,
 so local paths and the file systems it knows are read alike.
 
 Writing takes rows (shard bigint, position bigint, tokens array<int>, and a folder below the path, if there is one) and writes one
@@ -19,7 +20,21 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 # Fixed values of the format: header length in bytes; magic numbers of the 16-bit and the 32-bit form; version.
 HEADER_BYTES = 1024
@@ -89,17 +104,20 @@ class _Range(InputPartition):
         self.path, self.bits, self.begin, self.end = path, bits, begin, end
 
 
-class TokenReader(DataSourceReader):
+class _Ranges:
+    """Ranges of tokens of the shards of a path, and how a task reads one."""
+
     def __init__(self, options: dict[str, str]):
         self.path, self.chunks = options["path"], options.get("layout", "tokens") == "chunks"
         self.length = int(options.get("chunkTokens", CHUNK_TOKENS))
-        step = max(self.length, int(options.get("rangeTokens", RANGE_TOKENS)) // self.length * self.length)
-        bits = int(options.get("bits", 16))  # ranges follow from the files' sizes; headers are read, and checked, by the tasks
-        counts = ((f, max(0, size - HEADER_BYTES) * 8 // bits) for f, size in shard_files(self.path))
-        self.ranges = [_Range(f, bits, a, min(a + step, n)) for f, n in counts for a in range(0, max(n, 1), step)]
+        self.step = max(self.length, int(options.get("rangeTokens", RANGE_TOKENS)) // self.length * self.length)
+        self.bits = int(options.get("bits", 16))  # ranges follow from the files' sizes; headers are read, and checked, by the tasks
 
-    def partitions(self) -> list[InputPartition]:
-        return self.ranges or [_Range("", 16, 0, 0)]
+    def sizes(self) -> list[tuple[str, int]]:
+        return [(f, max(0, size - HEADER_BYTES) * 8 // self.bits) for f, size in shard_files(self.path)]
+
+    def cut(self, shard: str, begin: int, end: int) -> list[_Range]:
+        return [_Range(shard, self.bits, a, min(a + self.step, end)) for a in range(begin, end, self.step)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         width = part.bits // 8
@@ -121,6 +139,76 @@ class TokenReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([pa.array([part.path] * (b - a)), pa.array(np.arange(a, b)), tokens], names=["shard", "position", "token"])
 
 
+class TokenReader(_Ranges, DataSourceReader):
+    """Reads shards as a table."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.low, self.high, self.shards = 0, None, None
+
+    def partitions(self) -> list[InputPartition]:
+        low = max(self.low, 0) // self.length * self.length  # chunks begin at multiples of their length, whatever is asked for
+        found = []
+        for shard, n in self.sizes():
+            if self.shards is None or shard in self.shards:
+                end = n if self.high is None else min(n, -(-self.high // self.length) * self.length if self.chunks else self.high)
+                found += self.cut(shard, low, end) if n else [_Range(shard, self.bits, 0, 0)]
+        return found or [_Range("", self.bits, 0, 0)]
+
+
+class FilteredReader(TokenReader):
+    """Comparisons of ``position`` and equalities of ``shard`` leave out the files and ranges that can't hold such rows; Spark
+    applies them once more to the rows of what is left.
+
+    Spark keeps what was pushed into a scan for later scans of the same table that push nothing, so this reader is only for tables that always push something
+    (``read_shards`` sees to that)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("position",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            elif column == ("shard",) and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.shards = own if self.shards is None else self.shards & own
+            yield f
+
+
+class TokenStream(_Ranges, DataSourceStreamReader):
+    """Reads shards as a stream: an offset tells for each shard how many of its tokens have been read, so a shard is read once, whatever
+    is added between batches.
+
+    With ``tokensPerBatch`` a batch takes so many tokens at most (whole chunks, shards in the order of their names); a query that goes on from a checkpoint
+    takes all that has come meanwhile in its first batch, as Spark doesn't tell a reader where it stands before that."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.limit, self.known = int(options.get("tokensPerBatch", 0)), None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        self.known = {}
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        sizes = dict(self.sizes())
+        if not self.limit or self.known is None:
+            return sizes
+        found, left = dict(self.known), max(self.limit // self.length * self.length, self.length)
+        for shard, n in sizes.items():
+            take = min(n - found.get(shard, 0), left)
+            if take > 0:
+                found[shard], left = found.get(shard, 0) + take, left - take
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.known = end
+        return [x for shard, n in sorted(end.items()) for x in self.cut(shard, start.get(shard, 0), n)]
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -176,7 +264,7 @@ class TokenWriter(DataSourceArrowWriter):
 
 
 class TokenShards(DataSource):
-    """Options: path; layout (tokens, chunks); bits (16, 32); rangeTokens; chunkTokens; prefix."""
+    """Options: path; layout (tokens, chunks); bits (16, 32); rangeTokens; chunkTokens; prefix; filters (pushed); of streams tokensPerBatch."""
 
     @classmethod
     def name(cls) -> str:
@@ -188,7 +276,11 @@ class TokenShards(DataSource):
         return f"shard string, position bigint, tokens array<{kind}>" if self.options.get("layout") == "chunks" else f"shard string, position bigint, token {kind}"
 
     def reader(self, schema) -> TokenReader:
-        return TokenReader(dict(self.options))
+        kind = FilteredReader if self.options.get("filters") == "pushed" else TokenReader
+        return kind(dict(self.options))
+
+    def streamReader(self, schema) -> TokenStream:  # noqa: N802
+        return TokenStream(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> TokenWriter:
         return TokenWriter(dict(self.options))
@@ -196,11 +288,19 @@ class TokenShards(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenShards)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read_shards(spark: SparkSession, path: str, bits: int = 16, layout: str = "tokens") -> DataFrame:
     register(spark)
-    return spark.read.format("tokbin").options(path=path, bits=str(bits), layout=layout).load()
+    rows = spark.read.format("tokbin").options(path=path, bits=str(bits), layout=layout, filters="pushed").load()
+    return rows.filter("position >= 0")  # true of all rows; see FilteredReader
+
+
+def stream_shards(spark: SparkSession, path: str, bits: int = 16, layout: str = "tokens", tokens_per_batch: int = 0) -> DataFrame:
+    """A stream of the shards that are put into a folder."""
+    register(spark)
+    return spark.readStream.format("tokbin").options(path=path, bits=str(bits), layout=layout, tokensPerBatch=str(tokens_per_batch)).load()
 
 
 def write_shards(pieces: DataFrame, path: str, bits: int = 16, prefix: str = "shard") -> None:
