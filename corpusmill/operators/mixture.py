@@ -37,18 +37,21 @@ def coverage_by_run(weights: DataFrame, present: DataFrame, least: float, run: s
     return out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).filter(F.col("coverage") >= least)
 
 
+#: Cells of the unit interval.
+CELLS = 4096
+
+
 def weighted_draws(steps: DataFrame, rated: DataFrame, key: str, seed: int, step: str = "step") -> DataFrame:
     """(step, key): one draw a step, by the inverse of the cumulative rates; the same for the same seed.
 
-    The cumulative table is a dimension (one row a source), and steps are looked up in it as an array."""
-    ordered = F.array_sort(F.collect_list(F.struct(key, "rate")))
-    table = rated.agg(ordered.alias("_t"))
-    u = uniform(F.lit(str(seed)), F.col(step))
-    sums = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.aggregate(F.slice("_t", F.lit(1), i), F.lit(0.0), lambda a, x: a + x["rate"]))
-    table = table.select("_t", sums.alias("_bounds"))
-    rows = steps.join(F.broadcast(table)).withColumn("_u", u)
-    place = F.least(F.size(F.filter("_bounds", lambda b: b <= F.col("_u"))), F.size("_t") - 1)
-    return rows.select(*steps.columns, F.get("_t", place)[key].alias(key))
+    The unit interval is cut into cells; a source's share of it is a row for each cell that it touches, and a step meets its cell's rows by
+    an equi-join, however many sources there are."""
+    line = Window.partitionBy(F.lit(0)).orderBy(key)  # a row for each source
+    bounds = rated.select(key, F.sum("rate").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_high"), F.lead(F.lit(1)).over(line).isNull().alias("_last"))
+    bounds = bounds.withColumn("_low", F.coalesce(F.lag("_high").over(line), F.lit(0.0))).withColumn("_high", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_high")))
+    cells = bounds.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * CELLS), F.floor(F.least(F.col("_high"), F.lit(1.0)) * CELLS)))).filter("_low < _high")
+    rows = steps.withColumn("_u", uniform(F.lit(str(seed)), F.col(step))).withColumn("_cell", F.floor(F.col("_u") * CELLS))
+    return rows.join(cells, "_cell").filter((F.col("_low") <= F.col("_u")) & (F.col("_u") < F.col("_high"))).select(*steps.columns, key)
 
 
 def epochs(examples: DataFrame, draws: DataFrame, source: str, key: str, seed: int, step: str = "step") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.scalar import bigram_hash
-from corpusmill.operators.corpus import START_ID
+from corpusmill.operators.corpus import START_ID, numbered, prefix_sums
 
 # Sizes of the offsets vector for the usual numbers of tokens in a batch.
 MAX_DOCS = {16384: 64, 32768: 96, 49152: 128}
@@ -86,21 +86,27 @@ def _laps(rows: DataFrame, by: list[str], order: str, steps: int) -> DataFrame:
     return rows.withColumn("step", F.col("_at") + F.col("_round") * F.col("_all")).drop("_k", "_before", "_all", "_at", "_round")
 
 
+#: Blocks that are looked up together.
+CELL = 64
+
+
 def pool_blocks(draws: DataFrame, shards: DataFrame, block: int) -> DataFrame:
     """(step, pool, shard, begin, length, tiled): the block that each draw of a pool reads at the pool's cursor.
 
     ``draws``: (step, pool, k), k the number of earlier draws of the pool; ``shards``: (pool, shard, n_tokens), shards from 0.  A block has
     ``block`` + 1 tokens and the cursor goes on by ``block``; a shard that is used up gives way to the next, and the first follows the last.
     Where all of a pool's shards are too short, the shard two further on is repeated until it fills the block."""
-    lists = F.array_sort(F.collect_list(F.struct("shard", F.greatest(F.floor((F.col("n_tokens") - 1) / block), F.lit(0).cast("bigint")).alias("blocks"))))
-    table = shards.groupBy("pool").agg(lists.alias("_s"))  # a pool's shards are a few
-    ends = F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.aggregate(F.slice("_s", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x["blocks"]))
-    table = table.withColumn("_ends", ends).withColumn("_all", F.element_at("_ends", -1))
-    rows = draws.join(table, "pool").withColumn("_at", F.when(F.col("_all") > 0, F.pmod("k", F.col("_all"))))
-    place = F.when(F.col("_all") > 0, F.size(F.filter("_ends", lambda e: e <= F.col("_at")))).otherwise(F.pmod(2 * (F.col("k") + 1), F.size("_s")).cast("int"))
-    rows = rows.withColumn("_p", place)
-    begin = F.when(F.col("_all") > 0, F.col("_at") - F.get("_ends", F.col("_p")) + F.get("_s", F.col("_p"))["blocks"]) * block
-    return rows.select("step", "pool", F.get("_s", F.col("_p"))["shard"].alias("shard"), F.coalesce(begin, F.lit(0)).alias("begin"), F.lit(block + 1).alias("length"), (F.col("_all") == 0).alias("tiled"))
+    blocks = F.greatest(F.floor((F.col("n_tokens") - 1) / block), F.lit(0).cast("bigint"))
+    cut = numbered(shards.select("pool", "shard", blocks.alias("_blocks")), "shard", "_i", "pool")
+    pools = cut.groupBy("pool").agg(F.sum("_blocks").alias("_all"), F.count(F.lit(1)).alias("_shards"))
+    rows = draws.join(pools, "pool").withColumn("_at", F.when(F.col("_all") > 0, F.pmod("k", F.col("_all"))))
+    ranges = prefix_sums(cut.filter("_blocks > 0"), "shard", "_blocks", "_first", "pool")
+    ranges = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / CELL), F.floor((F.col("_first") + F.col("_blocks") - 1) / CELL))))  # a shard's blocks by cells: an equi-join finds them
+    found = rows.filter("_all > 0").withColumn("_cell", F.floor(F.col("_at") / CELL)).join(ranges.select("pool", "shard", "_first", "_blocks", "_cell"), ["pool", "_cell"])
+    found = found.filter((F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_first") + F.col("_blocks"))).withColumn("begin", (F.col("_at") - F.col("_first")) * block)
+    short = rows.filter("_all = 0").withColumn("_i", F.pmod(2 * (F.col("k") + 1), F.col("_shards"))).join(cut.select("pool", "shard", "_i"), ["pool", "_i"]).withColumn("begin", F.lit(0).cast("bigint"))
+    columns = ["step", "pool", "shard", "begin", "_all"]
+    return found.select(columns).unionByName(short.select(columns)).select("step", "pool", "shard", "begin", F.lit(block + 1).alias("length"), (F.col("_all") == 0).alias("tiled"))
 
 
 def stream_documents(shards: DataFrame, target: int, length: int, order: str = "shard", n: str = "n_tokens") -> DataFrame:

@@ -54,7 +54,8 @@ def perplexity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_folder(spark, "spans")
     begin = (F.col("doc_id") % 7).cast("int")
     spans = F.when(F.col("doc_id") % 3 != 0, F.array(F.array(begin, begin + 5)))
-    table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.to_json(F.struct("text", spans.alias("spans"))).alias("value")).write.text(path)
+    lines = table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")  # files in the order of ids
+    lines.select(F.to_json(F.struct("text", spans.alias("spans"))).alias("value")).write.text(path)
     return text.read_spans(spark, path, 150).groupBy(F.md5("text").alias("text_md5"), "begin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -481,12 +482,24 @@ def latest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def library_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents tokenised by a public vocabulary, where it is at hand, else by bytes (checked against the library in the tests)."""
-    try:
-        import public_tokenizers
-
-        encode = corpus.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    except ImportError:
-        encode = lambda t: [list(x.encode()) for x in t]
-    out = corpus.tokenise(texts(spark, sf_dir).select("doc_id", "text"), encode)
+    """Documents tokenised by a public vocabulary (checked against the library in the tests)."""
+    out = corpus.tokenise(texts(spark, sf_dir).select("doc_id", "text"), vocabulary())
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def vocabulary():
+    import public_tokenizers
+
+    return corpus.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def vocabulary_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools by source in ids of a public vocabulary, with a start id for each document: tokenised once, capped, cut into shards, written, and
+    summed from the files; (pool, shard, n, tokens, placed)."""
+    path = scratch.new_folder(spark, "vocabulary")
+    corpus.tokenise(texts(spark, sf_dir).select("doc_id", F.col("source").alias("pool"), "text"), vocabulary()).select("pool", "doc_id", "ids").write.parquet(f"{path}/ids")
+    tokbin.build_pools(spark.read.parquet(f"{path}/ids"), f"{path}/pools", 40_000, 16_384)
+    rows = tokbin.read_shards(spark, f"{path}/pools", layout="chunks", recursive=True).select("shard", F.posexplode("tokens").alias("i", "token"))
+    named = rows.groupBy(F.regexp_extract("shard", "/([^/]+)/shard_", 1).alias("pool"), F.regexp_extract("shard", "shard_([0-9]+)", 1).cast("bigint").alias("shard"))
+    return named.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("token").cast("bigint")).alias("tokens"), F.sum(F.col("token").cast("bigint") * (F.col("i") % 1009)).alias("placed"))

@@ -84,14 +84,14 @@ def encode_shard(tokens: np.ndarray, bits: int = 16) -> bytes:
     return header(len(tokens), bits) + tokens.astype(f"<u{bits // 8}").tobytes()
 
 
-def shard_files(path: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, or of the *.bin files of a folder, sorted by name; no file is opened."""
+def shard_files(path: str, deep: bool = False) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the *.bin files of a folder (``deep``: and of the folders in it), sorted by name; no file is opened."""
     system, name = _open(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
     scheme = path.split("://")[0] + "://" if "://" in path else ""
-    return sorted((scheme + f.path, f.size) for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.path.endswith(".bin"))
+    return sorted((scheme + f.path, f.size) for f in system.get_file_info(fs.FileSelector(name, recursive=deep)) if f.is_file and f.path.endswith(".bin"))
 
 
 def list_shards(path: str) -> list[str]:
@@ -109,12 +109,13 @@ class _Ranges:
 
     def __init__(self, options: dict[str, str]):
         self.path, self.chunks = options["path"], options.get("layout", "tokens") == "chunks"
+        self.deep = options.get("recursive", "false") == "true"
         self.length = int(options.get("chunkTokens", CHUNK_TOKENS))
         self.step = max(self.length, int(options.get("rangeTokens", RANGE_TOKENS)) // self.length * self.length)
         self.bits = int(options.get("bits", 16))  # ranges follow from the files' sizes; headers are read, and checked, by the tasks
 
     def sizes(self) -> list[tuple[str, int]]:
-        return [(f, max(0, size - HEADER_BYTES) * 8 // self.bits) for f, size in shard_files(self.path)]
+        return [(f, max(0, size - HEADER_BYTES) * 8 // self.bits) for f, size in shard_files(self.path, self.deep)]
 
     def cut(self, shard: str, begin: int, end: int) -> list[_Range]:
         return [_Range(shard, self.bits, a, min(a + self.step, end)) for a in range(begin, end, self.step)]
@@ -264,7 +265,7 @@ class TokenWriter(DataSourceArrowWriter):
 
 
 class TokenShards(DataSource):
-    """Options: path; layout (tokens, chunks); bits (16, 32); rangeTokens; chunkTokens; prefix; filters (pushed); of streams tokensPerBatch."""
+    """Options: path; layout (tokens, chunks); bits (16, 32); rangeTokens; chunkTokens; recursive; prefix; filters (pushed); of streams tokensPerBatch."""
 
     @classmethod
     def name(cls) -> str:
@@ -291,9 +292,9 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_shards(spark: SparkSession, path: str, bits: int = 16, layout: str = "tokens") -> DataFrame:
+def read_shards(spark: SparkSession, path: str, bits: int = 16, layout: str = "tokens", recursive: bool = False) -> DataFrame:
     register(spark)
-    rows = spark.read.format("tokbin").options(path=path, bits=str(bits), layout=layout, filters="pushed").load()
+    rows = spark.read.format("tokbin").options(path=path, bits=str(bits), layout=layout, recursive=str(recursive).lower(), filters="pushed").load()
     return rows.filter("position >= 0")  # true of all rows; see FilteredReader
 
 

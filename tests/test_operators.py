@@ -486,3 +486,20 @@ def test_bootstrap_means(spark):
     draw = lambda s, i: values[int(int(hashlib.md5(f"2|{s}|{i}".encode()).hexdigest()[:12], 16) / 16**12 * 4)]
     assert got == pytest.approx({s: sum(draw(s, i) for i in range(3)) / 3 for s in range(5)})
     assert sampling.bootstrap_means(rows.filter("loss is null"), "run", "loss", 5, 3).count() == 0
+
+
+def test_vocabulary_pools_hold_the_librarys_ids(spark, sf):
+    """What the shards hold is, id by id, what the library gives for the pool's documents in order."""
+    import __spark_entry__ as entry
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    pools = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 0").orderBy("doc_id").collect():
+        own = pools.setdefault(r.source, [])
+        if len(own) < 40_000:
+            own += [50256, *library.encode(r.text, add_special_tokens=False).ids]
+    want = {(p, k): (len(x), sum(x), sum(t * (i % 1009) for i, t in enumerate(x))) for p, ids in pools.items() for k in range(-(-len(ids) // 16_384)) for x in [ids[k * 16_384 : (k + 1) * 16_384]]}
+    assert {(r.pool, r.shard): (r.n, r.tokens, r.placed) for r in entry.queries()["vocabulary_pools"](spark, sf).collect()} == want
