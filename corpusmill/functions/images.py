@@ -119,17 +119,18 @@ def multi_crop(image: np.ndarray, most: int, crop: int = CROP, patch: int = PATC
 def preprocess(images: DataFrame, most: int, key: str = "image_id") -> DataFrame:
     """(key, crops, ids, patches, pooled): token ids, flattened float32 bytes of all patches, and the pooled cells' patch numbers.
 
-    ``images``: (key, height, width, data)."""
+    ``images``: (key, height, width, data), and ``most`` where images have limits of their own."""
+    own = ["most"] if "most" in images.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one image at a time bounds memory
-                name, h, w, data = (batch.column(c)[i].as_py() for c in (key, "height", "width", "data"))
-                ids, patches, pooled = multi_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), most)
+                name, h, w, data, *limit = (batch.column(c)[i].as_py() for c in (key, "height", "width", "data", *own))
+                ids, patches, pooled = multi_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), *limit or [most])
                 yield pa.RecordBatch.from_arrays([pa.array([name], batch.schema.field(key).type), pa.array([len(patches)], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([patches.astype("<f4").tobytes()]), pa.array([pooled.tolist()], pa.list_(pa.list_(pa.int64())))], names=[key, "crops", "ids", "patches", "pooled"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "height", "width", "data").mapInArrow(run, f"{key} {kind}, crops int, ids array<int>, patches binary, pooled array<array<bigint>>")
+    return images.select(key, "height", "width", "data", *own).mapInArrow(run, f"{key} {kind}, crops int, ids array<int>, patches binary, pooled array<array<bigint>>")
 
 
 def image_prefix(number: int) -> str:
@@ -154,6 +155,20 @@ def image_segments(rows: DataFrame, prepared: DataFrame, encode: Callable[[str],
     return whole.select(key, F.coalesce("image_ids", F.array().cast("array<int>")).alias("image_ids"), F.coalesce("crops", F.lit(0)).alias("crops"), F.coalesce("pooled", F.array().cast("array<array<bigint>>")).alias("pooled"))
 
 
+def row_segments(rows: DataFrame, images: DataFrame, encode: Callable[[str], list[int]], patches_per_crop: int, crops: int, crops_of_several: int, most: int = 5, key: str = "id") -> DataFrame:
+    """``image_segments`` of rows (key, images) straight from pixels (image, height, width, data): the images of a row with several are cut into fewer
+    crops each (``crops_of_several``) than a single one (``crops``).
+
+    An image is cut once for each limit that rows ask for, and only images that rows hold are cut."""
+    limit = F.when(F.size("images") > 1, crops_of_several).otherwise(crops)
+    asked = rows.select(key, F.slice("images", 1, most).alias("images"), limit.alias("most"))
+    name = lambda image, most: F.concat_ws("|", most.cast("string"), image.cast("string"))
+    wanted = asked.select(F.explode("images").alias("image"), "most").distinct()
+    cut = preprocess(wanted.join(images, "image").withColumn("cut", name(F.col("image"), F.col("most"))), crops, "cut").withColumnRenamed("cut", "image")
+    named = asked.select(key, F.transform("images", lambda x: name(x, F.col("most"))).alias("images"))
+    return image_segments(named, cut, encode, patches_per_crop, most, key)
+
+
 def synthetic_images(spark: SparkSession, n: int, seed: int, share: float = 0.8, side: int = 32) -> DataFrame:
     """(image_id, height, width, data, answer): random pixels for a share of the rows, and an answer of 4 to 23 token ids from 1000 to 5999."""
     pick = lambda salt: F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(salt)), F.lit(1000))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.scalar import bigram_hash
-from corpusmill.operators.corpus import START_ID, numbered, prefix_sums
+from corpusmill.operators.corpus import START_ID, TEXT_SHARE, numbered, prefix_sums, speech_mixture
 
 # Sizes of the offsets vector for the usual numbers of tokens in a batch.
 MAX_DOCS = {16384: 64, 32768: 96, 49152: 128}
@@ -119,6 +119,18 @@ def stream_documents(shards: DataFrame, target: int, length: int, order: str = "
     return rows.withColumn("length", F.least(F.lit(length), F.col("_take") - F.col("begin"))).drop("_left", "_take")
 
 
+def rechunked_mixture(speech: DataFrame, shards: DataFrame, target: int, weights: dict[str, int], length: int, share: float = 0.01, seed: int = 0, bound: int = 66647) -> DataFrame:
+    """The mixture of speech and text whose text part is cut from token shards: documents of ``length`` tokens, until text has its part of the target.
+
+    ``speech``: (doc_id, source, n_tokens, max_id); ``shards``: (shard, n_tokens, max_id), a dimension.  Text documents are numbered through the shards, and
+    the result has the shard and the begin of each (null for speech), so that it can be fetched."""
+    cut = stream_documents(shards, int(target * TEXT_SHARE), length)
+    text = numbered(cut.withColumn("_key", F.col("shard") * (1 << 32) + F.col("begin")), "_key", "doc_id").select("doc_id", "shard", "begin", F.col("length").cast("bigint").alias("n_tokens"), "max_id")
+    mixed = speech_mixture(speech, text.select("doc_id", "n_tokens", "max_id"), target, weights, share, seed, bound)
+    places = text.select(F.lit("text").alias("source"), "doc_id", "shard", "begin")
+    return mixed.join(places, ["source", "doc_id"], "left")
+
+
 # -- document-aligned packing ---------------------------------------------------------------------
 
 

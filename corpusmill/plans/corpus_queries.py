@@ -265,6 +265,26 @@ def speech_text_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.speech_mixture(speech.select("doc_id", "source", "n_tokens", "max_id"), plain, 60_000, dict(zip(("src1", "src2", "src3"), corpus.SPEECH_WEIGHTS, strict=True)), 0.05, 9)
 
 
+@query(f"""WITH {_COUNTED}, r AS (SELECT doc_id, source, n_tokens, CASE source WHEN 'src1' THEN 131 WHEN 'src2' THEN 73 WHEN 'src3' THEN 37 END AS w FROM d WHERE source IN ('src1', 'src2', 'src3')),
+    b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r),
+    z AS (SELECT doc_id % 6 AS shard, CAST(sum(n_tokens) AS BIGINT) AS n FROM d WHERE source = 'src4' GROUP BY 1),
+    y AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
+    t AS (SELECT shard, least(n, 8000 - before) AS take FROM y WHERE before < 8000),
+    x AS (SELECT shard, CAST(i * 512 AS BIGINT) AS "begin", CAST(least(512, take - i * 512) AS BIGINT) AS n_tokens FROM (SELECT *, unnest(range(0, CAST(ceil(take / 512.0) AS BIGINT))) AS i FROM t)),
+    v AS (SELECT *, row_number() OVER (ORDER BY shard, "begin") - 1 AS doc_id FROM x),
+    k AS (SELECT doc_id, source, n_tokens, -1 AS shard, -1 AS "begin" FROM b WHERE spent < 160000.0 * (1 - 0.05) * w / 241 UNION ALL SELECT doc_id, 'text', n_tokens, shard, "begin" FROM v),
+    o AS (SELECT *, CAST('0x' || substr(md5('9|' || source || '/' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM k),
+    c AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past, sum(n_tokens) OVER () AS n FROM o)
+    SELECT doc_id, source, n_tokens, CAST(shard AS BIGINT) AS shard, CAST("begin" AS BIGINT) AS "begin", CASE WHEN past < n * 0.05 THEN 'val' ELSE 'train' END AS split FROM c""")
+def speech_and_rechunked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture whose text part is cut anew from token shards, end to end."""
+    rows = counted(spark, sf_dir).withColumn("max_id", F.lit(255))
+    speech = rows.filter(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source", "n_tokens", "max_id")
+    shards = rows.filter(F.col("source") == "src4").groupBy((F.col("doc_id") % 6).alias("shard")).agg(F.sum("n_tokens").alias("n_tokens"), F.max("max_id").alias("max_id"))
+    out = packing.rechunked_mixture(speech, shards, 160_000, dict(zip(("src1", "src2", "src3"), corpus.SPEECH_WEIGHTS, strict=True)), 512, 0.05, 9)
+    return out.select("doc_id", "source", "n_tokens", *(F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c) for c in ("shard", "begin")), "split")
+
+
 @query("""WITH RECURSIVE d AS (SELECT doc_id, text, strlen(text) + 1 AS n FROM documents WHERE length(text) > 0),
     o AS (SELECT *, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) - n AS start FROM d),
     h AS (SELECT doc_id, text, start // 200000 AS shard, least(n, (start // 200000 + 1) * 200000 - start, 2048) AS size FROM o),

@@ -440,6 +440,24 @@ def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", "crops", F.size("pooled").cast("bigint").alias("cells"), F.size("ids").cast("bigint").alias("ids"), seen.cast("bigint").alias("patches"))
 
 
+@query("""WITH n AS (SELECT n_nationkey AS k, 200 + 23 * n_nationkey AS h, 700 - 17 * n_nationkey AS w FROM nation), l AS (SELECT unnest([4, 2]) AS most), t AS (SELECT most, i, j FROM range(1, 5) AS a(i), range(1, 5) AS b(j), l WHERE i * j <= most),
+    s AS (SELECT k, most, i, j, least(i * 266 / greatest(h - 112, 1), j * 266 / greatest(w - 112, 1)) AS s FROM n, t), r AS (SELECT *, max(s) OVER (PARTITION BY k, most) AS best FROM s),
+    c AS (SELECT k, most, arg_min(i, o) AS i, arg_min(j, o) AS j FROM (SELECT k, most, i, j, struct_pack(a := CASE WHEN best >= 1 THEN CASE WHEN s >= 1 THEN s ELSE 1e9 END ELSE -s END, b := i * j, c := i) AS o FROM r) GROUP BY k, most),
+    z AS (SELECT k, most, i * j + 1 AS crops, 14 * 14 + ((i * 19 + 9) // 2) * ((j * 19 + 9) // 2) AS cells, 14 * 15 + 2 + ((i * 19 + 9) // 2) * ((j * 19 + 9) // 2 + 1) + 2 AS ids FROM c),
+    a AS (SELECT n_nationkey AS row_id, unnest(CASE n_nationkey % 3 WHEN 0 THEN [n_nationkey] WHEN 1 THEN [n_nationkey, (n_nationkey + 7) % 25] ELSE [] END) AS image, n_nationkey % 3 AS several FROM nation),
+    b AS (SELECT row_id, sum(crops) AS crops, sum(cells) AS cells, sum(ids) + 10 * (count(*) - 1) AS ids FROM a JOIN z ON z.k = a.image AND z.most = CASE WHEN several = 1 THEN 2 ELSE 4 END GROUP BY row_id)
+    SELECT n_nationkey AS row_id, CAST(coalesce(crops, 0) AS INTEGER) AS crops, CAST(coalesce(cells, 0) AS BIGINT) AS cells, CAST(coalesce(ids, 0) AS BIGINT) AS ids FROM nation LEFT JOIN b ON b.row_id = n_nationkey""")
+def rows_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with no, one and two images: those of a row with two are cut into two crops at most, a single one into four."""
+    key = F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation").repartition(8)
+    made = nations.select(key.alias("image"), (200 + 23 * key).cast("int").alias("height"), (700 - 17 * key).cast("int").alias("width"))
+    made = made.withColumn("data", F.unhex(F.repeat(F.lit("7f00ff"), (F.col("height") * F.col("width")).cast("int"))))
+    listed = F.when(key % 3 == 0, F.array(key)).when(key % 3 == 1, F.array(key, (key + 7) % 25)).otherwise(F.array().cast("array<bigint>"))
+    out = images.row_segments(nations.select(key.alias("row_id"), listed.alias("images")), made, lambda t: list(t.encode()), 729, 4, 2, key="row_id")
+    return out.select("row_id", "crops", F.size("pooled").cast("bigint").alias("cells"), F.size("image_ids").cast("bigint").alias("ids"))
+
+
 @query("""WITH d AS (SELECT doc_id // 10 AS batch, doc_id, n_chars % 97 AS n FROM documents), s AS (SELECT batch, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY batch)
     SELECT batch, n + (16 - n % 16) % 16 AS n, docs + 1 + CASE WHEN n % 16 > 0 THEN 1 ELSE 0 END AS offsets, CAST(50256 * ((16 - n % 16) % 16) AS BIGINT) AS filler FROM s""")
 def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
