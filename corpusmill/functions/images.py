@@ -5,10 +5,12 @@ Images are (height, width, bytes) rows of 8-bit RGB.  Spark's own "image" source
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,44 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(to_rgb, "image_id string, height int, width int, data binary")
 
 
+def _bitmap(height: int, width: int, data: bytes) -> bytes:
+    """An uncompressed 24-bit BMP file of RGB pixels: rows from the bottom, padded to whole words, blue first."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, 3)[::-1, :, ::-1].reshape(height, 3 * width)
+    body = np.pad(pixels, ((0, 0), (0, -3 * width % 4))).tobytes()
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def write_images(images: DataFrame, path: str, key: str = "image_id") -> None:
+    """One file <path>/<key>.bmp for each image (key, height, width, data); files get their names when they are whole."""
+
+    def run(rows: Iterator) -> None:
+        for row in rows:
+            system, base = fs.FileSystem.from_uri(path)
+            system.create_dir(base, recursive=True)
+            name = f"{base}/{row[key]}"
+            with system.open_output_stream(f"{name}.part") as f:
+                f.write(_bitmap(row["height"], row["width"], bytes(row["data"])))
+            system.move(f"{name}.part", f"{name}.bmp")
+
+    images.select(key, "height", "width", "data").foreachPartition(run)
+
+
+def patch_sums(images: DataFrame, patch: int = PATCH) -> DataFrame:
+    """(image_id, patch, total, half): the sum of each patch's values from 0 to 255, and of the same patch after the image has been resized to half its
+    sides (null beyond the smaller image); sides are multiples of two patches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, h, w, data = (batch.column(c)[i].as_py() for c in ("image_id", "height", "width", "data"))
+                image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                whole = to_patches(image.astype(np.int64), patch).sum(axis=1)
+                small = to_patches(np.rint((resize(image, h // 2, w // 2).astype(np.float64) + 1) * 127.5 * 4), patch).sum(axis=1) / 4  # quarters are exact
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(whole)), pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(small.tolist() + [None] * (len(whole) - len(small)), pa.float64())], ["image_id", "patch", "total", "half"])
+
+    return images.select("image_id", "height", "width", "data").mapInArrow(run, "image_id string, patch int, total bigint, half double")
+
+
 def tilings(spark: SparkSession, most: int) -> DataFrame:
     """(rows, cols) with at most ``most`` tiles, a dimension of a few dozen rows."""
     pairs = [(i, j) for i in range(1, most + 1) for j in range(1, most // i + 1)]

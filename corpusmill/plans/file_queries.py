@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import images
+from corpusmill.functions import images, scalar
 from corpusmill.operators import answers, corpus, evaluation, mixture, packing
 from corpusmill.plans.corpus_queries import _SIZES, _STREAM, SHARD, shard_sizes, table
 from corpusmill.plans.dialogue_queries import _CONV, conversations
@@ -440,6 +440,51 @@ def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", "crops", F.size("pooled").cast("bigint").alias("cells"), F.size("ids").cast("bigint").alias("ids"), seen.cast("bigint").alias("patches"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), p AS (SELECT k, y, x, c, (k * 31 + y * 13 + x * 7 + c * 29 + (x * y) % 11) % 256 AS v FROM s, range(28) AS a(y), range(56) AS b(x), range(3) AS d(c)),
+    w AS (SELECT k, y // 14 * 4 + x // 14 AS patch, sum(v) AS total FROM p GROUP BY ALL),
+    h AS (SELECT k, y // 28 * 2 + x // 28 AS patch, sum(v) / 4.0 AS half FROM p GROUP BY ALL)
+    SELECT w.k AS s_suppkey, CAST(w.patch AS INTEGER) AS patch, CAST(total AS BIGINT) AS total, coalesce(CAST(half AS DOUBLE), -1) AS half FROM w LEFT JOIN h ON w.k = h.k AND w.patch = h.patch""")
+def decoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files, one for each supplier, each pixel of its own: written, decoded, cut into patches, and resized to half."""
+    key = F.col("image_id")
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    value = lambda i: F.pmod(key * 31 + F.floor(i / 168) * 13 + F.floor(i % 168 / 3) * 7 + i % 3 * 29 + (F.floor(i % 168 / 3) * F.floor(i / 168)) % 11, F.lit(256))
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(28 * 56 * 3 - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    path = scratch.new_folder(spark, "images")
+    images.write_images(made.withColumns({"height": F.lit(28), "width": F.lit(56), "data": pixels}).repartition(8), path)
+    found = images.patch_sums(images.read_images(spark, path))
+    return found.select(F.regexp_extract("image_id", "([0-9]+)[.]bmp", 1).cast("bigint").alias("s_suppkey"), "patch", "total", F.coalesce("half", F.lit(-1.0)).alias("half"))
+
+
+@query("SELECT max(lang) AS lang, true AS found FROM documents")
+def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the folders that languages are written to, one after the other, the one with the newest file."""
+    path = scratch.new_folder(spark, "newest")
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("lang", "doc_id")
+    for r in docs.select("lang").distinct().orderBy("lang").collect():  # a few languages
+        docs.filter(F.col("lang") == r.lang).select(F.col("doc_id").cast("string")).write.text(f"{path}/lang={r.lang}")
+    last = text.newest(text.list_files(spark, path, "*.txt"))
+    return last.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), F.col("path").isNotNull().alias("found"))
+
+
+@query("SELECT event_type AS event, count(*) AS n, CAST(max(event_id) AS INTEGER) AS last_step, round(avg(value), 6) AS mean_loss FROM events GROUP BY event_type")
+def appended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric events of a stream that are appended as JSON lines while it runs, in two lots."""
+    path = scratch.new_folder(spark, "sink")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("event_id").cast("int").alias("step"), F.col("value").alias("train_loss"))
+    for lot in (0, 1):
+        sinks.write_jsonl(rows.filter(F.col("step") % 2 == lot), f"{path}/in")
+        streams.append_metrics(streams.metric_events(spark, f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
+    return streams.event_totals(spark.read.schema(streams.METRICS).json(f"{path}/out")).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("""SELECT event_id, coalesce(round(CASE WHEN event_id % 5 > 0 THEN value * 1000 / (event_id % 5) END, 6), -1) AS tokens_per_s, coalesce(round(CASE WHEN event_id % 5 > 0 THEN value * 1000 / (event_id % 5) * 6e8 / 9.89e14 END, 12), -1) AS mfu FROM events""")
+def throughputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens a second and utilisation of each event; none without time."""
+    rows = table(spark, sf_dir, "events").select("event_id", scalar.throughput(F.col("value") * 1000, F.col("event_id") % 5).alias("t"))
+    return rows.select("event_id", F.coalesce(F.round("t", 6), F.lit(-1.0)).alias("tokens_per_s"), F.coalesce(F.round(scalar.utilisation("t", 6e8, 9.89e14), 12), F.lit(-1.0)).alias("mfu"))
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, 200 + 23 * n_nationkey AS h, 700 - 17 * n_nationkey AS w FROM nation), l AS (SELECT unnest([4, 2]) AS most), t AS (SELECT most, i, j FROM range(1, 5) AS a(i), range(1, 5) AS b(j), l WHERE i * j <= most),
     s AS (SELECT k, most, i, j, least(i * 266 / greatest(h - 112, 1), j * 266 / greatest(w - 112, 1)) AS s FROM n, t), r AS (SELECT *, max(s) OVER (PARTITION BY k, most) AS best FROM s),
     c AS (SELECT k, most, arg_min(i, o) AS i, arg_min(j, o) AS j FROM (SELECT k, most, i, j, struct_pack(a := CASE WHEN best >= 1 THEN CASE WHEN s >= 1 THEN s ELSE 1e9 END ELSE -s END, b := i * j, c := i) AS o FROM r) GROUP BY k, most),
