@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.corpus import numbered
+from corpusmill.operators.sampling import head_by
 from corpusmill.functions.scalar import first_non_empty, first_non_empty_array, non_empty, resolve_answer, with_options
 
 #: Valid pairs that one image may give.
@@ -78,7 +78,7 @@ def ingest_formatted(rows: DataFrame, formatter: Callable[[dict], list[list[str]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     made = rows.mapInArrow(run, f"{key} {kinds[key]}, {source} {kinds[source]}, convos array<array<string>>")
-    return numbered(made.filter(usable(F.col("convos"))), key, "_n", source).filter(F.col("_n") < cap).drop("_n")
+    return head_by(made.filter(usable(F.col("convos"))), source, [key], cap)
 
 
 def as_conversations(messages: Column, nested: bool) -> Column:

@@ -155,30 +155,41 @@ def pack_shards(tokens: DataFrame, per_rank: int, longest: int, ranks: int = 1,
     """Document-aligned batches of each shard: (shard, step, rank, inputs, targets, offsets, bigrams).
 
     ``tokens``: (shard, position, tokens), pieces of shards.  Tokens before a shard's first document are skipped.  A shard is
-    one group; its size is the shard writer's parameter."""
+    one group; its size is the shard writer's parameter.  Tokens stay in Arrow's buffers: a task holds a shard's stream and its batches as plain numbers."""
     width = max_docs(per_rank)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        stream = np.concatenate([np.asarray(x, np.int64) for x in pdf.tokens]) if len(pdf) else np.zeros(0, np.int64)
+    def lists(values: np.ndarray, n: int, size: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(values.reshape(-1)))
+
+    def run(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by("position")
+        stream = pieces.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
         starts = np.flatnonzero(stream == start_id)
-        rows = []
-        for k, docs in enumerate(pack_documents(np.diff(np.append(starts, len(stream))), per_rank, longest, ranks)):
+        bins = pack_documents(np.diff(np.append(starts, len(stream))), per_rank, longest, ranks)
+        n = len(bins)
+        inputs, targets = np.empty((n, per_rank), np.int32), np.empty((n, per_rank), np.int64)
+        offsets = np.full((n, width), per_rank, np.int32)
+        mixed = np.empty((n, per_rank), np.int64) if buckets is not None else None
+        for k, docs in enumerate(bins):
             if len(docs) > width - 1:
                 raise ValueError(f"{len(docs)} documents in a batch, room for {width - 1}")
             buffer = np.concatenate([stream[starts[d] : starts[d] + t] for d, t in docs])
             ends = np.cumsum([t for _, t in docs])
             ends[-1] -= 1
-            offsets = np.full(width, per_rank, np.int32)
-            offsets[0] = 0
-            offsets[1 : len(ends) + 1] = ends
-            rows.append((int(pdf.shard.iloc[0]), k // ranks, k % ranks, buffer[:-1].astype(np.int32), buffer[1:], offsets))
-            if buckets is not None:
-                rows[-1] += (hash_bigrams(buffer[:-1], buckets),)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            inputs[k], targets[k] = buffer[:-1], buffer[1:]
+            offsets[k, 0] = 0
+            offsets[k, 1 : len(ends) + 1] = ends
+            if mixed is not None:
+                mixed[k] = hash_bigrams(buffer[:-1].astype(np.int64), buckets)
+        number = np.arange(n, dtype=np.int32)
+        shard = pieces.column("shard")[0].as_py() if pieces.num_rows else 0
+        columns = {"shard": pa.array(np.full(n, shard, np.int64)), "step": pa.array(number // ranks), "rank": pa.array(number % ranks), "inputs": lists(inputs, n, per_rank), "targets": lists(targets, n, per_rank), "offsets": lists(offsets, n, width)}
+        if mixed is not None:
+            columns["bigrams"] = lists(mixed, n, per_rank)
+        return pa.table(columns)
 
     schema = "shard bigint, step int, rank int, inputs array<int>, targets array<bigint>, offsets array<int>" + (", bigrams array<bigint>" if buckets is not None else "")
-    return tokens.groupBy("shard").applyInPandas(run, schema)
+    return tokens.groupBy("shard").applyInArrow(run, schema)
 
 
 def array_bigrams(tokens: Column, buckets: int) -> Column:
