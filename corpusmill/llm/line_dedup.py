@@ -15,6 +15,7 @@ are two a part at most.
 Null texts and empty texts are one empty line.  Rows with a null ``doc_id`` are
 passed through whole and count for nobody.  Rows that share a ``doc_id`` are one
 document for the rule, and each keeps its own bitmap (told apart by text).
+A very long text is read whole, by a task that holds it and a row for each of its lines' keys; a very long line is one hash.
 Other columns are left alone; an empty table gives no rows.
 """
 

@@ -12,7 +12,7 @@ Version-2 data pages hold the delta encodings, row groups are small and every
 page has an entry in the column and offset indexes, so a reader of some
 documents' ids, or of the metadata alone, touches only those pages.
 
-Empty or null texts hold only the end id.  Documents that share a ``doc_id`` stay
+Empty or null texts hold only the end id.  A very long text is one row of the table, whole, and is encoded by itself.  Documents that share a ``doc_id`` stay
 apart and follow one another by text.  An empty table gives an empty token table.
 Other columns of the input are not stored.
 """
