@@ -5,6 +5,10 @@ which is written and read again as the next stage's ``docs``.  All but the last
 return the columns of ``documents``; a text that a stage shortens gets a new ``n_chars``.
 A ``docs`` table with further columns, or none of ``lang``, ``source`` and ``n_chars``, is
 taken as it is: what isn't there is null.
+
+Null and empty texts go through all stages but for the classifier, which scores them like any text: to line dedup they are one empty line, they are nobody's near copy and hold no passage, and
+packing gives them their end id alone.  Very long texts are read whole by every stage, each by a task that holds one at a time.
+Rows that share an id are told apart by their text; of rows with the same id and text one stays after near-dedup, but rows with a null id all stay.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
