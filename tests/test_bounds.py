@@ -1,9 +1,11 @@
 """What a task holds at a time is bounded, whatever an Arrow batch or a group holds; results stay the same."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.operators import corpus
+from corpusmill.operators import corpus, packing
 
 
 def bounded(texts):
@@ -30,3 +32,37 @@ def test_texts_are_encoded_in_pieces(spark):
     docs = long_texts(spark)
     want = {r.doc_id: [corpus.START_ID, *(r.text or "").encode()] for r in docs.collect()}
     assert {r.doc_id: r.ids for r in corpus.tokenise(docs, bounded).collect()} == want
+
+
+def packed_by_hand(tasks, seq_len):
+    """Plain version: (part, sequence) -> ids of its tasks and tokens."""
+    out, at, part, number = {}, 0, None, 0
+    for p, key, ctx, endings in sorted(tasks):
+        need = sum(len(f"{ctx} {e}".encode()) for e in endings)
+        if p != part:
+            part, number, at = p, 0, 0
+        elif at + need >= seq_len:
+            number, at = number + 1, 0
+        ids, tokens = out.setdefault((p, number), ([], []))
+        ids.append(key)
+        for e in endings:
+            tokens += ([corpus.START_ID] if tokens else []) + list(f"{ctx} {e}".encode())[:-1]
+        at = len(tokens)
+    return {k: (ids, tokens + [0] * (seq_len - len(tokens))) for k, (ids, tokens) in out.items()}
+
+
+def test_choices_of_a_part_are_packed_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_TASKS", 7)
+    tasks = [(i % 3, i * 37 % 401, "c" * (i * i % 23), ["a", "bb", "c" * (i % 5), "é"]) for i in range(200)]
+    tasks += [(3, 1, "x" * 45, ["a"] * 4), (3, 2, "", ["b"] * 4), (4, 9, "only", ["a"] * 4)]  # 188 tokens; the next one fits, and one alone
+    rows = spark.createDataFrame([(*t, 1) for t in tasks], "part int, task_id bigint, ctx string, endings array<string>, label int").repartition(5)
+    got = {(r.part, r.sequence): (r.task_ids, r.tokens) for r in packing.pack_choices(rows, lambda t: list(t.encode()), 200).collect()}
+    assert got == packed_by_hand(tasks, 200)
+
+
+def test_no_task_packs_a_whole_part(spark, monkeypatch):
+    """The largest group that Python gets is a cell, not a part."""
+    monkeypatch.setattr(packing, "CELL_TASKS", 50)
+    sizes = spark.range(1000).select(F.lit(0).alias("part"), F.col("id").alias("_i"), (F.col("id") % 9 + 4).alias("_n"))
+    cells = [n for n in re.findall(r"FlatMapGroupsInPandas \[(.*?)\]", packing._choice_places(sizes, 64, "part")._jdf.queryExecution().optimizedPlan().toString())]
+    assert len(cells) == 3 and sum("_cell" in n for n in cells) == 2  # the third sees a row for each cell
