@@ -117,10 +117,9 @@ def streamed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "arriving")
     for lot in (0, 1):
         own = docs.filter(F.col("doc_id") % 2 == lot)
-        pieces = corpus.shard_slices(own.select("doc_id", corpus.byte_token_count("text").alias("n_tokens")), SHARD)
-        tokbin.write_shards(corpus.take_slices(pieces.join(corpus.byte_tokenise(own).select("doc_id", "ids"), "doc_id")), f"{path}/in", prefix=f"lot{lot}")
+        tokbin.write_shards(corpus.byte_pieces(own, SHARD), f"{path}/in", prefix=f"lot{lot}", tokens=corpus.byte_ids)
         stateful.run_lot(tokbin.stream_shards(spark, f"{path}/in", layout="chunks"), f"{path}/out", f"{path}/checkpoint")
-    rows = spark.read.parquet(f"{path}/out").select("shard", "position", F.posexplode("tokens").alias("i", "token"))
+    lot, shard = F.regexp_extract("shard", "(lot[0-9]+)_", 1), F.regexp_extract("shard", "_([0-9]+)[.]bin", 1).cast("bigint")
+    rows = spark.read.parquet(f"{path}/out").select(lot.alias("lot"), shard.alias("shard"), "position", F.posexplode("tokens").alias("i", "token"))
     token, at = F.col("token").cast("bigint"), F.col("position") + F.col("i")
-    found = rows.groupBy(F.regexp_extract("shard", "(lot[0-9]+)_", 1).alias("lot"), F.regexp_extract("shard", "_([0-9]+)[.]bin", 1).cast("bigint").alias("shard"))
-    return found.agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("tokens"), F.sum(token * (at % 1009)).alias("placed"))
+    return rows.groupBy("lot", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("tokens"), F.sum(token * (at % 1009)).alias("placed"))

@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus, packing
+from corpusmill.sources import tokbin
 
 
 def bounded(texts):
@@ -66,3 +68,25 @@ def test_no_task_packs_a_whole_part(spark, monkeypatch):
     sizes = spark.range(1000).select(F.lit(0).alias("part"), F.col("id").alias("_i"), (F.col("id") % 9 + 4).alias("_n"))
     cells = [n for n in re.findall(r"FlatMapGroupsInPandas \[(.*?)\]", packing._choice_places(sizes, 64, "part")._jdf.queryExecution().optimizedPlan().toString())]
     assert len(cells) == 3 and sum("_cell" in n for n in cells) == 2  # the third sees a row for each cell
+
+
+def test_bytes_in_pieces(spark):
+    docs = long_texts(spark)
+    want = {r.doc_id: [corpus.START_ID, *(r.text or "").encode()] for r in docs.collect()}
+    assert {r.doc_id: r.ids for r in corpus.byte_tokenise(docs).collect()} == want
+    cut = corpus.byte_ids(corpus.byte_pieces(docs, 1000)).collect()
+    assert [t for r in sorted(cut, key=lambda r: (r.shard, r.position)) for t in r.tokens] == [t for k in sorted(want) if k != 9 for t in want[k]]
+    assert sum(len(r.tokens) for r in cut) == sum(len(v) for k, v in want.items() if k != 9) and all(len(r.text) + r.starts == len(r.tokens) for r in cut)  # a null text has no length, so no piece
+
+
+def test_tasks_follow_tokens_not_files(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"x{i:03d}.bin").write_bytes(tokbin.encode_shard(np.arange(i, i + 50)))
+    for options in ({}, {"layout": "chunks"}):
+        parts = tokbin.TokenReader({"path": str(tmp_path)} | options).partitions()
+        assert len(parts) <= 2 * tokbin.FEW and [r[0][-7:-4] for p in parts for r in p.ranges] == [f"{i:03d}" for i in range(200)]
+    assert len(tokbin.TokenStream({"path": str(tmp_path)}).partitions({}, {f"{tmp_path}/x{i:03d}.bin": 50 for i in range(200)})) <= 2 * tokbin.FEW
+    rows = tokbin.read_shards(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 2 * tokbin.FEW
+    assert sorted((int(r.shard[-7:-4]), r.position, r.token) for r in rows.collect()) == [(i, k, i + k) for i in range(200) for k in range(50)]
+    assert rows.filter("position = 9").agg(F.sum("token")).first()[0] == sum(i + 9 for i in range(200))
