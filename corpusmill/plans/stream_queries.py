@@ -119,7 +119,8 @@ def streamed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = docs.filter(F.col("doc_id") % 2 == lot)
         tokbin.write_shards(corpus.byte_pieces(own, SHARD), f"{path}/in", prefix=f"lot{lot}", tokens=corpus.byte_ids)
         stateful.run_lot(tokbin.stream_shards(spark, f"{path}/in", layout="chunks"), f"{path}/out", f"{path}/checkpoint")
-    lot, shard = F.regexp_extract("shard", "(lot[0-9]+)_", 1), F.regexp_extract("shard", "_([0-9]+)[.]bin", 1).cast("bigint")
-    rows = spark.read.parquet(f"{path}/out").select(lot.alias("lot"), shard.alias("shard"), "position", F.posexplode("tokens").alias("i", "token"))
+    rows = spark.read.parquet(f"{path}/out").select("shard", "position", F.posexplode("tokens").alias("i", "token"))
     token, at = F.col("token").cast("bigint"), F.col("position") + F.col("i")
-    return rows.groupBy("lot", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("tokens"), F.sum(token * (at % 1009)).alias("placed"))
+    sums = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(token).alias("tokens"), F.sum(token * (at % 1009)).alias("placed"))
+    lot, number = F.regexp_extract("shard", "(lot[0-9]+)_", 1), F.regexp_extract("shard", "_([0-9]+)[.]bin", 1).cast("bigint")
+    return sums.select(lot.alias("lot"), number.alias("shard"), "n", "tokens", "placed")  # a file is a shard; its name is parsed once
