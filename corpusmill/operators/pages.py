@@ -22,15 +22,15 @@ _ARROW = pa.struct([("title", pa.string()), ("base", pa.string()), ("links", pa.
 _AT_ONCE = 64
 
 
-def read_pages(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Replaces the markup by ``title``, ``base``, ``links`` and ``blocks`` (see ``functions.html``)."""
+def read_pages(pages: DataFrame, column: str = "html", closed: bool = False) -> DataFrame:
+    """Replaces the markup by ``title``, ``base``, ``links`` and ``blocks`` (see ``functions.html``; ``closed``: only character references with a semicolon count)."""
     kept = [f for f in pages.schema.fields if f.name != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(at, _AT_ONCE)
-                found = pa.array([html.page(x.as_py()) for x in part.column(column)], _ARROW)
+                found = pa.array([html.page(x.as_py(), closed) for x in part.column(column)], _ARROW)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *found.flatten()], [*(f.name for f in kept), *_READ.names])
 
     return pages.mapInArrow(run, T.StructType([*kept, *_READ.fields]))
@@ -53,16 +53,16 @@ def main_blocks(blocks: Column) -> Column:
     return F.filter(blocks, kept)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, closed: bool = False) -> DataFrame:
     """(page_id, title, n_blocks, n_kept, text) of pages (page_id, html)."""
-    read = read_pages(pages.select("page_id", "html")).withColumn("kept", main_blocks(F.col("blocks")))
+    read = read_pages(pages.select("page_id", "html"), closed=closed).withColumn("kept", main_blocks(F.col("blocks")))
     return read.select("page_id", "title", F.size("blocks").alias("n_blocks"), F.size("kept").alias("n_kept"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("text"))
 
 
-def links(pages: DataFrame) -> DataFrame:
+def links(pages: DataFrame, closed: bool = False) -> DataFrame:
     """(page_id, n, href, text, url, outside): each link in its order, its address from the page's (or the page's ``base``), and whether
     it leaves the page's host."""
-    read = read_pages(pages.select("page_id", "url", "html"))
+    read = read_pages(pages.select("page_id", "url", "html"), closed=closed)
     own = read.withColumns({"_page": urls.parts(F.trim("url")), "_base": urls.parts(F.trim(F.coalesce("base", F.lit(""))))})
     own = own.withColumns({"_base": urls.resolved(F.col("_page"), F.col("_base")), "_host": urls.host_of(F.col("_page"))})
     each = own.select("page_id", "_base", "_host", F.posexplode("links").alias("n", "link")).withColumn("_link", urls.parts(F.col("link.href")))

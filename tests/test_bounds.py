@@ -3,11 +3,15 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import corpus, packing
+from corpusmill.functions import html
+from corpusmill.operators import corpus, evaluation, packing
 from corpusmill.sources import tokbin
+from corpusmill.streaming import stateful
 
 
 def bounded(texts):
@@ -90,3 +94,81 @@ def test_tasks_follow_tokens_not_files(spark, tmp_path):
     assert rows.rdd.getNumPartitions() <= 2 * tokbin.FEW
     assert sorted((int(r.shard[-7:-4]), r.position, r.token) for r in rows.collect()) == [(i, k, i + k) for i in range(200) for k in range(50)]
     assert rows.filter("position = 9").agg(F.sum("token")).first()[0] == sum(i + 9 for i in range(200))
+
+
+def test_turns_are_encoded_in_pieces(spark):
+    rows = long_texts(spark).select(F.col("doc_id").alias("id"), F.array(F.coalesce("text", F.lit("q")), F.lit("yes")).alias("turns"), F.lit(1.0).alias("message_weight"), F.lit(1).alias("n_sub"))
+
+    def encode(texts):
+        if len(texts) > 2 and sum(len(t.encode()) - 18 for t in texts) > corpus.AT_ONCE:
+            raise ValueError("too many turns at a time")
+        return [list(t.encode()) for t in texts]
+
+    got = {r.id: [*r.inputs, r.targets[-1]] for r in packing.encode_turns(rows, encode, 1 << 20).collect()}
+    assert got == {r.id: [*f"\nUser: {r.turns[0]}\nAssistant: yes".encode(), corpus.START_ID] for r in rows.collect()}
+
+
+def test_bigrams_are_hashed_in_pieces(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "pieces", lambda batch, column: (seen.append(x.num_rows) or x for x in corpus.pieces(batch, column, 40)))
+    rows = spark.createDataFrame([(i, list(range(i))) for i in range(30)], "step bigint, inputs array<int>")
+    ((run, _),) = _python_functions(monkeypatch, rows)
+    batch = pa.RecordBatch.from_pylist([{"step": i, "inputs": list(range(i))} for i in range(30)], pa.schema([("step", pa.int64()), ("inputs", pa.list_(pa.int32()))]))
+    got = [(r["step"], r["bigrams"]) for b in run(iter([batch])) for r in b.to_pylist()]
+    assert got == [(i, packing.hash_bigrams(np.arange(i), 97).tolist()) for i in range(30)] and max(seen) == 5 and sum(seen) == 30
+
+
+def _python_functions(monkeypatch, rows):
+    found = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: found.append((f, schema)) or self)
+    packing.with_bigrams(rows, 97)
+    return found
+
+
+def test_a_stream_s_lot_is_held_as_plain_numbers(monkeypatch):
+    """No frame of all rows is made, and windows are given out a few at a time; order by position, stable."""
+    monkeypatch.setattr(stateful, "WINDOWS", 3)
+    monkeypatch.setattr(stateful.pd, "concat", None)
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, x):
+            self.held = x
+
+    packer = stateful._Packer(4)
+    packer.rest, packer.place = Value(), Value()
+    lot = pd.DataFrame({"position": [5, 1, 9, 3, 1, 2, 1], "ids": [np.arange(20), np.array([70, 71]), None, None, np.array([72]), np.array([], np.int32), None], "length": [None, None, 7.0, 6.0, None, None, 5.0]})
+    out = list(packer.handleInputRows(("s",), iter([lot[:2], lot[2:]]), None))
+    ids = [70, 71, 72, *range(20)]
+    assert [len(x) for x in out] == [3, 2] and [list(x) for f in out for x in f["inputs"]] == [ids[i : i + 4] for i in range(0, 20, 4)]
+    assert [list(x) for f in out for x in f["targets"]] == [ids[i + 1 : i + 5] for i in range(0, 20, 4)] and [s for f in out for s in f["step"]] == list(range(5))
+    assert packer.place.held == (5, 7) and list(np.frombuffer(packer.rest.held[0], np.int32)) == ids[20:]
+    assert list(packer.handleInputRows(("s",), iter([lot[2:4]]), None)) == []
+
+
+def test_pools_of_a_table_have_one_description(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, None)], "name string, topic string")
+    assert sorted((r.name or "", r.topic or "") for r in corpus.distinct_pools(rows).collect()) == [("", ""), ("a", "x"), ("b", "y")]
+    with pytest.raises(Exception, match="two pools have the same name"):
+        corpus.distinct_pools(rows.union(spark.createDataFrame([("b", "z")], rows.schema))).collect()
+
+
+def test_a_reference_that_is_cut_off_stays():
+    """The SQL of pages replaces references with their semicolon only; browsers take some without."""
+    assert html.decoded("&amp &lt;&eacute;&#39;&#x41;&notit; &nosuch; &amp;lt; a&am", closed=True) == "&amp <é'A&notit; &nosuch; &lt; a&am"
+    assert html.decoded("&amp &lt;") == "& <"
+    cut = "<title>a &amp</title><a href='?x=1&copy=2'>b &amp</a><p>c &amp</p>"
+    found = html.page(cut, closed=True)
+    assert found["title"] == "a &amp" and found["links"] == [{"href": "?x=1&copy=2", "text": "b &amp"}] and [b["text"] for b in found["blocks"]] == ["b &amp", "c &amp"]
+    assert html.page(cut)["title"] == "a &"
+
+
+def test_spans_are_prepared_in_pieces(spark):
+    docs = long_texts(spark).withColumn("spans", F.array(F.array(F.lit(4), F.lit(6))))
+    got = {r.doc_id: (r.ids, r.cont_start, r.n_bytes) for r in evaluation.prepare_spans(docs, bounded, len, 50).collect()}
+    for r in docs.collect():
+        n, start = len((r.text or "").encode()), max(0, min(len((r.text or "")[:4].encode()), len((r.text or "").encode()) - 1))
+        assert got[r.doc_id] == (list((r.text or "").encode())[-50:], max(0, start - max(0, n - 50)), n - max(start, n - 50))
