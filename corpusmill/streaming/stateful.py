@@ -31,6 +31,24 @@ def joined_within(left: DataFrame, right: DataFrame, by: Sequence[str], times: t
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Windows given out, and runs of ids put in order, at a time.
+WINDOWS = 1 << 12
+
+
+def _in_order(places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after another in ``flat``, in the order of their places."""
+    if (places[1:] >= places[:-1]).all():
+        return flat
+    order, begin, out, at = np.argsort(places, kind="stable"), np.cumsum(sizes) - sizes, np.empty_like(flat), 0
+    for i in range(0, len(order), WINDOWS):
+        own = order[i : i + WINDOWS]
+        shift = np.cumsum(sizes[own]) - sizes[own]
+        n = int(sizes[own].sum())
+        out[at : at + n] = flat[np.repeat(begin[own] - shift, sizes[own]) + np.arange(n)]
+        at += n
+    return out
+
+
 class _Packer(StatefulProcessor):
     """State of a stream: tokens that don't fill a window yet, the number of its next window, and the length that holds from the next batch on."""
 
@@ -43,18 +61,24 @@ class _Packer(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         step, length = self.place.get() if self.place.exists() else (0, self.length)
-        pieces = [np.frombuffer(self.rest.get()[0], np.int32)] if self.rest.exists() else []
-        batch = pd.concat(list(rows))
-        tokens = batch[batch["length"].isna()].sort_values("position", kind="stable")
-        pieces += [np.asarray(ids, np.int32) for ids in tokens["ids"] if ids is not None]
-        held = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
+        none = np.zeros(0, np.int32)
+        places, sizes, flat, order = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [none], None
+        for part in rows:  # kept as plain numbers, without an object for each row
+            tokens = part[part["length"].isna() & part["ids"].notna()]
+            places.append(tokens["position"].to_numpy())
+            sizes.append(np.fromiter(map(len, tokens["ids"]), np.int64, len(tokens)))
+            flat.append(np.concatenate([none, *tokens["ids"]]).astype(np.int32))
+            for place, new in part.loc[part["length"].notna(), ["position", "length"]].itertuples(index=False):
+                order = (place, new) if order is None or place >= order[0] else order
+        rest = np.frombuffer(self.rest.get()[0], np.int32) if self.rest.exists() else none
+        held = np.concatenate([rest, _in_order(np.concatenate(places), np.concatenate(sizes), np.concatenate(flat))])
         n = max(0, (len(held) - 1) // length)  # neighbours share a token
-        inputs, targets = (held[s : s + n * length].reshape(n, length) for s in (0, 1))
-        orders = batch[batch["length"].notna()].sort_values("position", kind="stable")
         self.rest.update((held[n * length :].tobytes(),))
-        self.place.update((int(step) + n, int(orders["length"].iloc[-1]) if len(orders) else int(length)))
-        if n:
-            yield pd.DataFrame({"stream": [key[0]] * n, "step": np.arange(step, step + n), "inputs": list(inputs), "targets": list(targets)})
+        self.place.update((int(step) + n, int(order[1]) if order else int(length)))
+        for a in range(0, n, WINDOWS):
+            b = min(a + WINDOWS, n)
+            inputs, targets = (held[s + a * length : s + b * length].reshape(b - a, length) for s in (0, 1))
+            yield pd.DataFrame({"stream": [key[0]] * (b - a), "step": np.arange(step + a, step + b), "inputs": list(inputs), "targets": list(targets)})
 
     def close(self) -> None:
         pass
