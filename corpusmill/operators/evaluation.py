@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators import selection
-from corpusmill.operators.corpus import with_ids
+from corpusmill.operators.corpus import pieces, with_ids
 
 
 def prepare_spans(docs: DataFrame, encode: Callable[[list[str]], list[list[int]]], decode_bytes: Callable[[list[int]], int], max_len: int) -> DataFrame:
@@ -19,7 +19,7 @@ def prepare_spans(docs: DataFrame, encode: Callable[[list[str]], list[list[int]]
     and the bytes of what is scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             begin = [(s[0][0] if s and s[0] else 0) for s in batch.column("spans").to_pylist()]
             full, head = encode(texts), encode([t[:c] for t, c in zip(texts, begin, strict=True)])
